@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op07_sharding, op10_mixing
+from . import op03_decontamination, op04_url_filter, op05_toxicity, op07_sharding, op10_mixing
 
-MODULES = (op07_sharding, op10_mixing)
+MODULES = (op03_decontamination, op04_url_filter, op05_toxicity, op07_sharding, op10_mixing)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:
