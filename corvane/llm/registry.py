@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from . import op03_decontamination, op04_url_filter, op05_toxicity, op07_sharding, op10_mixing
+from . import (
+    op01_embedding_dedup,
+    op02_suffix_dedup,
+    op03_decontamination,
+    op04_url_filter,
+    op05_toxicity,
+    op06_ctw,
+    op07_sharding,
+    op08_simhash_dedup,
+    op09_warc,
+    op10_mixing,
+)
 
-MODULES = (op03_decontamination, op04_url_filter, op05_toxicity, op07_sharding, op10_mixing)
+MODULES = (
+    op01_embedding_dedup,
+    op02_suffix_dedup,
+    op03_decontamination,
+    op04_url_filter,
+    op05_toxicity,
+    op06_ctw,
+    op07_sharding,
+    op08_simhash_dedup,
+    op09_warc,
+    op10_mixing,
+)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:
