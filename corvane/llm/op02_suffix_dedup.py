@@ -10,7 +10,7 @@ anchors, so two documents that share a window share an anchor in it.
 1. Copies. Documents with equal texts are one text, of the smallest id; the
    other copies are covered from end to end and need no further work.
 2. Anchors. Each task passes on its anchors' hashes as sorted blocks, dealt by
-   hash; the anchors found under two ids or more come back to their texts.
+   hash; the anchors found under two ids or more come back, dealt by text.
 3. Runs. Each task takes the suffix at each such anchor (the 50 bytes from it,
    and the 34 before it), sorts them, and passes them on as front-coded runs:
    for each suffix the length of the prefix that it shares with the one before
@@ -61,10 +61,26 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _planes(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Non-negative integers as 16-bit planes, the lowest first; the upper ones are mostly zero and compress to nothing."""
+    out, rest = [], x.astype(np.uint64)
+    while not out or rest.any():
+        out.append((rest & np.uint64(0xFFFF)).astype(np.uint16))
+        rest = rest >> np.uint64(16)
+    return tuple(out)
+
+
+def _joined(planes) -> np.ndarray:
+    out = np.zeros(len(planes[0]), dtype=np.uint64)
+    for i, p in enumerate(planes):
+        out |= p.astype(np.uint64) << np.uint64(16 * i)
+    return out.astype(np.int64)
+
+
+def _pack(*arrays) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(blob: bytes):
@@ -123,6 +139,7 @@ def _anchor_blocks(parts: int, length: int):
             nonlocal count
             h, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
             part = (h % np.uint64(parts)).astype(np.int64)
+            h >>= np.uint64(24)  # 40 bits tell the million or so anchors of a part from each other; windows are compared exactly later
             order = np.lexsort((h, part))
             h, doc, place, part = h[order], doc[order], place[order], part[order]
             starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -130,7 +147,7 @@ def _anchor_blocks(parts: int, length: int):
             rows = []
             for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
                 used, local = np.unique(doc[a:b], return_inverse=True)
-                rows.append((int(part[a]), _pack(np.diff(h[a:b], prepend=np.uint64(0)), local.astype(np.uint32), place[a:b].astype(np.uint32), ordinals[used], ids[used])))
+                rows.append((int(part[a]), _pack(_planes(np.diff(h[a:b], prepend=np.uint64(0))), _planes(local), _planes(place[a:b]), ordinals[used], ids[used])))
             found.clear()
             orders.clear()
             tids.clear()
@@ -181,28 +198,55 @@ def _anchor_blocks(parts: int, length: int):
     return work
 
 
-def _shared_anchors(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """(ord, tid, place) of the anchors whose hash occurs under two ids."""
-    h, ordinal, tid, place = [], [], [], []
+def _shared_anchors(parts: int):
+    """Rows (part, block): text and place of the anchors whose hash occurs under two ids, dealt by text."""
+
+    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+        h, ordinal, tid, place = [], [], [], []
+        for blob in rows["block"]:
+            d, local, p, o, t = _unpack(blob)
+            local = _joined(local)
+            h.append(np.cumsum(_joined(d)))
+            ordinal.append(o[local])
+            tid.append(t[local])
+            place.append(_joined(p))
+        h, ordinal, tid, place = np.concatenate(h), np.concatenate(ordinal), np.concatenate(tid), np.concatenate(place)
+        order = np.argsort(h, kind="stable")
+        h, ordinal, tid, place = h[order], ordinal[order], tid[order], place[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        apart = np.minimum.reduceat(ordinal, starts) != np.maximum.reduceat(ordinal, starts)
+        keep = np.repeat(apart, np.diff(np.append(starts, len(h))))
+        ordinal, tid, place = ordinal[keep], tid[keep], place[keep]
+        if not len(ordinal):
+            return pd.DataFrame({"part": [], "block": []})
+        part = ((tid.view(np.uint64) * _M1) >> np.uint64(33)).astype(np.int64) % parts
+        order = np.lexsort((place, tid, ordinal, part))
+        ordinal, tid, place, part = ordinal[order], tid[order], place[order], part[order]
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        out = []
+        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+            begin = np.flatnonzero(np.concatenate(([True], (ordinal[a + 1 : b] != ordinal[a : b - 1]) | (tid[a + 1 : b] != tid[a : b - 1]))))
+            sizes = np.diff(np.append(begin, b - a))
+            out.append((int(part[a]), _pack(ordinal[a:b][begin], tid[a:b][begin], _planes(sizes), _planes(place[a:b]))))
+        return pd.DataFrame(out, columns=["part", "block"])
+
+    return work
+
+
+def _places_of_texts(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """(ord, tid, places): one row a text with all its shared anchors."""
+    ordinal, tid, place = [], [], []
     for blob in rows["block"]:
-        d, local, p, o, t = _unpack(blob)
-        h.append(np.cumsum(d, dtype=np.uint64))
-        ordinal.append(o[local])
-        tid.append(t[local])
-        place.append(p)
-    h, ordinal, tid, place = np.concatenate(h), np.concatenate(ordinal), np.concatenate(tid), np.concatenate(place)
-    order = np.argsort(h, kind="stable")
-    h, ordinal, tid, place = h[order], ordinal[order], tid[order], place[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    apart = np.minimum.reduceat(ordinal, starts) != np.maximum.reduceat(ordinal, starts)
-    keep = np.repeat(apart, np.diff(np.append(starts, len(h))))
-    ordinal, tid, place = ordinal[keep], tid[keep], place[keep]
-    if not len(ordinal):
-        return pd.DataFrame({"ord": [], "tid": [], "places": []})
+        o, t, sizes, p = _unpack(blob)
+        sizes = _joined(sizes)
+        ordinal.append(np.repeat(o, sizes))
+        tid.append(np.repeat(t, sizes))
+        place.append(_joined(p))
+    ordinal, tid, place = np.concatenate(ordinal), np.concatenate(tid), np.concatenate(place)
     order = np.lexsort((place, tid, ordinal))
     ordinal, tid, place = ordinal[order], tid[order], place[order]
     starts = np.flatnonzero(np.concatenate(([True], (ordinal[1:] != ordinal[:-1]) | (tid[1:] != tid[:-1]))))
-    return pd.DataFrame({"ord": ordinal[starts], "tid": tid[starts], "places": [x.astype(np.int64) for x in np.split(place, starts[1:])]})
+    return pd.DataFrame({"ord": ordinal[starts], "tid": tid[starts], "places": np.split(place, starts[1:])})
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -248,7 +292,7 @@ def _suffix_runs(parts: int, length: int):
                 owners = np.array(owners)
                 used, local = np.unique(owners, return_inverse=True)
                 table = np.array([docs[u] for u in used], dtype=np.int64)
-                rows.append((part, _pack(np.array(prefixes, np.uint8), np.frombuffer(b"".join(tails), np.uint8), np.array(lengths, np.uint8), np.frombuffer(b"".join(befores), np.uint8), np.array(before_lengths, np.uint8), np.array(counts, np.uint32), local.astype(np.uint32), np.array(places, np.int64), table)))
+                rows.append((part, _pack(np.array(prefixes, np.uint8), b"".join(tails), np.array(lengths, np.uint8), b"".join(befores), np.array(before_lengths, np.uint8), _planes(np.array(counts)), _planes(local), _planes(np.array(places)), table)))
             records.clear()
             docs.clear()
             return pd.DataFrame(rows, columns=["part", "run"])
@@ -257,7 +301,7 @@ def _suffix_runs(parts: int, length: int):
             for text, ordinal, tid, places in zip(batch["text"], batch["ord"], batch["tid"], batch["places"], strict=True):
                 text, doc = bytes(text), len(docs)
                 docs.append((int(ordinal), int(tid)))
-                for p in np.unique(np.concatenate([np.asarray(x) for x in places])).tolist():
+                for p in np.unique(places).tolist():
                     suffix = text[p : p + length]
                     records.append((zlib.crc32(suffix[:ANCHOR]) % parts, suffix, text[max(0, p - left) : p], doc, p))
                 if len(records) >= RUN_SUFFIXES:
@@ -274,8 +318,8 @@ class Run:
     def __init__(self, blob: bytes) -> None:
         prefixes, tails, lengths, befores, before_lengths, counts, local, places, table = _unpack(blob)
         self.prefixes, self.lengths = prefixes.tolist(), lengths.tolist()
-        self.tails, self.befores, self.before_lengths = tails.tobytes(), befores.tobytes(), before_lengths.tolist()
-        self.counts, self.owners, self.places = counts, table[local], places
+        self.tails, self.befores, self.before_lengths = tails, befores, before_lengths.tolist()
+        self.counts, self.owners, self.places = _joined(counts), table[_joined(local)], _joined(places)
         self.i, self.at, self.before_at, self.suffix, self.before = -1, 0, 0, b"", b""
 
     def next(self) -> int:
@@ -472,8 +516,8 @@ def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", length
     unique = marked.filter(F.col("copy") == F.lit(False)).filter(F.col("n_bytes") >= length).select("ord", "tid").distinct()
     texts = rows.select("ord", "tid", "text").repartition(parts, "ord", "tid").join(unique, ["ord", "tid"], "left_semi")
     blocks = texts.mapInPandas(_anchor_blocks(parts, length), "part int, block binary")
-    places = blocks.groupBy("part").applyInPandas(_shared_anchors, "ord long, tid long, places array<long>")
-    places = places.groupBy("ord", "tid").agg(F.collect_list("places").alias("places"))
+    places = blocks.groupBy("part").applyInPandas(_shared_anchors(parts), "part int, block binary")
+    places = places.groupBy("part").applyInPandas(_places_of_texts, "ord long, tid long, places array<long>")
     with_places = texts.join(places, ["ord", "tid"]).select("text", "ord", "tid", "places")
     runs = with_places.mapInPandas(_suffix_runs(parts, length), "part int, run binary")
     spans = runs.groupBy("part").applyInPandas(_covered(length), "ord long, tid long, start long, stop long")
