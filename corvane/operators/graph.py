@@ -153,7 +153,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, iteration
 
 def proximity(expanded: DataFrame, seeds: DataFrame, dist: DataFrame, ranks: DataFrame, pages: DataFrame) -> DataFrame:
     """(query_id, page_id, score): nearness to the closest seed times PageRank; nodes out of reach stay with 0."""
-    near = expanded.join(seeds.select("query_id", F.col("id").alias("seed")), "query_id").join(dist, ["seed", "id"], "left")
+    near = expanded.select("query_id", "id").join(seeds.select("query_id", F.col("id").alias("seed")), "query_id").join(dist, ["seed", "id"], "left")
     near = near.groupBy("query_id", "id").agg(F.coalesce(F.max(1.0 / (F.col("dist") + 1)), F.lit(0.0)).alias("near"))
     rows = near.join(ranks, "id", "left").join(pages.select("page_id", F.col("symbol_id").alias("id")), "id")
     return rows.select("query_id", "page_id", F.round(F.col("near") * (1 + 100 * F.coalesce("rank", F.lit(0.0))), 9).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import lexical, pages, symbols
 from corvane.sources import adapters as A
 
-from .queries_text import _ID_TEXT, _SPLIT, _STOP  # noqa: F401
+from .queries_text import _PARTS, _WORDS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,7 +24,6 @@ def query(sql: str | None = None):
 
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
-CODE = f"list_filter(list_transform(string_split_regex({{0}}, '{_SPLIT.replace('{', '{{').replace('}', '}}')}'), lambda x: lower(x)), lambda x: len(x) > 1 AND x NOT IN ({_STOP.replace('{', '{{').replace('}', '}}')}))"
 
 
 def bm25_sql(tokens: str, method: str = "lucene", queries: str = "SELECT item_id AS q, text FROM benchmark") -> str:
@@ -63,9 +62,12 @@ def lex_bm25_lucene_topk(spark, sf_dir):
     return _out(lexical.search(lexical.build(_docs(spark, sf_dir)), A.queries(spark, sf_dir), 10))
 
 
-@query(bm25_sql(CODE, "okapi") + _TOP)
+_CODE_WORDS = f"SELECT item_id AS q, {_WORDS} AS ws FROM benchmark"
+
+
+@query(bm25_sql("{0}", "okapi").replace("SELECT doc_id, unnest(text) AS t FROM documents", f"SELECT doc_id, unnest({_PARTS}) AS t FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)").replace(
+    "qs AS (SELECT item_id AS q, text FROM benchmark)", f"qs AS ({_CODE_WORDS})").replace("SELECT q, unnest(text) AS t FROM qs", f"SELECT q, unnest({_PARTS}) AS t FROM qs") + _TOP)
 def lex_bm25_okapi_topk(spark, sf_dir):
-    """The documents hold neither camel case nor underscores, so their code tokens are their words."""
     return _out(lexical.search(lexical.build(_docs(spark, sf_dir), method="okapi"), A.queries(spark, sf_dir), 10))
 
 

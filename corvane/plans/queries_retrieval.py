@@ -92,11 +92,11 @@ def fus_rrf(spark, sf_dir):
 
 
 @query(_LISTS + """
-, i AS (SELECT q, q % 2 = 0 AS some FROM qs),
+, i AS (SELECT q, q % 2 = 0 AS yes FROM qs),
 f AS (SELECT q, doc_id, round(sum(w / (61 + rank)), 9) AS s FROM (
-  SELECT a.*, CASE WHEN some THEN 0.2 ELSE 0.6 END::DOUBLE AS w FROM a JOIN i USING (q) UNION ALL
-  SELECT b.*, CASE WHEN some THEN 0.5 ELSE 0.0 END::DOUBLE FROM b JOIN i USING (q) UNION ALL
-  SELECT g.*, CASE WHEN some THEN 0.5 ELSE 0.4 END::DOUBLE FROM g JOIN i USING (q)) GROUP BY ALL)
+  SELECT a.*, CASE WHEN yes THEN 0.2 ELSE 0.6 END::DOUBLE AS w FROM a JOIN i USING (q) UNION ALL
+  SELECT b.*, CASE WHEN yes THEN 0.5 ELSE 0.0 END::DOUBLE FROM b JOIN i USING (q) UNION ALL
+  SELECT g.*, CASE WHEN yes THEN 0.5 ELSE 0.4 END::DOUBLE FROM g JOIN i USING (q)) GROUP BY ALL)
 SELECT q AS query_id, doc_id AS page_id, (row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) - 1)::INT AS rank, round(s, 6) AS score FROM f WHERE s > 0 QUALIFY rank < 10""")
 def fus_rrf_weighted(spark, sf_dir):
     queries, bm25, short, first = _lists(spark, sf_dir)

@@ -30,13 +30,20 @@ _ID_TEXT = """
  UNION ALL SELECT 'n' || n_nationkey, n_name || ' the HTTPServer getURLOf' FROM nation"""
 
 
+_WORDS = f"list_filter(string_split_regex(text, '{_SPLIT}'), lambda x: x <> '' AND lower(x) NOT IN ({_STOP}))"
+_SMALL = f"lambda y: len(y) > 1 AND y NOT IN ({_STOP})"
+_MARK = r"regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\1' || chr(1) || '\2', 'g'), '([A-Z])([A-Z][a-z])', '\1' || chr(1) || '\2', 'g')"
+#: Code tokens of the words in ``ws``.
+_PARTS = f"""flatten(list_transform(ws, lambda x: list_concat(
+   CASE WHEN len(x) > 1 THEN [lower(x)] ELSE [] END,
+   CASE WHEN contains({_MARK}, chr(1)) THEN list_filter(list_transform(string_split({_MARK}, chr(1)), lambda y: lower(y)), {_SMALL}) ELSE [] END,
+   CASE WHEN contains(x, '_') THEN list_filter(list_transform(string_split_regex(x, '_+'), lambda y: lower(y)), {_SMALL}) ELSE [] END)))"""
+
+
 @query(f"""
 WITH t AS ({_ID_TEXT}),
-w AS (SELECT id, list_filter(string_split_regex(text, '{_SPLIT}'), lambda x: x <> '' AND lower(x) NOT IN ({_STOP})) AS ws FROM t),
-k AS (SELECT id, flatten(list_transform(ws, lambda x: list_concat(
-   CASE WHEN len(x) > 1 THEN [lower(x)] ELSE [] END,
-   CASE WHEN regexp_matches(x, '[a-z][A-Z]|[A-Z][A-Z][a-z]') THEN list_filter(list_transform(string_split(regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda y: lower(y)), lambda y: len(y) > 1 AND y NOT IN ({_STOP})) ELSE [] END,
-   CASE WHEN contains(x, '_') THEN list_filter(list_transform(string_split_regex(x, '_+'), lambda y: lower(y)), lambda y: len(y) > 1 AND y NOT IN ({_STOP})) ELSE [] END))) AS ts FROM w)
+w AS (SELECT id, {_WORDS} AS ws FROM t),
+k AS (SELECT id, {_PARTS} AS ts FROM w)
 SELECT id, array_to_string(ts, ' ') AS tokens, len(ts)::INT AS n_tokens FROM k""")
 def str_tokenize_code(spark, sf_dir):
     rows = A.identifier_text(spark, sf_dir).withColumn("t", T.tokenize_code(F.col("text")))
@@ -130,7 +137,7 @@ _metric(
 _metric("evl_hit", lambda f, r: M.hit_at_k(f, r, 5).cast("double"), "max(CASE WHEN hit AND r <= 5 THEN 1.0 ELSE 0 END)::DOUBLE")
 
 _ANSWERS = """
-WITH a AS (SELECT x.conv_id, x.turn, x.text AS predicted, CASE WHEN x.conv_id % 3 = 0 THEN '  ' || upper(x.text) ELSE y.text END AS truth
+WITH a AS (SELECT x.conv_id, x.turn, x.text AS predicted, CASE WHEN x.conv_id % 3 = 0 THEN '  ' || replace(x.text, ' ', '   ') ELSE y.text END AS truth
            FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = y.turn - 1)
 """
 

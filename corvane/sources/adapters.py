@@ -89,8 +89,8 @@ def trade_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, predicted, truth): each turn and the next one's text, which repeats it in capitals every third time."""
+    """(conv_id, turn, predicted, truth): each turn and the next one's text, which repeats it with other spaces every third time."""
     a = table(spark, sf_dir, "conversations")
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("truth"))
     rows = a.select("conv_id", "turn", F.col("text").alias("predicted")).join(b, ["conv_id", "turn"])
-    return rows.withColumn("truth", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.upper("predicted"))).otherwise(F.col("truth")))
+    return rows.withColumn("truth", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.replace("predicted", F.lit(" "), F.lit("   ")))).otherwise(F.col("truth")))

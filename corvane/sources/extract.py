@@ -151,7 +151,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table = pd.DataFrame(rows, columns=columns)
             for c in ("parameters", "calls", "base_classes", "decorators", "type_hints", "names"):
                 table[c] = table[c].map(lambda v: v if isinstance(v, list) else [])
-            yield table.astype({"line_start": "Int32", "line_end": "Int32"}).where(table.notna(), None)
+            yield table.astype(object).where(table.notna(), None)
 
 
 def raw_symbols(files: DataFrame) -> DataFrame:
