@@ -22,7 +22,8 @@ shingles that no item has; similarity is the weighted Jaccard of the counts.
 Defined results
 * words are runs of letters and digits, lower-cased; a text of fewer than five
   words is one shingle, and one without words matches nothing;
-* null texts match nothing; null item ids are left out;
+* null texts match nothing; null item ids are left out; rows without an id
+  are taken for one document without an id;
 * a passage that occurs several times in a document counts once, at the place
   of the highest similarity, the first of those;
 * repeated rows of an id are one document (a pair is reported once);
@@ -120,21 +121,20 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
     index = table.select("item_id", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     index = index.select(F.col("item_id").alias("item"), "fingerprint", "block", F.explode(values).alias("value"))
     per_block = sum(_choose(8, k) for k in range(near + 1))
-    probe = found.select("doc_id", "item", "start", "print", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    probe = found.select("doc_id", "item", "start", "hashes", "print", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     probe = probe.withColumn("value", _block(F.col("print"), F.col("block")))
     hits = probe.join(_bounded(index, n_items * BLOCKS * per_block), ["item", "block", "value"])
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint")))
     hits = hits.withColumn("distance", distance.cast("int")).filter(F.col("distance") <= radius)
     # a pair meets in several blocks: keep it in the first
     first = F.expr(f"aggregate(sequence(0, {BLOCKS - 1}), {BLOCKS}, (m, b) -> CASE WHEN m = {BLOCKS} AND bit_count((shiftrightunsigned(print, b * 8) ^ shiftrightunsigned(fingerprint, b * 8)) & 255) <= {near} THEN b ELSE m END)")
-    hits = hits.filter(F.col("block") == first).select("doc_id", "item", "start", "distance")
+    pairs = hits.filter(F.col("block") == first).select("doc_id", "item", "start", "distance", "hashes")
     # exact similarity of weighted counts
     weight = table.select(F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash").agg(F.log(1 + F.lit(float(n_items)) / F.count("*")).alias("weight"))
     side = table.select(F.col("item_id").alias("item"), "n_words", F.explode("hashes").alias("hash")).groupBy("item", "n_words", "hash").agg(F.count("*").alias("b"))
     side = side.join(weight, "hash").withColumnRenamed("weight", "wb")
     items_w = side.groupBy("item", "n_words").agg(F.sum(F.col("b") * F.col("wb")).alias("all_b"))
     other = F.lit(float(n_items)) if n_items else F.lit(1.0)
-    pairs = hits.join(found.select("doc_id", "item", "start", "hashes"), ["doc_id", "item", "start"])
     ours = pairs.select("doc_id", "item", "start", "distance", F.explode("hashes").alias("hash"))
     ours = ours.groupBy("doc_id", "item", "start", "distance", "hash").agg(F.count("*").alias("a"))
     ours = ours.join(_bounded(weight, n_shingles), "hash", "left").withColumn("wa", F.coalesce("weight", F.log(1 + other)))
@@ -158,8 +158,10 @@ def _choose(n: int, k: int) -> int:
 
 def clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no item."""
-    bad = contaminated(docs, items, doc, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc) == F.col("__bad"), "left_anti")
+    bad = materialize(contaminated(docs, items, doc, **options).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_ROWS:  # 8 bytes each; beyond, both sides are shuffled
+        bad = F.broadcast(bad)
+    return docs.join(bad, F.col(doc).eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,14 @@ def model_for(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> Model:
     return train(materialize(labelled_rows(docs, labels, doc), "labelled"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``docs`` without those that a model learned from them predicts to be toxic, in their own columns."""
+    model = model_for(docs, labels, doc)
+    mine = {c: f"__in_{c}" for c in ("held_out", "score", "predicted") if c in docs.columns}
+    scored = score(docs.withColumnsRenamed(mine), model, doc).filter(F.col("predicted") == 0).drop("held_out", "score", "predicted")
+    return scored.withColumnsRenamed({v: k for k, v in mine.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = model_for(docs, common.table(spark, sf_dir, "labels"))
