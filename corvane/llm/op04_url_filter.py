@@ -38,6 +38,8 @@ MIN_SUPPORT, MIN_COUNT = 0.0005, 20
 MIN_CONFIDENCE = 0.8
 #: Tokens in a combination at most.
 MAX_TOKENS = 4
+#: Token sets that a mined rule fits (about 500 bytes each) are broadcast up to this number, counted first.
+BROADCAST_SETS = 100_000
 BLOCK = "=block"
 OUTPUT = ("host", "path", "rule", "verdict")
 
@@ -111,7 +113,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, url: str = "url", pa
     looked = sets.select("tokens", F.explode("tokens").alias("under"))
     hits = looked.join(mined.select("under", F.col("tokens").alias("__rule"), "confidence"), "under")
     hits = hits.filter(F.size(F.array_except("__rule", "tokens")) == 0)
-    hits = hits.groupBy("tokens").agg(F.max(F.struct("confidence", "__rule")).alias("__hit"))
+    hits = materialize(hits.groupBy("tokens").agg(F.max(F.struct("confidence", "__rule")).alias("__hit")), "url-hits")
+    if hits.count() <= BROADCAST_SETS:  # else both sides are shuffled, and a hot token set with them
+        hits = F.broadcast(hits)
     rule, verdict = fixed_rule(host_of(F.col(url)), path_of(F.col(url)), rules)
     out = pages.withColumn("__tokens", tokens_of(F.col(url))).join(hits.withColumnRenamed("tokens", "__tokens"), "__tokens", "left")
     learned = F.when(F.col("__hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
