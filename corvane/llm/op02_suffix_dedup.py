@@ -546,5 +546,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Brute force over all windows, as hex digits (two a byte).
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, doc_id, o, h, (length(h) // 2)::BIGINT AS n FROM d),
+p AS (SELECT r, o, n, i, CASE WHEN i <= n - {LENGTH} THEN substr(h, 2 * i + 1, {2 * LENGTH}) END AS w, substr(h, 2 * i + 1, 2) AS c FROM b, unnest(range(0, n)) AS u(i)),
+m AS (SELECT w, min(o) AS first FROM p WHERE w IS NOT NULL GROUP BY w),
+f AS (SELECT p.r, p.i, p.c, coalesce(first < p.o, false) AS starts FROM p LEFT JOIN m ON m.w = p.w),
+g AS (SELECT r, i, c, bool_or(starts) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+l AS (SELECT r, i, c, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM g),
+a AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM l GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN a USING (r)
+"""
+
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL}
