@@ -22,8 +22,8 @@ def query(sql: str | None = None):
 
 
 _TRADE = """
-p AS (SELECT *, p_partkey AS k FROM part WHERE p_partkey < 2000),
-s AS (SELECT 's' || k AS id, 'f' || (k % 500) AS name, p_brand || '.f' || (k % 500) AS qn, CASE WHEN p_size % 5 = 0 THEN 'class' ELSE 'function' END AS type, p_brand AS file_path,
+p AS (SELECT *, p_partkey AS k FROM part),
+s AS (SELECT 's' || k AS id, 'f' || (k // 4) AS name, p_brand || '.f' || (k // 4) AS qn, CASE WHEN p_size % 5 = 0 THEN 'class' ELSE 'function' END AS type, p_brand AS file_path,
   ['f' || ((k * 3 + 1) % 97), 'f' || ((k * 5 + 1) % 97)] AS calls, CASE WHEN p_size % 5 = 0 THEN ['f' || ((k * 7 + 1) % 97)] ELSE [] END AS bases,
   CASE WHEN p_size % 7 = 0 THEN 'f' || ((k * 11 + 1) % 97) END AS parent, CASE WHEN p_size % 2 = 0 THEN ['f' || ((k * 3 + 1) % 97)] ELSE [] END AS hints, k AS ord FROM p),
 n AS (SELECT name AS key, id AS target, type FROM s UNION SELECT qn, id, type FROM s),
@@ -54,18 +54,18 @@ def grf_stats(spark, sf_dir):
     return graph.stats(graph.nodes(s), graph.resolve_edges(s))
 
 
-@query(f"WITH {_TRADE} SELECT id, src AS caller FROM (SELECT DISTINCT id FROM s WHERE ord % 100 < 5) JOIN e ON dst = id WHERE e.type = 'CALLS'")
+@query(f"WITH {_TRADE} SELECT id, src AS caller FROM (SELECT DISTINCT id FROM s WHERE ord % 50 = 0) JOIN e ON dst = id WHERE e.type = 'CALLS'")
 def grf_callers(spark, sf_dir):
     s = A.trade_symbols(spark, sf_dir)
     ids = s.select(F.col("symbol_id").alias("id"), "ord")
-    return graph.callers(graph.resolve_edges(s), ids, ids.filter("ord % 100 < 5"))
+    return graph.callers(graph.resolve_edges(s), ids, ids.filter("ord % 50 = 0"))
 
 
-@query(f"WITH {_TRADE} SELECT id, dst AS callee FROM (SELECT DISTINCT id FROM s WHERE ord % 100 < 5) JOIN e ON src = id WHERE e.type = 'CALLS'")
+@query(f"WITH {_TRADE} SELECT id, dst AS callee FROM (SELECT DISTINCT id FROM s WHERE ord % 50 = 0) JOIN e ON src = id WHERE e.type = 'CALLS'")
 def grf_callees(spark, sf_dir):
     s = A.trade_symbols(spark, sf_dir)
     ids = s.select(F.col("symbol_id").alias("id"), "ord")
-    return graph.callees(graph.resolve_edges(s), ids, ids.filter("ord % 100 < 5"))
+    return graph.callees(graph.resolve_edges(s), ids, ids.filter("ord % 50 = 0"))
 
 
 _GEO = """
@@ -74,20 +74,22 @@ e AS (SELECT 'S' || s_suppkey AS src, 'N' || s_nationkey AS dst, 'CALLS' AS type
 nd AS (SELECT 'S' || s_suppkey AS id, s_name AS name, 'function' AS type FROM supplier UNION ALL SELECT 'C' || c_custkey, c_name, 'method' FROM customer
   UNION ALL SELECT 'N' || n_nationkey, n_name, 'class' FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name, 'file' FROM region),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-seed AS (SELECT 'q' || (s_suppkey % 10) AS query_id, 'S' || s_suppkey AS id FROM supplier WHERE s_suppkey < 20)
+seed AS (SELECT 'q' || (c_custkey // 50 % 10) AS query_id, 'C' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0)
 """
 
 
 def _seeds(spark, sf_dir):
-    s = A.table(spark, sf_dir, "supplier").filter("s_suppkey < 20")
-    return s.select(F.concat(F.lit("q"), (F.col("s_suppkey") % 10).cast("string")).alias("query_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
+    """Every fiftieth customer, in ten queries."""
+    c = A.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0")
+    return c.select(F.concat(F.lit("q"), F.expr("c_custkey div 50 % 10").cast("string")).alias("query_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
 
 
-@query(f"""WITH RECURSIVE {_GEO}, w AS (SELECT id AS start, id, 0 AS d FROM seed UNION SELECT start, dst, d + 1 FROM w JOIN e ON src = id WHERE type = 'CALLS' AND d < 2),
+@query(f"""WITH RECURSIVE {_GEO}, w AS (SELECT id AS start, id, 0 AS d FROM nd WHERE type = 'function' UNION SELECT start, dst, d + 1 FROM w JOIN e ON src = id WHERE type = 'CALLS' AND d < 2),
 r AS (SELECT start, id, min(d)::INT AS dist FROM w GROUP BY ALL)
 SELECT start, a.name AS caller, 'CALLS' AS edge, b.name AS callee, dist FROM r JOIN e ON src = id AND type = 'CALLS' JOIN nd a ON a.id = src JOIN nd b ON b.id = dst""".replace("type = 'CALLS' JOIN", "e.type = 'CALLS' JOIN"))
 def grf_call_chain(spark, sf_dir):
-    return graph.call_chain(A.geo_edges(spark, sf_dir), A.geo_nodes(spark, sf_dir), _seeds(spark, sf_dir).select("id").distinct(), 3)
+    nodes = A.geo_nodes(spark, sf_dir)
+    return graph.call_chain(A.geo_edges(spark, sf_dir), nodes, nodes.filter("type = 'function'").select("id"), 3)
 
 
 _BFS = """w AS (SELECT query_id, id, 0 AS d FROM seed UNION SELECT query_id, dst, d + 1 FROM w JOIN u ON src = id WHERE d < 2),
@@ -106,9 +108,9 @@ g AS (SELECT id AS seed, id, 0 AS d FROM seed UNION SELECT seed, src, d + 1 FROM
 dd AS (SELECT seed, id, min(d)::INT AS dist FROM (SELECT * FROM f UNION ALL SELECT * FROM g) GROUP BY ALL)"""
 
 
-@query(f"""WITH RECURSIVE {_GEO.replace("'S' || s_suppkey AS id FROM supplier WHERE s_suppkey < 20", "'N' || s_suppkey AS id FROM supplier WHERE s_suppkey < 5")}, {_DIST} SELECT * FROM dd""")
+@query(f"""WITH RECURSIVE {_GEO.replace("'C' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0", "'N' || n_nationkey AS id FROM nation").replace("c_custkey // 50 % 10", "n_nationkey")}, {_DIST} SELECT * FROM dd""")
 def grf_distances(spark, sf_dir):
-    seeds = A.table(spark, sf_dir, "supplier").filter("s_suppkey < 5").select(F.concat(F.lit("N"), F.col("s_suppkey").cast("string")).alias("seed"))
+    seeds = A.table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("seed"))
     return graph.shortest(seeds, A.geo_edges(spark, sf_dir), 3)
 
 

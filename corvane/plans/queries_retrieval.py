@@ -31,14 +31,14 @@ def query(sql: str | None = None):
 _COS = "round(list_dot_product(q.v, d.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-9) * (sqrt(list_dot_product(d.v, d.v)) + 1e-9)), 9)"
 _KNN = f"""
 ev AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-kn AS (SELECT q.vec_id AS query_id, d.vec_id AS page_id, {_COS} AS s FROM ev q JOIN ev d ON q.vec_id < 20),
+kn AS (SELECT q.vec_id AS query_id, d.vec_id AS page_id, {_COS} AS s FROM ev q JOIN ev d ON q.vec_id % 50 = 0),
 kr AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, page_id) - 1)::INT AS rank FROM kn QUALIFY rank < 10)
 """
 
 
 def _knn(spark, sf_dir, **options):
     e = A.table(spark, sf_dir, "embeddings")
-    return vector.knn(e, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10, key="vec_id", **options)
+    return vector.knn(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, key="vec_id", **options)
 
 
 @query(f"WITH {_KNN} SELECT query_id, page_id, rank, round(s, 6) AS score FROM kr")
@@ -50,7 +50,7 @@ def vec_knn_cosine(spark, sf_dir):
 def vec_knn_clamped(spark, sf_dir):
     """Against the opposite of each query, so that the clamp at 0 decides."""
     e = A.table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: -x).alias("embedding"))
     return vector.knn(e, q, 10, clamp=True, key="vec_id").select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -190,13 +190,13 @@ def ret_hybrid(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT item_id AS q, d.doc_id, d.source, row_number() OVER (PARTITION BY item_id ORDER BY d.doc_id) - 1 AS rank FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id QUALIFY rank < 5)
-SELECT q AS query_id, source AS file_path, min(rank)::INT AS first_rank FROM h GROUP BY ALL""")
+WITH h AS (SELECT source AS q, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents)
+SELECT q AS query_id, lang AS file_path, min(rank)::INT AS first_rank FROM h GROUP BY ALL""")
 def ret_file_paths(spark, sf_dir):
+    """Each source's documents as one ranked list, their languages as files."""
     d = A.table(spark, sf_dir, "documents")
-    rows = d.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("page_id"), "source").join(A.queries(spark, sf_dir), "query_id")
-    hits = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id")) - 1).filter("rank < 5")
-    return retrievers.file_paths(hits, d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("file_path")))
+    hits = d.select(F.col("source").alias("query_id"), F.col("doc_id").alias("page_id"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("rank"))
+    return retrievers.file_paths(hits, d.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("file_path")))
 
 
 _RANKED = "SELECT source AS q, doc_id, text, lang, source || '/' || lang || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents QUALIFY rank < 12"
@@ -216,12 +216,12 @@ def ctx_pack(spark, sf_dir):
 
 
 @query(r"""
-WITH w AS (SELECT item_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
+WITH w AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws FROM benchmark),
+i AS (SELECT item_id, ws, list_filter(ws, lambda x: regexp_full_match(x, '[a-zA-Z_][\p{L}\p{N}_]+')) AS ids FROM w)
 SELECT item_id AS query_id, array_to_string(list_concat(list_transform(list_filter(ws, lambda x: regexp_full_match(x, '[a-zA-Z]{4,}')), lambda x: lower(x)),
-  list_filter(list_filter(ws, lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]+')), lambda x, i: list_position(list_filter(ws, lambda y: regexp_full_match(y, '[a-zA-Z_][a-zA-Z0-9_]+')), x) = i)), ' ') AS search FROM w""")
+  list_filter(ids, lambda x, i: list_position(ids, x) = i)), ' ') AS search FROM i""")
 def qry_expand_offline(spark, sf_dir):
-    ascii_only = A.queries(spark, sf_dir).filter(~F.col("query").rlike(r"[^\x00-\x7F]"))
-    return providers.expand(ascii_only).select("query_id", "search")
+    return providers.expand(A.queries(spark, sf_dir)).select("query_id", "search")
 
 
 @query("SELECT count(*) AS calls, sum(length(text) // 4)::BIGINT AS prompt_tokens, sum(length(array_to_string(list_slice(string_split(text, chr(10)), 1, 5), chr(10))) // 4)::BIGINT AS completion_tokens, prompt_tokens + completion_tokens AS total_tokens FROM benchmark")
@@ -231,12 +231,11 @@ def llm_usage(spark, sf_dir):
 
 
 @query(r"""
-WITH h AS (SELECT item_id AS q, d.doc_id, d.source, d.lang, row_number() OVER (PARTITION BY item_id ORDER BY d.doc_id) - 1 AS rank FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id QUALIFY rank < 5)
+WITH h AS (SELECT source AS q, doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents)
 SELECT q AS query_id, string_agg(source || '/' || lang || '/' || doc_id || ',' || source, ',' ORDER BY rank) AS found FROM h GROUP BY q""")
 def evl_interleaved(spark, sf_dir):
     p = A.pages(spark, sf_dir)
-    rows = p.select((F.col("page_id") % 40).alias("query_id"), "page_id").join(A.queries(spark, sf_dir), "query_id")
-    hits = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id")) - 1).filter("rank < 5")
+    hits = p.select(F.col("symbol_name").alias("query_id"), "page_id", (F.row_number().over(Window.partitionBy("symbol_name").orderBy("page_id")) - 1).alias("rank"))
     return evaluate.interleaved(hits, p).select("query_id", F.array_join("found", ",").alias("found"))
 
 

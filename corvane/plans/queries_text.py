@@ -101,9 +101,9 @@ def jsn_parse(spark, sf_dir):
 _FOUND = """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT q.vec_id AS q, d.vec_id AS d, d.label = q.label AS hit, round(list_dot_product(q.v, d.v) / ((sqrt(list_dot_product(q.v, q.v)) + 1e-9) * (sqrt(list_dot_product(d.v, d.v)) + 1e-9)), 9) AS s
-      FROM e q JOIN e d ON q.vec_id < 20 AND q.vec_id <> d.vec_id),
+      FROM e q JOIN e d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT q, d, hit, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM p QUALIFY r <= 20),
-rel AS (SELECT q.vec_id AS q, count(*)::DOUBLE AS n FROM e q JOIN e d ON q.vec_id < 20 AND q.vec_id <> d.vec_id AND q.label = d.label GROUP BY 1)
+rel AS (SELECT q.vec_id AS q, count(*)::DOUBLE AS n FROM e q JOIN e d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND q.label = d.label GROUP BY 1)
 """
 
 
@@ -111,11 +111,11 @@ def _found(spark, sf_dir):
     from corvane.operators import vector
 
     e = A.table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = vector.knn(e, q, 21, key="vec_id").filter("query_id <> page_id")
     found = hits.groupBy("query_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("rank", "page_id"))), lambda s: s["page_id"]), 1, 20).alias("found"))
     labels = e.select("vec_id", "label")
-    rel = labels.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(labels, "label").filter("vec_id <> query_id")
+    rel = labels.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels, "label").filter("vec_id <> query_id")
     return found.join(rel.groupBy("query_id").agg(F.collect_list("vec_id").alias("relevant")), "query_id")
 
 

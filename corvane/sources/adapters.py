@@ -76,12 +76,12 @@ def geo_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols whose calls, bases, parents and type hints are names of others: several edges for one pair."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 2000")
+    p = table(spark, sf_dir, "part")
     other = lambda n: F.concat(F.lit("f"), ((F.col("p_partkey") * n + 1) % 97).cast("string"))
     none = F.array().cast("array<string>")
     return p.select(
-        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("symbol_id"), F.concat(F.lit("f"), (F.col("p_partkey") % 500).cast("string")).alias("name"),
-        F.concat("p_brand", F.lit(".f"), (F.col("p_partkey") % 500).cast("string")).alias("qualified_name"), F.when(F.col("p_size") % 5 == 0, F.lit("class")).otherwise(F.lit("function")).alias("type"),
+        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("symbol_id"), F.concat(F.lit("f"), F.expr("p_partkey div 4").cast("string")).alias("name"),
+        F.concat("p_brand", F.lit(".f"), F.expr("p_partkey div 4").cast("string")).alias("qualified_name"), F.when(F.col("p_size") % 5 == 0, F.lit("class")).otherwise(F.lit("function")).alias("type"),
         F.col("p_brand").alias("file_path"), F.array(other(3), other(5)).alias("calls"), F.when(F.col("p_size") % 5 == 0, F.array(other(7))).otherwise(none).alias("base_classes"),
         F.when(F.col("p_size") % 7 == 0, other(11)).alias("parent"), F.when(F.col("p_size") % 2 == 0, F.array(other(3))).otherwise(none).alias("type_hints"), F.col("p_partkey").alias("ord"),
         F.lit(1).alias("line_start"), F.lit(2).alias("line_end"),
