@@ -45,15 +45,13 @@ PIECE, PAIRS = 1 << 15, 1 << 21
 FIELDS = 0x5555555555555555
 
 
-def fingerprint_of(text: str | None, words: int = WORDS, distinct: bool = False) -> int:
-    """The fingerprint as an unsigned number; with ``distinct`` a repeated single word counts once."""
+def fingerprint_of(text: str | None, words: int = WORDS) -> int:
+    """The fingerprint as an unsigned number."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not w:
         return 0
-    if distinct:
-        w = sorted(set(w))
     joined = memoryview(b" ".join(w))
     ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -70,13 +68,13 @@ def fingerprint_of(text: str | None, words: int = WORDS, distinct: bool = False)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, name: str = "__print", distinct: bool = False) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, name: str = "__print") -> DataFrame:
     """``docs`` with the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint_of(t, words, distinct) for t in texts], dtype=np.uint64).view(np.int64))
+            yield pd.Series(np.array([fingerprint_of(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn(name, prints(F.col(text)))
 
@@ -90,11 +88,14 @@ def groups_for(radius: int) -> int:
 
 
 def _cells(prints: DataFrame, groups: int) -> DataFrame:
-    """(g, cell, probe, print): each fingerprint in its own cell, and as a probe in those that an odd one looks at."""
+    """(g, cell, probe, print): each fingerprint in its own cell, and as a probe in those that an odd one looks at.
+
+    prints: print, and t, the number of the table of fingerprints that it stands in; g is t times ``groups`` and the group.
+    """
     bits = 64 // groups
     mask = (1 << bits) - 1
-    rows = prints.select("print", F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("g"))
-    rows = rows.withColumn("x", F.expr(f"shiftrightunsigned(print, g * {bits}) & {mask}L"))
+    rows = prints.select("t", "print", F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("g"))
+    rows = rows.withColumn("x", F.expr(f"shiftrightunsigned(print, g * {bits}) & {mask}L")).withColumn("g", F.expr(f"t * {groups} + g"))
     # two-bit fields with the number of bits set in each
     rows = rows.withColumn("cell", F.expr(f"x - (shiftrightunsigned(x, 1) & {FIELDS}L)"))
     own = rows.select("g", "cell", F.lit(False).alias("probe"), "print")
@@ -106,10 +107,13 @@ def _cells(prints: DataFrame, groups: int) -> DataFrame:
     return own.unionByName(near)
 
 
-def _forest(own: np.ndarray, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in one cell: among ``own``, and of ``probes`` to ``own``."""
+def _forest(own: np.ndarray, probes: np.ndarray, radius: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of the links in one cell: among ``own``, and of ``probes`` to ``own``.
+
+    With several, each is a forest of the links that those before have not used.
+    """
     every = np.concatenate((own, probes))
-    label = np.arange(len(every))
+    labels = [np.arange(len(every)) for _ in range(forests)]
     step = max(1, PAIRS // max(1, len(own)))
     a, b = [], []
     for i in range(0, len(every), step):
@@ -119,26 +123,33 @@ def _forest(own: np.ndarray, probes: np.ndarray, radius: int) -> tuple[np.ndarra
         r, c = r[order] + i, c[order]
         keep = r > c  # own come first: each pair of them once, every probe
         r, c = r[keep], c[keep]
-        while len(r):  # hook roots on smaller roots until all pairs of this piece agree
-            lr, lc = label[r], label[c]
-            apart = lr != lc
-            r, c, lr, lc = r[apart], c[apart], lr[apart], lc[apart]
+        for f in range(forests):
+            left = np.ones(len(r), dtype=bool)  # for the forests that follow
+            at = np.arange(len(r))
+            while len(at):  # hook roots on smaller roots until all pairs of this piece agree
+                lr, lc = labels[f][r[at]], labels[f][c[at]]
+                apart = lr != lc
+                at, lr, lc = at[apart], lr[apart], lc[apart]
+                if not len(at):
+                    break
+                high, low = np.maximum(lr, lc), np.minimum(lr, lc)
+                high, first = np.unique(high, return_index=True)
+                left[at[first]] = False
+                hook = np.arange(len(every))
+                hook[high] = low[first]
+                while (hook[hook] != hook).any():
+                    hook = hook[hook]
+                labels[f] = hook[labels[f]]
+            a.append(every[r[~left]])
+            b.append(every[c[~left]])
+            r, c = r[left], c[left]
             if not len(r):
                 break
-            high, low = np.maximum(lr, lc), np.minimum(lr, lc)
-            high, first = np.unique(high, return_index=True)
-            a.append(every[r[first]])
-            b.append(every[c[first]])
-            hook = np.arange(len(every))
-            hook[high] = low[first]
-            while (hook[hook] != hook).any():
-                hook = hook[hook]
-            label = hook[label]
     none = np.zeros(0, dtype=every.dtype)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _links(radius: int):
+def _links(radius: int, groups: int, forests: int):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -147,20 +158,22 @@ def _links(radius: int):
             starts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (cell[1:] != cell[:-1]))))
             sizes = np.diff(np.append(starts, len(g)))
             bases = np.add.reduceat((~probe).astype(np.int64), starts)
-            out_a, out_b = [], []
+            out_a, out_b, out_g = [], [], []
             two = (sizes == 2) & (bases >= 1)  # by far the most
             s = starts[two]
             near = np.bitwise_count(prints[s] ^ prints[s + 1]) <= radius
             out_a.append(prints[s[near]])
             out_b.append(prints[s[near] + 1])
+            out_g.append(g[s[near]])
             more = (sizes > 2) & (bases >= 1)
             for s, n, k in zip(starts[more], sizes[more], bases[more], strict=True):
-                a, b = _forest(prints[s : s + k], prints[s + k : s + n], radius)
+                a, b = _forest(prints[s : s + k], prints[s + k : s + n], radius, forests)
                 if len(a):
                     out_a.append(a)
                     out_b.append(b)
+                    out_g.append(np.full(len(a), g[s]))
             a, b = np.concatenate(out_a), np.concatenate(out_b)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            return pd.DataFrame({"t": np.concatenate(out_g) // groups, "a": a.view(np.int64), "b": b.view(np.int64)})
 
         for batch in batches:
             part = batch["g"].to_numpy(), batch["cell"].to_numpy(), batch["probe"].to_numpy(bool), batch["print"].to_numpy().view(np.uint64)
@@ -187,11 +200,13 @@ def _links(radius: int):
     return work
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints (column print) within ``radius`` into their components."""
-    cells = _cells(prints, groups_for(radius))
+def links(prints: DataFrame, radius: int = RADIUS, forests: int = 1) -> DataFrame:
+    """Links (t, a, b) that join all distinct fingerprints (columns t and print) within ``radius`` into their components."""
+    groups = groups_for(radius)
+    prints = prints if "t" in prints.columns else prints.withColumn("t", F.lit(0))
+    cells = _cells(prints, groups)
     cells = cells.repartition("g", "cell").sortWithinPartitions("g", "cell", "probe")
-    return cells.mapInPandas(_links(radius), "a long, b long")
+    return cells.mapInPandas(_links(radius, groups, forests), "t int, a long, b long")
 
 
 def linked(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -203,7 +218,7 @@ def linked(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int
 
 def with_components(prints: DataFrame, radius: int) -> DataFrame:
     classes = prints.groupBy("__print").agg(F.min("doc_id").alias("first"))
-    found = components(links(classes.select(F.col("__print").alias("print")), radius))
+    found = components(links(classes.select(F.col("__print").alias("print")), radius).select("a", "b"))
     least = classes.join(found, F.col("__print") == F.col("node"), "left").withColumn("root", F.coalesce("component", "__print"))
     ids = least.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = least.select("__print", "root").join(ids, "root").select("__print", "component_id")
@@ -212,13 +227,30 @@ def with_components(prints: DataFrame, radius: int) -> DataFrame:
 
 # --- near-duplicate documents: fingerprints propose, shingles decide
 
-#: A text of which a fiftieth of the words is changed keeps about 0.8 of its five-word shingles and differs in about 4 of 64 bits.
+#: A text of which a fiftieth of the words is changed keeps about 0.8 of its five-word shingles and differs in 4 to 6 of 64 bits.
 DEDUP_WORDS, DEDUP_SIMILARITY, DEDUP_RADIUS = 5, 0.8, 7
+#: Independent fingerprints a text (a multiple of 2), and spanning forests a cell.
+DEDUP_PRINTS, DEDUP_FORESTS = 4, 8
 #: Rows to be dropped (16 bytes each) are broadcast up to this number, counted first; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
+def word_prints(text: str | None, n: int = DEDUP_PRINTS) -> list[int]:
+    """``n`` independent fingerprints, as signed numbers, of the distinct words of a text."""
+    import xxhash
+
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return [0] * n
+    out: list[int] = []
+    for seed in range(n // 2):
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED + seed) for w in words]), dtype=np.uint8).reshape(-1, 16)
+        counts = sum(np.unpackbits(h[i : i + PIECE], axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(h), PIECE))
+        out += np.packbits(counts * 2 > len(h), bitorder="little").view("<i8").tolist()
+    return out
+
+
 def shingles_of(text: str | None, words: int = DEDUP_WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; of a shorter text the whole sequence, of none nothing."""
     import xxhash
@@ -233,20 +265,29 @@ def shingles_of(text: str | None, words: int = DEDUP_WORDS) -> np.ndarray:
 def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = DEDUP_WORDS, similarity: float = DEDUP_SIMILARITY, radius: int = DEDUP_RADIUS) -> DataFrame:
     """(ord, tid, n, keeper_ord, keeper_tid): each distinct (id, text), how often it occurs, and the one that stays for its group.
 
-    Fingerprints of a text's distinct words propose links: the spanning forests
-    of all cells, nearest pairs first, and equal fingerprints. A link holds if
-    the two texts share ``similarity`` of their distinct shingles (Jaccard).
-    Equal texts are always linked.
+    Independent fingerprints of a text's distinct words propose links: for
+    each, several spanning forests of every cell, nearest pairs first, and equal
+    fingerprints. A link holds if the two texts share ``similarity`` of their
+    distinct shingles (Jaccard). Equal texts are always linked.
     """
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
     rows = rows.withColumn("tid", F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    narrow = materialize(with_fingerprint(rows, "text", 1, distinct=True).select("ord", "tid", "__print"), "narrow")
-    texts = narrow.groupBy("tid").agg(F.min("ord").alias("ord"), F.first("__print").alias("print"))
-    classes = texts.groupBy("print").agg(F.min("tid").alias("rep"))
-    same = texts.join(classes, "print").filter("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b"))
-    near = links(classes.select("print"), radius).distinct()
-    near = near.join(classes.select(F.col("print").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("print").alias("b"), F.col("rep").alias("y")), "b")
-    proposed = materialize(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "proposed")
+
+    @F.pandas_udf("array<long>")
+    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield part.map(word_prints)
+
+    narrow = materialize(rows.select("ord", "tid", prints_of("text").alias("prints")), "narrow")
+    texts = narrow.groupBy("tid").agg(F.min("ord").alias("ord"), F.first("prints").alias("prints"))
+    placed = materialize(texts.select("tid", F.posexplode("prints").alias("t", "print")), "prints")
+    classes = placed.groupBy("t", "print").agg(F.min("tid").alias("rep"))
+    same = placed.join(classes, ["t", "print"]).filter("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b"))
+    near = links(classes.select("t", "print"), radius, DEDUP_FORESTS).distinct()
+    near = near.join(classes.select("t", F.col("print").alias("a"), F.col("rep").alias("x")), ["t", "a"]).join(classes.select("t", F.col("print").alias("b"), F.col("rep").alias("y")), ["t", "b"])
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    proposed = materialize(same.unionByName(near).filter("a <> b").distinct(), "proposed")
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -60,7 +60,7 @@ def test_links_join_exactly_the_fingerprints_in_range(spark, radius):
     keys |= {0, 2**64 - 1, 1, 1 << 63, (1 << 63) | 7}
     signed = np.array(sorted(keys), dtype=np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(k,) for k in signed], "print long").repartition(7)
-    found = {(a % 2**64, b % 2**64) for a, b in op8.links(df, radius).collect()}
+    found = {(a % 2**64, b % 2**64) for _, a, b in op8.links(df, radius).collect()}
     assert all(bin(a ^ b).count("1") <= radius for a, b in found)
     parent = {k: k for k in keys}
 
