@@ -87,10 +87,14 @@ def prompt(context: Column, query: Column, call_graph: Column | None = None) ->
 
 def fill(template: str, **values: Column) -> Column:
     """A template with named fields as a Column; doubled braces are braces."""
-    out = []
-    for i, piece in enumerate(re.split(r"(?<!\{)\{(\w+)\}(?!\})", template)):
-        out.append(values[piece] if i % 2 else F.lit(piece.replace("{{", "{").replace("}}", "}")))
-    return F.concat(*out)
+    out, plain = [], ""
+    for piece in re.findall(r"\{\{|\}\}|\{\w+\}|[^{}]+", template):
+        if piece[0] == "{" and piece[-1] == "}":
+            out += [F.lit(plain), values[piece[1:-1]]]
+            plain = ""
+        else:
+            plain += piece[0] if piece in ("{{", "}}") else piece
+    return F.concat(*out, F.lit(plain))
 
 
 def expand_offline(queries: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_graph, queries_lexical, queries_retrieval, queries_text
+from . import queries_graph, queries_lexical, queries_retrieval, queries_sets, queries_text
 
-MODULES = (queries_text, queries_lexical, queries_graph, queries_retrieval)
+MODULES = (queries_text, queries_lexical, queries_graph, queries_retrieval, queries_sets)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:
