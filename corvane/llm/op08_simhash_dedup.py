@@ -230,7 +230,7 @@ def with_components(prints: DataFrame, radius: int) -> DataFrame:
 #: A text of which a fiftieth of the words is changed keeps about 0.8 of its five-word shingles and differs in 4 to 6 of 64 bits.
 DEDUP_WORDS, DEDUP_SIMILARITY, DEDUP_RADIUS = 5, 0.8, 7
 #: Independent fingerprints a text (a multiple of 2), and spanning forests a cell.
-DEDUP_PRINTS, DEDUP_FORESTS = 4, 8
+DEDUP_PRINTS, DEDUP_FORESTS = 4, 2
 #: Rows to be dropped (16 bytes each) are broadcast up to this number, counted first; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 LAST = 0x7FFFFFFFFFFFFFFF
@@ -266,9 +266,11 @@ def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     """(ord, tid, n, keeper_ord, keeper_tid): each distinct (id, text), how often it occurs, and the one that stays for its group.
 
     Independent fingerprints of a text's distinct words propose links: for
-    each, several spanning forests of every cell, nearest pairs first, and equal
+    each, spanning forests of every cell, nearest pairs first, and equal
     fingerprints. A link holds if the two texts share ``similarity`` of their
-    distinct shingles (Jaccard). Equal texts are always linked.
+    distinct shingles (Jaccard). Equal texts are always linked. Rounds go on
+    among the texts that stay, until a round finds no link: what a forest left
+    out because other texts stood between is proposed once those are gone.
     """
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
     rows = rows.withColumn("tid", F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))
@@ -279,40 +281,54 @@ def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
             yield part.map(word_prints)
 
     narrow = materialize(rows.select("ord", "tid", prints_of("text").alias("prints")), "narrow")
-    texts = narrow.groupBy("tid").agg(F.min("ord").alias("ord"), F.first("prints").alias("prints"))
+    texts = materialize(narrow.groupBy("tid").agg(F.min("ord").alias("ord"), F.first("prints").alias("prints")), "texts")
     placed = materialize(texts.select("tid", F.posexplode("prints").alias("t", "print")), "prints")
-    classes = placed.groupBy("t", "print").agg(F.min("tid").alias("rep"))
-    same = placed.join(classes, ["t", "print"]).filter("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b"))
-    near = links(classes.select("t", "print"), radius, DEDUP_FORESTS).distinct()
-    near = near.join(classes.select("t", F.col("print").alias("a"), F.col("rep").alias("x")), ["t", "a"]).join(classes.select("t", F.col("print").alias("b"), F.col("rep").alias("y")), ["t", "b"])
-    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    same = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    proposed = materialize(same.unionByName(near).filter("a <> b").distinct(), "proposed")
-
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             yield part.map(lambda t: shingles_of(t, words))
 
-    wanted = proposed.select(F.col("a").alias("tid")).union(proposed.select(F.col("b").alias("tid"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    n_wanted = wanted.count()
-    # one row a text: that of its smallest id; repeated rows of an id are summed up by the aggregate
-    first = texts.select("tid", "ord").join(wanted, "tid", "left_semi")
-    first = F.broadcast(first) if n_wanted <= BROADCAST_ROWS else first
-    sets = rows.join(first, ["tid", "ord"], "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    sets = materialize(sets.select("tid", shingles("text").alias("s")), "shingles")
-    pairs = proposed.join(sets.withColumnRenamed("tid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("tid", "b").withColumnRenamed("s", "sb"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    either = F.size("sa") + F.size("sb") - both
-    held = pairs.filter(F.when(either > 0, both / either).otherwise(1.0) >= similarity).select("a", "b")
-    groups = texts.join(components(held).withColumnRenamed("node", "tid"), "tid", "left").withColumn("group", F.coalesce("component", "tid"))
-    groups = groups.select("tid", "ord", "group")
-    keepers = groups.groupBy("group").agg(F.min(F.struct("ord", "tid")).alias("k"))
-    kept = groups.join(keepers, "group").select("tid", F.col("k.ord").alias("keeper_ord"), F.col("k.tid").alias("keeper_tid"))
+    def groups_of(held: DataFrame) -> DataFrame:
+        """(tid, ord, group, k): texts with their group so far and the one of it that stays."""
+        found = texts.select("tid", "ord").join(components(held).withColumnRenamed("node", "tid"), "tid", "left")
+        found = found.select("tid", "ord", F.coalesce("component", "tid").alias("group"))
+        keepers = found.groupBy("group").agg(F.min(F.struct("ord", "tid")).alias("k"))
+        return materialize(found.join(keepers, "group"), "groups")
+
+    active, sets, held, groups = placed, None, None, None
+    while True:
+        proposed = _proposed(active, radius)
+        wanted = materialize(proposed.select(F.col("a").alias("tid")).union(proposed.select(F.col("b").alias("tid"))).distinct(), "wanted")
+        if sets is None:  # of one row a text, that of its smallest id; later rounds need no others
+            first = texts.select("tid", "ord").join(wanted, "tid", "left_semi")
+            first = F.broadcast(first) if wanted.count() <= BROADCAST_ROWS else first
+            found = rows.join(first, ["tid", "ord"], "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+            sets = materialize(found.select("tid", shingles("text").alias("s")), "shingles")
+        pairs = proposed.join(sets.withColumnRenamed("tid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("tid", "b").withColumnRenamed("s", "sb"), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        either = F.size("sa") + F.size("sb") - both
+        fresh = materialize(pairs.filter(F.when(either > 0, both / either).otherwise(1.0) >= similarity).select("a", "b"), "held")
+        if held is not None and fresh.isEmpty():
+            break
+        held = fresh if held is None else held.unionByName(fresh)
+        groups = groups_of(held)
+        # go on with the one of each group that stays, if anything was ever near it
+        stay = groups.filter("tid = k.tid").select("tid").join(wanted, "tid", "left_semi")
+        active = materialize(placed.join(stay, "tid", "left_semi"), "active")
+    kept = groups.select("tid", F.col("k.ord").alias("keeper_ord"), F.col("k.tid").alias("keeper_tid"))
     return narrow.groupBy("ord", "tid").agg(F.count("*").alias("n")).join(kept, "tid")
 
 
+def _proposed(placed: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of texts with an equal fingerprint or a link in a forest. placed: tid, t, print."""
+    classes = placed.groupBy("t", "print").agg(F.min("tid").alias("rep"))
+    same = placed.join(classes, ["t", "print"]).select(F.col("tid").alias("x"), F.col("rep").alias("y"))
+    near = links(classes.select("t", "print"), radius, DEDUP_FORESTS).distinct()
+    near = near.join(classes.select("t", F.col("print").alias("a"), F.col("rep").alias("x")), ["t", "a"]).join(classes.select("t", F.col("print").alias("b"), F.col("rep").alias("y")), ["t", "b"])
+    every = same.unionByName(near.select("x", "y")).filter("x <> y")
+    return materialize(every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "proposed")
+
+
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the smallest id, once."""
     found = materialize(duplicates(docs, doc, text, **options), "duplicates")
