@@ -52,7 +52,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The learned lexicon, the fingerprints and the components have no SQL form; tests follow them by brute force.
+#: The learned lexicon, the shingles and the components have no SQL form; tests follow them by brute force.
 ORACLE_SQL = None
 
 

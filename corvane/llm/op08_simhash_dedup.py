@@ -225,32 +225,20 @@ def with_components(prints: DataFrame, radius: int) -> DataFrame:
     return prints.join(ids, "__print")
 
 
-# --- near-duplicate documents: fingerprints propose, shingles decide
-
-#: A text of which a fiftieth of the words is changed keeps about 0.8 of its five-word shingles and differs in 4 to 6 of 64 bits.
-DEDUP_WORDS, DEDUP_SIMILARITY, DEDUP_RADIUS = 5, 0.8, 7
-#: Independent fingerprints a text (a multiple of 2), and spanning forests a cell.
-DEDUP_PRINTS, DEDUP_FORESTS = 4, 3
+# --- near-duplicate documents: every pair whose shingles have a Jaccard similarity of DEDUP_SIMILARITY
+
+DEDUP_WORDS, DEDUP_SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted to learn which are common. The counts only order the shingles: any order finds the same links.
+ORDER_TEXTS, COMMON = 20_000, 4
+#: Texts with a shingle in common of which all pairs are proposed; more are verified where they meet, this many by this many.
+SMALL_CELL, SLICE = 32, 1024
+#: Bits of the parities that stand in cells, and of those by which proposed pairs are checked before their sets are fetched.
+SHORT_PARITY, LONG_PARITY = 64, 1024
 #: Rows to be dropped (16 bytes each) are broadcast up to this number, counted first; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
-def word_prints(text: str | None, n: int = DEDUP_PRINTS) -> list[int]:
-    """``n`` independent fingerprints, as signed numbers, of the distinct words of a text."""
-    import xxhash
-
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return [0] * n
-    out: list[int] = []
-    for seed in range(n // 2):
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED + seed) for w in words]), dtype=np.uint8).reshape(-1, 16)
-        counts = sum(np.unpackbits(h[i : i + PIECE], axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(h), PIECE))
-        out += np.packbits(counts * 2 > len(h), bitorder="little").view("<i8").tolist()
-    return out
-
-
 def shingles_of(text: str | None, words: int = DEDUP_WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; of a shorter text the whole sequence, of none nothing."""
     import xxhash
@@ -262,51 +250,219 @@ def shingles_of(text: str | None, words: int = DEDUP_WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(j, SEED) for j in joined], dtype=np.uint64).view(np.int64))
 
 
-def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = DEDUP_WORDS, similarity: float = DEDUP_SIMILARITY, radius: int = DEDUP_RADIUS) -> DataFrame:
-    """(ord, tid, n, keeper_ord, keeper_tid): each distinct (id, text), how often it occurs, and the one that stays for its group.
+def prefix_of(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the common order, so many that any set with this similarity has one of them among its own first.
 
-    Independent fingerprints of a text's distinct words propose links: for
-    each, several spanning forests of every cell, nearest pairs first, and equal
-    fingerprints. A link holds if the two texts share ``similarity`` of their
-    distinct shingles (Jaccard). Equal texts are always linked.
+    Shingles that are not ``known`` (sorted) to be common come first, by their hash, then
+    the others by their counts.
     """
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
-    rows = rows.withColumn("tid", F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    n = len(shingles)
+    length = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        weight = np.where(known[at] == shingles, counts[at], 0)
+        shingles = shingles[np.lexsort((shingles, weight))]
+    return shingles[:length]
 
-    @F.pandas_udf("array<long>")
-    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in batches:
-            yield part.map(word_prints)
-
-    narrow = materialize(rows.select("ord", "tid", prints_of("text").alias("prints")), "narrow")
-    texts = materialize(narrow.groupBy("tid").agg(F.min("ord").alias("ord"), F.first("prints").alias("prints")), "texts")
-    placed = materialize(texts.select("tid", F.posexplode("prints").alias("t", "print")), "prints")
-    classes = placed.groupBy("t", "print").agg(F.min("tid").alias("rep"))
-    same = placed.join(classes, ["t", "print"]).filter("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b"))
-    near = links(classes.select("t", "print"), radius, DEDUP_FORESTS).distinct()
-    near = near.join(classes.select("t", F.col("print").alias("a"), F.col("rep").alias("x")), ["t", "a"]).join(classes.select("t", F.col("print").alias("b"), F.col("rep").alias("y")), ["t", "b"])
-    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    same = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    proposed = materialize(same.unionByName(near).filter("a <> b").distinct(), "proposed")
+
+def parity_of(shingles: np.ndarray, bits: int) -> bytes:
+    """``bits`` (a power of 2) bits, each the parity of a share of the shingles: two sets differ in no more bits than shingles."""
+    at = (shingles.view(np.uint64) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _possible(similarity: float):
+    """Proposed pairs without those whose long parities prove the similarity to be less."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c]), dtype="<u8").reshape(len(batch), -1) for c in ("pa", "pb"))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.loc[far <= share * (batch["na"] + batch["nb"]).to_numpy() + 1e-9, ["a", "b"]]
+
+    return work
+
+
+def _cell_pairs(similarity: float):
+    share = (1 - similarity) / (1 + similarity)
+
+    def possible(n, parity, a, b):
+        """False where sizes or parities prove the similarity to be less."""
+        size = np.minimum(n[a], n[b]) + 1e-9 >= similarity * np.maximum(n[a], n[b])
+        return size & (np.bitwise_count(parity[a] ^ parity[b]) <= share * (n[a] + n[b]) + 1e-9)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def cells(h, sid, n, parity):
+            """Proposed pairs (cell is null), and the texts of large cells (b is null), of complete cells in sorted order."""
+            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])))  # equal sets are one text
+            h, sid, n, parity = h[fresh], sid[fresh], n[fresh], parity[fresh]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            two = starts[sizes == 2]
+            left, right, large = [two], [two + 1], {}
+            for s, k in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                if k <= SMALL_CELL:
+                    i, j = np.triu_indices(k, 1)
+                else:
+                    by_size = np.lexsort((parity[s : s + k], n[s : s + k]))
+                    i, j = np.concatenate((np.zeros(k - 1, dtype=np.int64), by_size[:-1])), np.concatenate((np.arange(1, k), by_size[1:]))
+                    members = sid[s : s + k]
+                    large[xxhash.xxh64_intdigest(members.tobytes(), SEED) >> 1] = members
+                left.append(s + i)
+                right.append(s + j)
+            left, right = np.concatenate(left), np.concatenate(right)
+            near = possible(n, parity, left, right)
+            pairs = np.unique(np.sort(np.stack((sid[left[near]], sid[right[near]]), axis=1), axis=1), axis=0)
+            none = pd.array([None] * len(pairs), dtype="Int64")
+            yield pd.DataFrame({"cell": none, "a": pairs[:, 0], "b": pd.array(pairs[:, 1], dtype="Int64")})
+            for cell, members in large.items():
+                none = pd.array([None] * len(members), dtype="Int64")
+                yield pd.DataFrame({"cell": pd.array(np.full(len(members), cell), dtype="Int64"), "a": members, "b": none})
+
+        for batch in batches:
+            part = batch["h"].to_numpy(), batch["sid"].to_numpy(), batch["n"].to_numpy(np.int64), batch["parity"].to_numpy().view(np.uint64)
+            if not len(part[0]):
+                continue
+            change = np.flatnonzero(part[0][1:] != part[0][:-1])
+            if held and held[-1][0][-1] != part[0][0]:
+                cut = change[-1] + 1 if len(change) else 0
+            elif len(change):
+                cut = change[-1] + 1
+            else:
+                held.append(part)
+                continue
+            whole = held + ([tuple(x[:cut] for x in part)] if cut else [])
+            held = [tuple(x[cut:] for x in part)]
+            if whole:
+                yield from cells(*(np.concatenate(x) for x in zip(*whole, strict=True)))
+        if held:
+            yield from cells(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return work
+
+
+def _verified(similarity: float):
+    """Links that join the texts of two slices of a large cell (or of one slice) as all their pairs would."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sid")
+        sid, own = rows["sid"].to_numpy(), rows["own"].to_numpy()
+        one = (own == own[0]).all()
+        sets = [np.asarray(s, dtype=np.int64) for s in rows["s"]]
+        n = np.array([len(s) for s in sets])
+        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        _, label = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        mark = np.zeros(len(code), dtype=bool)
+        a, b = [], []
+        for x in range(len(sid) - 1):
+            if (label[x + 1 :] == label[x]).all():
+                continue
+            mine = code[starts[x] : starts[x] + n[x]]
+            mark[mine] = True
+            begin = starts[x + 1]
+            both = np.add.reduceat(mark[code[begin:]].astype(np.int64), starts[x + 1 :] - begin)
+            mark[mine] = False
+            hit = (both / (n[x + 1 :] + n[x] - both) >= similarity) & (label[x + 1 :] != label[x])
+            if not one:
+                hit &= own[x + 1 :] != own[x]
+            for y in np.flatnonzero(hit) + x + 1:
+                if label[y] != label[x]:
+                    a.append(sid[x])
+                    b.append(sid[y])
+                    label[label == label[y]] = label[x]
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return work
+
+
+def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(tid, sid) with the hash of each text's set of shingles, and links (a, b) that join the sets into the components of all similar pairs.
+
+    rows: ord, tid and text; first: the smallest ord of each tid. Two similar
+    sets have one of their first shingles in common (prefix filter), so that the
+    cells of equal first shingles hold every similar pair. Small cells propose
+    their pairs, large ones a few; the similarity of these is computed. In
+    large cells whose texts are not joined by then all other pairs are computed
+    too, without listing them.
+    """
+    spark = rows.sparkSession
+    n_first = first.count()
+    one = rows.join(F.broadcast(first) if n_first <= BROADCAST_ROWS else first, ["tid", "ord"], "left_semi")
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             yield part.map(lambda t: shingles_of(t, words))
 
-    wanted = proposed.select(F.col("a").alias("tid")).union(proposed.select(F.col("b").alias("tid"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    n_wanted = wanted.count()
-    # one row a text: that of its smallest id; repeated rows of an id are summed up by the aggregate
-    first = texts.select("tid", "ord").join(wanted, "tid", "left_semi")
-    first = F.broadcast(first) if n_wanted <= BROADCAST_ROWS else first
-    sets = rows.join(first, ["tid", "ord"], "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    sets = materialize(sets.select("tid", shingles("text").alias("s")), "shingles")
-    pairs = proposed.join(sets.withColumnRenamed("tid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("tid", "b").withColumnRenamed("s", "sb"), "b")
+    every = max(1, n_first // ORDER_TEXTS)
+    sample = one.filter(F.pmod("tid", F.lit(every)) == 0).select(F.explode(shingles("text")).alias("h"))
+    frequent = sample.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy("h").toArrow()
+    order = spark.sparkContext.broadcast((frequent["h"].to_numpy(), frequent["count"].to_numpy()))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            sets = [shingles_of(t, words) for t in batch["text"]]
+            yield pd.DataFrame({
+                "tid": batch["tid"], "sid": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64),
+                "n": [len(s) for s in sets], "parity": np.frombuffer(b"".join([parity_of(s, SHORT_PARITY) for s in sets]), dtype="<i8"), "long": [parity_of(s, LONG_PARITY) for s in sets],
+                "prefix": [prefix_of(s, *order.value, similarity) for s in sets],
+            })
+
+    placed = materialize(one.select("tid", "text").mapInPandas(place, "tid long, sid long, n int, parity long, long binary, prefix array<long>"), "placed")
+    keyed = placed.select("tid", "sid").distinct()
+    cells = placed.select("sid", "n", "parity", F.explode("prefix").alias("h")).repartition("h").sortWithinPartitions("h", "sid")
+    met = materialize(cells.mapInPandas(_cell_pairs(similarity), "cell long, a long, b long"), "met")
+    proposed = met.filter("cell IS NULL").select("a", "b").distinct()
+    parities = placed.groupBy("sid").agg(F.first("n").alias("n"), F.first("long").alias("long"))
+    proposed = proposed.join(parities.toDF("a", "na", "pa"), "a").join(parities.toDF("b", "nb", "pb"), "b")
+    proposed = materialize(proposed.mapInPandas(_possible(similarity), "a long, b long"), "proposed")
+    large = materialize(met.filter("cell IS NOT NULL").select("cell", F.col("a").alias("sid")).distinct(), "large")
+
+    wanted = materialize(proposed.select(F.col("a").alias("sid")).union(proposed.select("b")).union(large.select("sid")).distinct(), "wanted")
+    # one text a set; repeated rows of it are summed up by the aggregate
+    texts = keyed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).join(first, "tid")
+    texts = F.broadcast(texts) if wanted.count() <= BROADCAST_ROWS else texts
+    sets = rows.join(texts, ["tid", "ord"]).select("sid", shingles("text").alias("s"))
+    sets = materialize(sets.groupBy("sid").agg(F.first("s").alias("s")), "shingles")
+    pairs = proposed.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("sid", "b").withColumnRenamed("s", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    either = F.size("sa") + F.size("sb") - both
-    held = pairs.filter(F.when(either > 0, both / either).otherwise(1.0) >= similarity).select("a", "b")
-    groups = texts.join(components(held).withColumnRenamed("node", "tid"), "tid", "left").withColumn("group", F.coalesce("component", "tid"))
+    held = materialize(pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b"), "held")
+    if large.isEmpty():
+        return keyed, held
+
+    joined = large.join(components(held).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    joined = materialize(joined, "joined")
+    apart = joined.groupBy("cell").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cell", "k")
+    slices = F.ceil(F.col("k") / SLICE).cast("int")
+    members = joined.join(apart, "cell").withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("sid"), "slices").cast("int"))
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
+    members = members.select("cell", "sid", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rest = members.join(sets, "sid").groupBy("cell", "i", "j").applyInPandas(_verified(similarity), "a long, b long")
+    return keyed, materialize(held.union(rest), "links")
+
+
+def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = DEDUP_WORDS, similarity: float = DEDUP_SIMILARITY) -> DataFrame:
+    """(ord, tid, n, keeper_ord, keeper_tid): each distinct (id, text), how often it occurs, and the one that stays for its group.
+
+    Two texts are linked if they share ``similarity`` of their distinct
+    shingles (Jaccard), and a group is what links join: no link is missed.
+    """
+    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
+    rows = rows.withColumn("tid", F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    narrow = materialize(rows.select("ord", "tid"), "narrow")
+    texts = materialize(narrow.groupBy("tid").agg(F.min("ord").alias("ord")), "texts")
+    keyed, held = shingle_links(rows, texts, words, similarity)
+    groups = texts.join(keyed, "tid").join(components(held).withColumnRenamed("node", "sid"), "sid", "left").withColumn("group", F.coalesce("component", "sid"))
     groups = groups.select("tid", "ord", "group")
     keepers = groups.groupBy("group").agg(F.min(F.struct("ord", "tid")).alias("k"))
     kept = groups.join(keepers, "group").select("tid", F.col("k.ord").alias("keeper_ord"), F.col("k.tid").alias("keeper_tid"))

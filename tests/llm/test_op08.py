@@ -135,3 +135,35 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 300)] + [(500, 500)]
     found = dict(cc.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(found[i] == 0 for i in range(61)) and all(found[i] == 100 for i in range(100, 300)) and 500 not in found
+
+
+def groups_of(spark, texts):
+    """The groups that the stage finds, and those by brute force."""
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {r.ord: r.keeper_ord for r in op8.duplicates(frame(spark, rows)).collect()}
+    sets = [set(map(tuple, (t.split()[i : i + 5] for i in range(max(1, len(t.split()) - 4))))) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [found[i] for i in range(len(texts))], [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_among_texts_of_the_same_words(spark):
+    r = random.Random(3)
+    vocabulary, texts = [f"w{i}" for i in range(60)], []
+    for _ in range(40):  # pairs that differ in the order of two words near the end, and in nothing else
+        w = r.sample(vocabulary, 60) + r.sample(vocabulary, 60)
+        texts.append(" ".join(w))
+        w[-1], w[-2] = w[-2], w[-1]
+        texts.append(" ".join(w))
+    found, expected = groups_of(spark, texts)
+    assert len(set(expected)) == 40 and found == expected
