@@ -167,3 +167,19 @@ def test_near_duplicates_among_texts_of_the_same_words(spark):
         texts.append(" ".join(w))
     found, expected = groups_of(spark, texts)
     assert len(set(expected)) == 40 and found == expected
+
+
+def test_a_large_loosely_similar_group_loses_no_link(spark, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(op8, "SLICE", 40, raising=False)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for i in range(150):  # two versions of the base, and copies of each with up to five words changed: 0.8 lies within
+        w = list(base)
+        for k in range(0, 30, 6) if i % 2 else ():
+            w[k] = "other"
+        for k in r.sample(range(40, 200), r.randrange(1, 6)):
+            w[k] = f"x{r.randrange(5000)}"
+        texts.append(" ".join(w))
+    found, expected = groups_of(spark, texts)
+    assert 1 < len(set(expected)) < 100 and found == expected
