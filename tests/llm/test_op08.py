@@ -183,3 +183,24 @@ def test_a_large_loosely_similar_group_loses_no_link(spark, monkeypatch):
         texts.append(" ".join(w))
     found, expected = groups_of(spark, texts)
     assert 1 < len(set(expected)) < 100 and found == expected
+
+
+@pytest.mark.parametrize("change", ["added", "cut", "edited"])
+def test_recall_is_whole_just_above_the_similarity(spark, change):
+    r = random.Random(change)
+    texts = []
+    for _ in range(150):
+        n = r.randrange(60, 400)
+        w = [f"w{r.randrange(20000)}" for _ in range(n)]
+        part = max(1, int(n * 0.19))
+        if change == "added":
+            other = w + [f"w{r.randrange(20000)}" for _ in range(part)]
+        elif change == "cut":
+            other = w[part:]
+        else:
+            other = list(w)
+            for k in range(2, n, 48):
+                other[k] = "edited"
+        texts += [" ".join(w), " ".join(other)]
+    found, expected = groups_of(spark, texts)
+    assert len(set(expected)) < 220 and found == expected
