@@ -36,8 +36,6 @@ RULES = (
 #: A combination must be in this part of the labelled pages, and in so many.
 MIN_SUPPORT, MIN_COUNT = 0.0005, 20
 MIN_CONFIDENCE = 0.8
-#: Tokens in a combination at most.
-MAX_TOKENS = 4
 #: Token sets that a mined rule fits (about 500 bytes each) are broadcast up to this number, counted first.
 BROADCAST_SETS = 100_000
 BLOCK = "=block"
@@ -86,7 +84,7 @@ def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_count=MIN_COUNT, min_
     least = max(min_support, min_count / counts["n"])
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=min_confidence).fit(items)
     sets = materialize(model.freqItemsets, "url-itemsets")
-    blocked = sets.filter(F.array_contains("items", BLOCK) & (F.size("items").between(2, MAX_TOKENS + 1)))
+    blocked = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1))
     blocked = blocked.select(F.sort_array(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("support"))
     alone = sets.filter(~F.array_contains("items", BLOCK)).select(F.sort_array("items").alias("tokens"), F.col("freq").alias("of"))
     rules = blocked.join(alone, "tokens").withColumn("confidence", F.col("support") / F.col("of")).filter(F.col("confidence") >= min_confidence)

@@ -152,3 +152,10 @@ def test_toxicity_without_training_rows(spark):
 def test_shingles_of_short_texts(spark, n):
     rows = spark.createDataFrame([(["a"] * n,), ([],)], "w array<string>")
     assert [len(r[0]) for r in rows.select(op3._shingles(rows.w)).collect()] == [1, 0]
+
+
+def test_a_rule_of_five_tokens_is_mined(spark):
+    five = list("abcde")  # any four of them are as often on other pages
+    pages = [(five, True)] * 30 + [(five[:i] + five[i + 1 :], False) for i in range(5) for _ in range(30)]
+    rules = op4.mine(spark.createDataFrame(pages, "tokens array<string>, blocked boolean")).collect()
+    assert [(r.tokens, r.n_tokens, r.support) for r in rules] == [(five, 5, 30)]
