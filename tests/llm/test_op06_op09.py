@@ -77,18 +77,34 @@ class SlowTree:
         return total
 
 
-def test_scores_follow_the_exact_tree(spark):
+@pytest.mark.parametrize("depth, frequent", [(2, 1 << 21), (3, 1 << 21), (3, 40), (1, 0), (4, 0)])
+def test_scores_follow_the_exact_tree(spark, monkeypatch, depth, frequent):
+    """Whether strings are broadcast or joined, and in however many parts the contexts are worked out."""
+    monkeypatch.setattr(op6, "FREQUENT_GRAMS", frequent)
+    monkeypatch.setattr(op6, "TASK_GRAMS", 25)
     r = random.Random(1)
     rows = [(i, "".join(r.choice("aab ä") for _ in range(r.randrange(0, 25))), None, None, None) for i in range(30)] + [(31, None, None, None, None), (31, "", None, None, None)]
-    found = op6.score(frame(spark, rows), depth=2).collect()
+    rows += [rows[3], rows[3]]  # repeated rows and ties
+    found = sorted((x.doc_id, x.score) for x in op6.score(frame(spark, rows), depth=depth).collect())
     train = [(t or "").encode() for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    tree = SlowTree(train, 2)
-    want = sorted((i, round(tree.score((t or "").encode()), 3)) for i, t, *_ in rows)
-    assert sorted((x.doc_id, round(x.score, 3)) for x in found) == pytest.approx(want, abs=2e-3) if False else all(abs(a[1] - b[1]) < 2e-3 and a[0] == b[0] for a, b in zip(sorted((x.doc_id, x.score) for x in found), want))
+    tree = SlowTree(train, depth)
+    want = sorted((i, tree.score((t or "").encode())) for i, t, *_ in rows)
+    assert [i for i, _ in found] == [i for i, _ in want]
+    assert [s for _, s in found] == pytest.approx([s for _, s in want], abs=1e-9)
+
+
+def test_held_out_texts_alter_no_other_score(spark):
+    rows = documents(60)
+    held = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    more = rows + [(i, "strings of bytes that stand nowhere else " + str(i) * 40, None, None, None) for i in held]
+    scores = lambda rows: {(x.doc_id, x.n_tokens): x.score for x in op6.score(frame(spark, rows)).collect()}
+    before, after = scores(rows), scores(more)
+    assert len(after) == len(before) + 3
+    assert [after[k] for k in before] == pytest.approx(list(before.values()), rel=1e-12)
 
 
 def test_base_scores_and_counts(spark, monkeypatch):
-    monkeypatch.setattr(op6, "MAX_WORDS", 15)  # most words go through the join
+    monkeypatch.setattr(op6, "FREQUENT_WORDS", 15)  # most words go through the join
     rows = documents(80)
     found = op6.score(frame(spark, rows)).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -120,17 +136,17 @@ def test_each_distribution_adds_up_to_one():
     for place in range(1, 256):
         level = place.bit_length() - 1
         mine = ((keys & np.uint64(255)) >> np.uint64(8 - level)) | np.uint64(1 << level) == place
-        total[mine] += op6.decisions(place, keys[mine], n[mine], 3)
+        total[mine] += op6.decisions(level, keys[mine], n[mine], 3)
     assert abs(sum(10 ** total[(keys >> np.uint64(8)) == context]) - 1) < 1e-9
 
 
-def test_language_model_edge_cases(spark, monkeypatch):
+def test_language_model_edge_cases(spark):
     assert op6.score(spark.createDataFrame([], SCHEMA)).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = op6.score(frame(spark, [(only, "ab", None, None, None)])).first()
     assert (r.train_tokens, r.n_known) == (0, 0) and abs(r.score - 24 * math.log10(0.5)) < 1e-4
-    monkeypatch.setattr(op6, "MAX_GRAMS", 300)  # the depth is lowered
-    assert op6.score(frame(spark, documents(40))).count() == 50
+    ties = op6.score(frame(spark, [(1, "same text", None, None, None), (2, "same text", None, None, None), (2, "same text", None, None, None)])).collect()
+    assert len(ties) == 3 and len({r.score for r in ties}) == 1
 
 
 def test_pieces_of_long_texts(monkeypatch):
