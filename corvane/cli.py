@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import context, evaluate, graph
-from corvane.operators.vector import HashingEmbedder
+from corvane.operators.vector import HashingEmbedder, HttpEmbedder
 from corvane.plans import ingest, providers, retrievers
 from corvane.sources import store
 
@@ -21,12 +21,16 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("path")
     a.add_argument("--name")
     a.add_argument("--no-vectors", action="store_true")
+    a.add_argument("--embed-url", help="a service that makes vectors; hashed words without one")
+    a.add_argument("--embed-model", default="")
     a = sub.add_parser("query")
     a.add_argument("text")
     a.add_argument("--repo")
     a.add_argument("--strategy", choices=("hybrid", "vectorless", "vector"), default="hybrid")
     a.add_argument("--top-k", type=int, default=10)
     a.add_argument("--llm", action="store_true")
+    a.add_argument("--llm-url", help="a service that answers; the first lines of the prompt without one")
+    a.add_argument("--llm-model", default="")
     a = sub.add_parser("stats")
     a.add_argument("--repo")
     a = sub.add_parser("tree")
@@ -60,7 +64,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("corvane").getOrCreate()
     if args.command == "ingest":
-        index, errors = ingest.ingest(spark, args.path, None if args.no_vectors else HashingEmbedder())
+        embedder = HttpEmbedder(args.embed_url, args.embed_model) if args.embed_url else HashingEmbedder()
+        index, errors = ingest.ingest(spark, args.path, None if args.no_vectors else embedder)
         store.save(index, args.index_dir, args.name or args.path.rstrip("/").rsplit("/", 1)[-1])
         errors.show(truncate=False)
         ingest.summary(index).orderBy("kind", "name").show(100, False)
@@ -77,7 +82,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if args.llm:
             packed = context.pack(hits, with_calls=True).join(queries, "query_id")
             prompts = packed.select("query_id", providers.prompt(F.col("context"), F.col("query")).alias("prompt"))
-            providers.ask(prompts, providers.Offline()).select("content").show(1, False)
+            provider = providers.HttpChat(args.llm_url, args.llm_model) if args.llm_url else providers.Offline()
+            providers.ask(prompts, provider).select("content").show(1, False)
     else:
         runs = evaluate.Ablation(index.pages)
         for name in ("vector", "hybrid"):
@@ -85,7 +91,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
                 runs.add_method(name, retriever(index, name).retrieve)
         if not runs.methods:
             runs.add_method("vectorless", retriever(index, "vectorless").retrieve)
-        runs.run(store.benchmarks(spark, args.queries), args.top_k).show(truncate=False)
+        print(runs.table(runs.run(store.benchmarks(spark, args.queries), args.top_k)))
 
 
 if __name__ == "__main__":

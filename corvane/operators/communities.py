@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.storage import materialize
+from corvane.storage import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -22,15 +22,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = materialize(both, "both")
     state = materialize(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "labels")
+    written = state
     for _ in range(rounds):
         seen = both.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
         fresh = state.join(seen, "id", "left").select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
         jump = fresh.select(F.col("id").alias("component"), F.col("component").alias("further"))
         fresh = materialize(fresh.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "labels")
+        discard(written)
+        written = fresh
         state = fresh.select("id", "component")
         if fresh.filter("component <> old").isEmpty():
             return state
-    return state
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def greedy_modularity(pairs: list[tuple[str, str]], m: int) -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import metrics as M
+from corvane.storage import materialize
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95) -> DataFrame:
@@ -59,7 +60,7 @@ class Ablation:
         for name, retrieve in self.methods.items():
             began = time.perf_counter()
             hits = retrieve(benchmarks.select("query_id", "query"), k)
-            hits = hits.sparkSession.createDataFrame(hits.select("query_id", "page_id", "rank").toArrow(), schema=hits.select("query_id", "page_id", "rank").schema)
+            hits = materialize(hits.select("query_id", "page_id", "rank"), f"hits-{name}")
             took = (time.perf_counter() - began) * 1000 / max(1, benchmarks.count())
             rows = relevant.join(interleaved(hits, self.pages), "query_id", "left")
             rows = rows.select(F.lit(name).alias("method"), F.coalesce("found", F.array().cast("array<string>")).alias("found"), "relevant", F.lit(took).alias("latency_ms"))
@@ -67,3 +68,11 @@ class Ablation:
         if every is None:
             raise ValueError("no method was added")
         return summarize(every)
+
+    @staticmethod
+    def table(summary: DataFrame) -> str:
+        """The summary as lines of text, methods in order."""
+        rows = summary.orderBy("method").collect()
+        cells = [list(summary.columns), *[[str(v) for v in r] for r in rows]]
+        widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+        return "\n".join("  ".join(c.ljust(w) for c, w in zip(line, widths, strict=True)).rstrip() for line in cells)

@@ -21,6 +21,11 @@ def reciprocal_rank(lists: list[tuple[DataFrame, Column | float]], k: int = K) -
     return every.groupBy("query_id", "page_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
+def candidates(lists: list[DataFrame]) -> DataFrame:
+    """(query_id, page_id) of all pages that any list has, once each."""
+    return reduce(DataFrame.union, [hits.select("query_id", "page_id") for hits in lists]).distinct()
+
+
 def fuse(lists: list[DataFrame], top: int, k: int = K) -> DataFrame:
     """The best pages of equally weighted lists."""
     return top_k(reciprocal_rank([(hits, 1.0) for hits in lists], k), top)

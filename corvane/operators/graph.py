@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.storage import materialize
+from corvane.storage import discard, materialize
 
 CALLS, EXTENDS, CONTAINS, USES_TYPE, DEFINED_IN = "CALLS", "EXTENDS", "CONTAINS", "USES_TYPE", "DEFINED_IN"
 #: Edge types that are named but never made: a place for callers' own edges.
@@ -77,7 +77,9 @@ def distances(seeds: DataFrame, steps: DataFrame, depth: int, keys: tuple[str, .
         frontier = visited.filter(F.col("dist") == d - 1).select(*keys, F.col("id").alias("src"))
         reached = frontier.join(steps.select("src", F.col("dst").alias("id")), "src").select(*keys, "id").distinct()
         fresh = reached.join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("dist", F.lit(d))
-        visited = materialize(visited.unionByName(fresh.select(*visited.columns)), name)
+        further = materialize(visited.unionByName(fresh.select(*visited.columns)), name)
+        discard(visited)
+        visited = further
     return visited
 
 
@@ -138,6 +140,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, iteration
     links = materialize(edges.join(out, "src").filter("out > 0").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")), "links")
     state = ids.join(out.filter("out > 0").withColumnRenamed("src", "id"), "id", "left")
     state = materialize(state.select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "ranks")
+    written = state
     for _ in range(iterations):
         loose = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("m"))
         flow = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("flow"))
@@ -145,7 +148,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, iteration
         rank = F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + F.col("m") / n) + F.lit((1 - alpha) / n)
         fresh = fresh.select("id", "dangling", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
         fresh = materialize(fresh, "ranks")
-        state = fresh.select("id", "dangling", "rank")
+        discard(written)
+        written, state = fresh, fresh.select("id", "dangling", "rank")
         if tolerance is not None and fresh.agg(F.sum("change")).first()[0] < n * tolerance:
             return state.select("id", "rank")
     return state.select("id", "rank") if tolerance is None else state.select("id", F.lit(1.0 / n).alias("rank"))

@@ -39,7 +39,7 @@ def from_files(files: DataFrame, pages: DataFrame) -> DataFrame:
         T.file_page_id(F.col("file_path")).alias("page_id"), F.concat(F.lit("file::"), "file_path").alias("symbol_id"), name.alias("symbol_name"), name.alias("qualified_name"),
         F.lit("file").alias("symbol_type"), "file_path", F.substring("source_code", 1, FILE_CHARS).alias("source_code"), F.lit(None).cast("string").alias("docstring"),
         F.lit(None).cast("string").alias("signature"), F.lit(1).alias("line_start"), F.col("line_count").cast("int").alias("line_end"),
-        T.token_estimate(F.col("source_code")).alias("token_count"), "language", F.array().cast("array<string>").alias("calls"), (F.col("ord") + F.lit(1 << 40)).alias("ord"),
+        T.token_estimate(F.col("source_code")).alias("token_count"), "language", F.array().cast("array<string>").alias("calls"), "ord",
     )
 
 
@@ -48,6 +48,16 @@ def build(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return own if files is None else last_of(own.unionByName(from_files(files, own)), "page_id")
 
 
+def by_id(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pages of a set of page ids (column page_id)."""
+    return pages.join(ids.select("page_id").distinct(), "page_id", "left_semi")
+
+
+def by_symbol(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pages of a set of symbols (column symbol_id)."""
+    return pages.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi")
+
+
 def searchable_text(prefix: str = "") -> Column:
     """Name, qualified name, docstring, signature, source and path by lines; empty optional parts are left out."""
     c = lambda n: F.col(prefix + n)

@@ -30,6 +30,33 @@ def lookup(idents: DataFrame, symbols: DataFrame) -> DataFrame:
     return idents.select("query_id", "ident").distinct().join(keys, "ident").select("query_id", "ident", "symbol_id")
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of three letters, none of a shorter text."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, 3))
+    return F.array_distinct(F.filter(every, lambda g: F.length(g) == 3))
+
+
+def named(symbols: DataFrame, idents: DataFrame) -> DataFrame:
+    """(ident, name, qualified_name) of the distinct names that hold an ident (column ident, distinct).
+
+    A trigram index: an ident is looked up under the rarest trigram of its
+    literal parts, and what stands there is tested. Idents without three
+    letters in a row are tested with all names.
+    """
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    pairs = symbols.select("name", "qualified_name").distinct()
+    holds = like(F.col("name"), F.col("ident")) | like(F.col("qualified_name"), F.col("ident"))
+    index = pairs.select("name", "qualified_name", F.explode(_grams(lower(F.concat_ws("\n", "name", "qualified_name")))).alias("gram"))
+    literal = F.split(lower(F.col("ident")), r"[_%\\]")
+    asked = idents.select("ident", F.array_distinct(F.flatten(F.transform(literal, _grams))).alias("grams"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    under = asked.select("ident", F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    under = under.groupBy("ident").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
+    found = index.join(under, "gram").filter(holds)
+    rest = pairs.join(asked.filter(F.size("grams") == 0), holds)  # no equality: the smaller side goes to all, where it is small
+    return found.select("ident", "name", "qualified_name").unionByName(rest.select("ident", "name", "qualified_name"))
+
+
 def lookup_fuzzy(idents: DataFrame, symbols: DataFrame, limit: int = FUZZY_LIMIT) -> DataFrame:
     """(query_id, ident, symbol_id, place): names that hold the ident, shorter ones first, ties by id.
 
@@ -37,9 +64,7 @@ def lookup_fuzzy(idents: DataFrame, symbols: DataFrame, limit: int = FUZZY_LIMIT
     Names are looked at once each, too: a name that thousands of symbols share
     is matched once and its symbols are joined back by equality.
     """
-    wanted = idents.select("ident").distinct()
-    pairs = symbols.select("name", "qualified_name").distinct()
-    hits = pairs.join(F.broadcast(wanted), like(F.col("name"), F.col("ident")) | like(F.col("qualified_name"), F.col("ident")))
+    hits = named(symbols, idents.select("ident").distinct())
     ids = hits.join(symbols.select("name", "qualified_name", "symbol_id"), ["name", "qualified_name"])
     order = Window.partitionBy("ident").orderBy(F.length("name"), "symbol_id")
     best = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("ident", "symbol_id", "place")
@@ -63,11 +88,8 @@ def page_scores(hits: DataFrame, pages: DataFrame) -> DataFrame:
 def search(queries: DataFrame, symbols: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, symbol_id, match_count, rank) of symbols whose names hold a word (three letters or more) of the query."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split("query", r"\s+"), lambda w: F.length(w) > 2))).alias("ident"))
-    wanted = words.select("ident").distinct()
-    pairs = symbols.select("name", "qualified_name").distinct()
-    hits = pairs.join(F.broadcast(wanted), like(F.col("name"), F.col("ident")) | like(F.col("qualified_name"), F.col("ident")))
-    named = hits.join(words, "ident").select("query_id", "name", "qualified_name").distinct()
-    ids = named.join(symbols.select("name", "qualified_name", "symbol_id"), ["name", "qualified_name"])
+    hits = named(symbols, words.select("ident").distinct())
+    ids = hits.join(words, "ident").select("query_id", "name", "qualified_name").distinct().join(symbols.select("name", "qualified_name", "symbol_id"), ["name", "qualified_name"])
     order = Window.partitionBy("query_id").orderBy(F.length("name"), "symbol_id")
     ranked = ids.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
     return ranked.select("query_id", "symbol_id", F.lit(1).alias("match_count"), "rank")
@@ -83,3 +105,13 @@ def in_file(symbols: DataFrame, path: str) -> DataFrame:
 
 def by_name(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter((F.col("name") == name) | (F.col("qualified_name") == name))
+
+
+def by_id(symbols: DataFrame, ids: DataFrame) -> DataFrame:
+    """The symbols of a set of ids (column symbol_id): one join, not one lookup an id."""
+    return symbols.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi")
+
+
+def index_rows(symbols: DataFrame) -> DataFrame:
+    """The nine columns that a symbol is looked up by or shown with."""
+    return symbols.select("symbol_id", "name", "qualified_name", "type", "file_path", "line_start", "line_end", "signature", "docstring")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -43,6 +45,23 @@ class HashingEmbedder:
         return out.tolist()
 
 
+class HttpEmbedder:
+    """Vectors from a service: POST {"model", "input": [texts]}, answered by {"embeddings": [vectors]}."""
+
+    def __init__(self, url: str, model: str, dimension: int = DIMENSION, timeout: float = 180.0) -> None:
+        self.url, self.model, self.dimension, self.timeout = url, model, dimension, timeout
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return post_json(self.url, {"model": self.model, "input": texts}, self.timeout)["embeddings"]
+
+
+def post_json(url: str, payload: dict, timeout: float) -> dict:
+    """The JSON that a service answers; any status but success is an error."""
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.load(answer)
+
+
 def safe_embed(embed: Callable[[list[str]], list[list[float]]], texts: list[str], dimension: int) -> list[list[float]]:
     """Vectors for all texts: a batch that fails is halved, a text that fails alone gets a zero vector."""
     if not texts:
@@ -91,3 +110,17 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, clamp: bool = False
         best = top_k(rows, k)
         found = best if found is None else found.unionByName(best)
     return found.withColumn("source", F.lit("vector"))
+
+
+def get_scores(vectors: DataFrame, queries: DataFrame, k: int = 100, clamp: bool = True, key: str = "page_id") -> DataFrame:
+    """(query_id, page_id, score) of the k best pages, for fusion."""
+    return knn(vectors, queries, k, clamp, key).select("query_id", "page_id", "score")
+
+
+#: The two ways that similarities are given: cut off at 0, or as they are. Both compare a query with all vectors.
+BACKENDS = {"clamped": True, "plain": False}
+
+
+def backend(name: str | None = None) -> bool:
+    """Whether a backend of this name clamps; the first one where none is named, the other where the name is unknown."""
+    return True if name is None else BACKENDS.get(name, False)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.vector import post_json
 
 ANSWER = "query_id string, content string, prompt_tokens int, completion_tokens int, latency_ms double, error boolean"
 
@@ -53,6 +54,19 @@ class Offline:
         return Answer(content, len(prompt) // T.CHARS_PER_TOKEN, len(content) // T.CHARS_PER_TOKEN)
 
 
+class HttpChat:
+    """Answers from a service: POST {"model", "messages", "options"}, answered by {"message": {"content"}, counts}."""
+
+    def __init__(self, url: str, model: str, timeout: float = 180.0) -> None:
+        self.url, self.model, self.timeout = url, model, timeout
+
+    def __call__(self, prompt: str, system: str, temperature: float = 0.0, max_tokens: int = 2048) -> Answer:
+        messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
+        options = {"temperature": temperature, "num_predict": max_tokens}
+        found = post_json(self.url, {"model": self.model, "messages": messages, "options": options, "stream": False}, self.timeout)
+        return Answer(found.get("message", {}).get("content", ""), found.get("prompt_eval_count", 0), found.get("eval_count", 0))
+
+
 def ask(prompts: DataFrame, provider: Provider, system: str = SYSTEM["general"], temperature: float = 0.0, max_tokens: int = 2048) -> DataFrame:
     """ANSWER rows for prompts (query_id, prompt). A call that fails gives its message as content, not an error."""
 

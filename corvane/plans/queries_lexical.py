@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import lexical, pages, symbols
 from corvane.sources import adapters as A
 
-from .queries_text import _PARTS, _WORDS
+from .queries_text import _PARTS, _STOP, _WORDS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN (" + _STOP.replace("{", "{{").replace("}", "}}") + "))"
 
 
 def bm25_sql(tokens: str, method: str = "lucene", queries: str = "SELECT item_id AS q, text FROM benchmark") -> str:
@@ -65,8 +65,11 @@ def lex_bm25_lucene_topk(spark, sf_dir):
 _CODE_WORDS = f"SELECT item_id AS q, {_WORDS} AS ws FROM benchmark"
 
 
-@query(bm25_sql("{0}", "okapi").replace("SELECT doc_id, unnest(text) AS t FROM documents", f"SELECT doc_id, unnest({_PARTS}) AS t FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)").replace(
-    "qs AS (SELECT item_id AS q, text FROM benchmark)", f"qs AS ({_CODE_WORDS})").replace("SELECT q, unnest(text) AS t FROM qs", f"SELECT q, unnest({_PARTS}) AS t FROM qs") + _TOP)
+_OKAPI = bm25_sql("{0}", "okapi").replace("SELECT doc_id, unnest(text) AS t FROM documents", f"SELECT doc_id, unnest({_PARTS}) AS t FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)").replace(
+    "qs AS (SELECT item_id AS q, text FROM benchmark)", f"qs AS ({_CODE_WORDS})").replace("SELECT q, unnest(text) AS t FROM qs", f"SELECT q, unnest({_PARTS}) AS t FROM qs")
+
+
+@query(_OKAPI + _TOP)
 def lex_bm25_okapi_topk(spark, sf_dir):
     return _out(lexical.search(lexical.build(_docs(spark, sf_dir), method="okapi"), A.queries(spark, sf_dir), 10))
 
@@ -81,6 +84,13 @@ def lex_get_scores(spark, sf_dir):
     return found.select("query_id", "page_id", F.round("score", 6).alias("score"))
 
 
+@query(_OKAPI + "SELECT q AS query_id, d.doc_id AS page_id, round(coalesce(s, 0), 6) AS score FROM qs CROSS JOIN documents d LEFT JOIN sc USING (q, doc_id)")
+def lex_get_scores_okapi(spark, sf_dir):
+    """Every page with every query, zeros too, as the formula's caller wants it."""
+    found = lexical.get_scores(lexical.build(_docs(spark, sf_dir), method="okapi"), A.queries(spark, sf_dir))
+    return found.select("query_id", "page_id", F.round("score", 6).alias("score"))
+
+
 @query(bm25_sql(WORDS) + "SELECT t AS term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN c")
 def lex_term_stats(spark, sf_dir):
     return lexical.term_stats(lexical.build(_docs(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -153,6 +163,17 @@ def sym_by_name(spark, sf_dir):
     return symbols.by_name(A.symbols(spark, sf_dir), "small ring").select("symbol_id", "name")
 
 
+@query(f"WITH {SYMBOLS} SELECT symbol_id, name FROM sym WHERE symbol_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def sym_by_id(spark, sf_dir):
+    ids = A.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("symbol_id"))
+    return symbols.by_id(A.symbols(spark, sf_dir), ids).select("symbol_id", "name")
+
+
+@query(f"WITH {SYMBOLS} SELECT symbol_id, name, qualified_name, type, file_path, 1::INT AS line_start, p_size AS line_end, signature, docstring FROM sym JOIN part ON p_partkey = symbol_id")
+def sym_index_rows(spark, sf_dir):
+    return symbols.index_rows(A.symbols(spark, sf_dir))
+
+
 _PAGES = f"{SYMBOLS}, pg AS (SELECT *, (length(source_code) // 4)::INT AS token_count FROM sym WHERE type IN ('function', 'class', 'method') OR (type = 'variable' AND length(source_code) > 20))"
 
 
@@ -161,6 +182,13 @@ def page_filter(spark, sf_dir):
     return pages.from_symbols(A.symbols(spark, sf_dir)).select("page_id", "symbol_name", "symbol_type", "token_count")
 
 
+@query(f"WITH {_PAGES} SELECT symbol_id AS page_id, name AS symbol_name FROM pg WHERE symbol_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def page_by_symbol(spark, sf_dir):
+    ids = A.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("symbol_id"))
+    found = pages.by_symbol(pages.from_symbols(A.symbols(spark, sf_dir)), ids)
+    return pages.by_id(found, found.select("page_id")).select("page_id", "symbol_name")
+
+
 @query(f"WITH {_PAGES} SELECT symbol_id AS page_id, md5(concat_ws(chr(10), name, qualified_name, nullif(docstring, ''), nullif(signature, ''), source_code, file_path)) AS digest FROM pg")
 def page_searchable_text(spark, sf_dir):
     return pages.from_symbols(A.symbols(spark, sf_dir)).select("page_id", F.md5(pages.searchable_text()).alias("digest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,13 +118,13 @@ nd AS (SELECT id::VARCHAR AS id FROM sym UNION SELECT 'file::' || file_path FROM
 """
 
 
-def _index(spark: SparkSession, sf_dir: str) -> Index:
+def _index(spark: SparkSession, sf_dir: str, iterations: int = graph.MAX_ITERATIONS, tolerance: float | None = graph.TOLERANCE) -> Index:
     s = A.symbols(spark, sf_dir).withColumn("symbol_id", F.col("symbol_id").cast("string"))
     none = F.array().cast("array<string>")
     s = s.withColumns({"parent": F.lit(None).cast("string"), "base_classes": none, "type_hints": none})
     page_table = pages.from_symbols(s).withColumn("page_id", F.col("page_id").cast("string"))
     nodes, edges = graph.nodes(s), graph.resolve_edges(s)
-    ranks = graph.pagerank(nodes, edges, iterations=2, tolerance=None)
+    ranks = graph.pagerank(nodes, edges, iterations=iterations, tolerance=tolerance)
     text = page_table.select("page_id", pages.searchable_text().alias("text"))
     return Index(s, page_table, nodes, edges, ranks, lexical.build(text))
 
@@ -169,14 +171,34 @@ SELECT q AS query_id, id AS page_id, (row_number() OVER (PARTITION BY q ORDER BY
 
 @query(_vectorless_sql(10))
 def ret_vectorless(spark, sf_dir):
-    hits = retrievers.VectorlessRetriever(_index(spark, sf_dir)).retrieve(_queries(spark, sf_dir), 10)
+    """With two rounds of PageRank, as far as SQL follows; ``ret_hybrid`` runs it to convergence."""
+    hits = retrievers.VectorlessRetriever(_index(spark, sf_dir, 2, None)).retrieve(_queries(spark, sf_dir), 10)
     return hits.select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
 
 
+class Ready:
+    """Reads a vector from its text, so that a retriever can be followed by SQL."""
+
+    dimension = 64
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [json.loads(t) for t in texts]
+
+
 @query(f"WITH {_KNN} SELECT query_id, page_id, rank, round(greatest(0, s), 6) AS score FROM kr")
 def ret_vector(spark, sf_dir):
-    """Ready vectors in the place of an embedder."""
-    return _knn(spark, sf_dir, clamp=True).select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
+    """The retriever, with queries that are vectors written as text."""
+    e = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
+    index = Index(*[None] * 6, embeddings=e)
+    queries = e.filter("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), F.to_json("embedding").alias("query"))
+    hits = retrievers.VectorRetriever(index, Ready(), clamp=vector.backend()).retrieve(queries, 10)
+    return hits.select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_KNN.replace('rank < 10', 'rank < 100')} SELECT query_id, page_id, greatest(0, s) AS score FROM kr")
+def vec_get_scores(spark, sf_dir):
+    e = A.table(spark, sf_dir, "embeddings")
+    return vector.get_scores(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), key="vec_id")
 
 
 @query()
@@ -199,7 +221,7 @@ def ret_file_paths(spark, sf_dir):
     return retrievers.file_paths(hits, d.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("file_path")))
 
 
-_RANKED = "SELECT source AS q, doc_id, text, lang, source || '/' || lang || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents QUALIFY rank < 12"
+_RANKED = "SELECT source AS q, doc_id, text, lang, source || '/' || lang || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank FROM documents"
 
 
 @query(f"""
@@ -211,7 +233,7 @@ k AS (SELECT c.q, rank, CASE WHEN over IS NULL OR rank < over THEN f WHEN rank =
 SELECT q AS query_id, md5(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY rank), '')) AS digest, count(part)::INT AS n_pages, coalesce(sum(n), 0)::BIGINT AS n_tokens FROM k GROUP BY q""")
 def ctx_pack(spark, sf_dir):
     order = Window.partitionBy("symbol_name").orderBy("page_id")
-    rows = A.pages(spark, sf_dir).withColumn("query_id", F.col("symbol_name")).withColumn("rank", F.row_number().over(order) - 1).filter("rank < 12")
+    rows = A.pages(spark, sf_dir).withColumn("query_id", F.col("symbol_name")).withColumn("rank", F.row_number().over(order) - 1)
     return context.pack(rows).select("query_id", F.md5("context").alias("digest"), "n_pages", "n_tokens")
 
 
@@ -291,3 +313,59 @@ def ext_python_symbols(spark, sf_dir):
 ], "js"))
 def ext_js_symbols(spark, sf_dir):
     return _extracted(spark, sf_dir, "javascript")
+
+
+def _detail_files(spark, sf_dir) -> DataFrame:
+    """Decorated and asynchronous functions, two bases, other docstrings, nested calls, and a line that is no Python 3."""
+    p = A.table(spark, sf_dir, "part")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    code = F.concat(
+        F.lit("@cache\n@route('/x', 1)\nasync def serve_"), name, F.lit("(item: List[Item], *, limit: int = "), F.col("p_size").cast("string"), F.lit(") -> Page:\n    'Serves "), "p_name",
+        F.lit(".'\n    return Page(item.first(limit))\n\n\nprint 'old "), "p_name", F.lit("'\n\n\nclass "), F.initcap(name), F.lit("(Base, pkg.Mixin):\n    kind = 1\n\n    @property\n    def label(self):\n        return self.name\n"),
+    )
+    return p.select(F.concat(F.lit("lib/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("source_code"))
+
+
+_DETAILS = """
+WITH n AS (SELECT *, replace(p_name, ' ', '_') AS s, upper(p_name[1]) || replace(p_name, ' ', '_')[2:] AS c, 'lib/' || p_partkey || '.py' AS file_path FROM part)
+SELECT file_path, 'serve_' || s AS name, 'Serves ' || p_name || '.' AS docstring, 'cache,route(''/x'', 1)' AS decorators, 'Item' AS hints, '' AS bases, 'Page,first' AS calls,
+  'def serve_' || s || '(item: List[Item], limit: int = ' || p_size || ') -> Page' AS signature,
+  md5('async def serve_' || s || '(item: List[Item], *, limit: int = ' || p_size || ') -> Page:' || chr(10) || '    ''Serves ' || p_name || '.''' || chr(10) || '    return Page(item.first(limit))') AS digest FROM n
+UNION ALL SELECT file_path, c, '', '', '', 'Base,pkg.Mixin', '', 'class ' || c || '(Base, pkg.Mixin)',
+  md5('class ' || c || '(Base, pkg.Mixin):' || chr(10) || '    kind = 1' || chr(10) || chr(10) || '    @property' || chr(10) || '    def label(self):' || chr(10) || '        return self.name') FROM n
+UNION ALL SELECT file_path, 'label', '', 'property', '', '', '', 'def label(self)', md5('def label(self):' || chr(10) || '        return self.name') FROM n
+UNION ALL SELECT file_path, 'SyntaxError', '', '', '', '', '', '', '' FROM n
+"""
+
+
+@query(_DETAILS)
+def ext_python_details(spark, sf_dir):
+    """What the symbols of a file with a fault hold, and the row that reports the fault."""
+    raw = extract.raw_symbols(_detail_files(spark, sf_dir))
+    s = extract.to_symbols(raw)
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    listed = lambda c, name: F.array_join(c, ",").alias(name)
+    found = s.select("file_path", "name", text("docstring"), listed("decorators", "decorators"), listed("type_hints", "hints"), listed("base_classes", "bases"), listed("calls", "calls"), text("signature"), F.md5("source_code").alias("digest"))
+    none = [F.lit("").alias(c) for c in found.columns[2:]]
+    return found.unionByName(extract.errors(raw).select("file_path", F.col("error").alias("name"), *none))
+
+
+@query(bm25_sql(WORDS) + """
+, a AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS r FROM sc WHERE s > 0 QUALIFY r <= 10),
+b AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS r FROM qs CROSS JOIN documents QUALIFY r <= 10),
+m AS (SELECT 'bm25' AS method, * FROM a UNION ALL SELECT 'first', * FROM b),
+h AS (SELECT method, q, min(r) AS r FROM m JOIN documents USING (doc_id) WHERE source = 'src' || (q % 20) GROUP BY ALL),
+e AS (SELECT method, q, coalesce(r, 1000) AS r FROM (SELECT DISTINCT method FROM m) CROSS JOIN qs LEFT JOIN h USING (method, q))
+SELECT method, count(*) AS queries, round(avg(CASE WHEN 2 * r <= 5 THEN 1.0 ELSE 0 END)::DOUBLE, 4) AS recall_5, round(avg(CASE WHEN 2 * r <= 10 THEN 1.0 ELSE 0 END)::DOUBLE, 4) AS recall_10,
+  round(avg(CASE WHEN r < 1000 THEN 1.0::DOUBLE / (2 * r) ELSE 0 END), 4) AS mrr FROM e GROUP BY method""")
+def evl_ablation(spark, sf_dir):
+    """Two methods over the benchmark; relevant is a source that the query's number names. Times are left out: they differ."""
+    docs, p = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), A.pages(spark, sf_dir)
+    index = lexical.build(docs)
+    first = docs.orderBy("page_id").limit(10).select("page_id", (F.row_number().over(Window.orderBy("page_id")) - 1).alias("rank"))
+    runs = evaluate.Ablation(p)
+    runs.add_method("bm25", lambda queries, k: lexical.search(index, queries, k))
+    runs.add_method("first", lambda queries, k: queries.select("query_id").crossJoin(F.broadcast(first)))
+    source = F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    benchmarks = A.queries(spark, sf_dir).withColumns({"relevant_files": F.array().cast("array<string>"), "relevant_symbols": source})
+    return runs.run(benchmarks).select("method", "queries", "recall_5", "recall_10", "mrr")

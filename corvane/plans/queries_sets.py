@@ -1,13 +1,17 @@
-"""Set operations, keep-last, ranking and store round trips as queries."""
+"""Set operations, keep-last, ranking, scanning, saving and loading as queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import graph, pages
+from corvane.operators import fusion, graph, lexical, pages, vector
 from corvane.sources import adapters as A
-from corvane.storage import materialize
+from corvane.sources import repository, store
+from corvane.storage import materialize, new_path
+
+from .queries_lexical import WORDS
+from .queries_retrieval import _INDEX, _index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -32,32 +36,11 @@ def set_neighbourhood(spark, sf_dir):
     return graph.undirected(A.geo_edges(spark, sf_dir))
 
 
-@query("SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer")
+@query("SELECT o_custkey AS query_id, o_orderkey AS page_id FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 150000")
 def set_union(spark, sf_dir):
-    """Candidates of two lists, once each."""
-    return A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).union(A.table(spark, sf_dir, "customer").select("c_custkey")).distinct()
-
-
-@query("SELECT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
-def set_intersection(spark, sf_dir):
-    """Retrieved and relevant, as a semi-join that keeps each id once."""
-    found = A.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
-    return found.intersect(A.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"))
-
-
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def set_difference(spark, sf_dir):
-    """What a frontier reaches less what was visited."""
-    visited = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(visited, "id", "left_anti")
-
-
-@query("""
-WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS ws FROM benchmark)
-SELECT item_id, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), ' ') AS words FROM w""")
-def set_ordered_distinct(spark, sf_dir):
-    """Words at their first place only."""
-    return A.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
+    """The candidates of two lists, once each."""
+    rows = A.table(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "query_id", "o_orderkey": "page_id"})
+    return fusion.candidates([rows.filter("o_orderstatus = 'F'"), rows.filter("o_totalprice > 150000")])
 
 
 @query("SELECT l_orderkey AS id, l_partkey AS part, l_linenumber AS ord FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) = 1")
@@ -69,16 +52,91 @@ def win_keep_last(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders)
-SELECT o_custkey AS query_id, o_orderkey AS page_id, rank::INT AS rank, (rank + 1)::INT AS place FROM r WHERE rank < 3""")
+SELECT o_custkey AS query_id, o_orderkey AS page_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1)::INT AS rank FROM orders QUALIFY rank < 3""")
 def win_rank(spark, sf_dir):
-    """Ranks from 0 and places from 1 of the best three a group."""
-    order = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    rows = A.table(spark, sf_dir, "orders").withColumn("place", F.row_number().over(order)).filter("place <= 3")
-    return rows.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("page_id"), (F.col("place") - 1).alias("rank"), "place")
+    """The best three a group."""
+    rows = A.table(spark, sf_dir, "orders").withColumnsRenamed({"o_custkey": "query_id", "o_orderkey": "page_id", "o_totalprice": "score"})
+    return lexical.top_k(rows, 3).select("query_id", "page_id", "rank")
 
 
 @query("SELECT source || '/' || lang || '/' || doc_id AS file_path, source AS symbol_name, length(text)::INT AS n FROM documents")
 def snk_round_trip(spark, sf_dir):
     """Pages written to the shared folder and read back."""
     return materialize(A.pages(spark, sf_dir), "pages").select("file_path", "symbol_name", F.length("source_code").alias("n"))
+
+
+# --- an index over the parts' names, saved and loaded again
+
+
+def _loaded(spark, sf_dir) -> store.Index:
+    index, root = _index(spark, sf_dir, 2, None), new_path(spark, "store")
+    text = index.pages.select("page_id", pages.searchable_text().alias("text"))
+    index.embeddings = vector.embed(text, vector.HashingEmbedder(8))
+    store.save(index, root, "parts")
+    if store.repositories(spark, root) != ["parts"]:
+        raise RuntimeError("the saved index is not listed")
+    return store.load(spark, root, "parts")
+
+
+@query(f"WITH {_INDEX} SELECT id::VARCHAR AS symbol_id, name, qn AS qualified_name, type, file_path, code AS source_code, doc AS docstring, sig AS signature FROM sym")
+def snk_symbols(spark, sf_dir):
+    return _loaded(spark, sf_dir).symbols.select("symbol_id", "name", "qualified_name", "type", "file_path", "source_code", "docstring", "signature")
+
+
+@query(f"WITH {_INDEX} SELECT doc_id::VARCHAR AS page_id, md5(text) AS digest FROM documents2")
+def snk_pages(spark, sf_dir):
+    return _loaded(spark, sf_dir).pages.select("page_id", F.md5(pages.searchable_text()).alias("digest"))
+
+
+@query(f"WITH {_INDEX} SELECT 'node' AS kind, id AS a, '' AS b, 0.0::DOUBLE AS weight FROM nd UNION ALL SELECT 'edge', src, dst, weight FROM e")
+def snk_graph(spark, sf_dir):
+    index: store.Index = _loaded(spark, sf_dir)
+    nodes = index.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("weight"))
+    return nodes.unionByName(index.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight"))
+
+
+@query(f"""WITH {_INDEX}, t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS t FROM documents2), p AS (SELECT t, doc_id, count(*) AS tf FROM t GROUP BY 1, 2)
+SELECT t AS term, doc_id::VARCHAR AS page_id, tf::INT AS tf, (count(*) OVER (PARTITION BY t))::BIGINT AS df FROM p""")
+def snk_postings(spark, sf_dir):
+    return _loaded(spark, sf_dir).lexical.postings.select("term", "page_id", "tf", "df")
+
+
+@query(f"WITH {_INDEX} SELECT doc_id::VARCHAR AS page_id, 8::INT AS dimension, false AS zero FROM documents2")
+def snk_vectors(spark, sf_dir):
+    """Every page has its vector; the hashed words in it are compared in a test."""
+    found = _loaded(spark, sf_dir).embeddings
+    return found.select("page_id", F.size("embedding").alias("dimension"), (~F.exists("embedding", lambda x: x != 0)).alias("zero"))
+
+
+def _folder(spark, sf_dir) -> str:
+    """A source file a nation, in folders of which some are passed over; a dozen small files, written by the driver."""
+    root = new_path(spark, "sources")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in A.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
+        k = r["n_nationkey"]
+        folder, ending = ("app", "node_modules", "rebuild", "web")[k % 4], (".py", ".js", ".rs", ".tsx", ".ts")[k % 5]
+        out = fs.create(hadoop.Path(f"{root}/{folder}/n{k}{ending}"))
+        out.write(f"x = '{r['n_name']}'\r\n".encode() * (k + 1))
+        out.close()
+    return root
+
+
+@query("""
+WITH f AS (SELECT n_nationkey AS k, ['app', 'node_modules', 'rebuild', 'web'][n_nationkey % 4 + 1] AS d, ['.py', '.js', '.rs', '.tsx', '.ts'][n_nationkey % 5 + 1] AS x, n_name FROM nation)
+SELECT d || '/n' || k || x AS file_path, CASE x WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' ELSE 'typescript' END AS language, (k + 2)::INT AS line_count,
+  md5(repeat('x = ''' || n_name || '''' || chr(10), k + 1)) AS digest FROM f WHERE d IN ('app', 'web') AND x IN ('.py', '.js', '.ts')""")
+def src_scan(spark, sf_dir):
+    files: DataFrame = repository.scan(spark, _folder(spark, sf_dir))
+    return files.select("file_path", "language", "line_count", F.md5("source_code").alias("digest"))
+
+
+@query("""
+WITH f AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS n FROM pages), x AS (SELECT page_id, ['.py', '.js', '.ts', '.jsx', '.tsx', '.go', '.java', '.cpp', '.cc', '.c', '.rs', '.txt'][page_id % 12 + 1] AS x FROM f)
+SELECT page_id, CASE x WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.cc' THEN 'cpp' WHEN '.rs' THEN 'rust' WHEN '.txt' THEN NULL ELSE x[2:] END AS language FROM x""")
+def src_language(spark, sf_dir):
+    """A file name for each page, in capitals every other time."""
+    endings = F.array(*[F.lit(x) for x in (*repository.LANGUAGES, ".txt")])
+    ending = F.element_at(endings, (F.col("page_id") % 12 + 1).cast("int"))
+    path = F.concat(F.lit("src/a.b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, F.upper(ending)).otherwise(ending))
+    return A.table(spark, sf_dir, "pages").select("page_id", repository.language(path).alias("language"))

@@ -51,10 +51,10 @@ def str_tokenize_code(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents)
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda w: w NOT IN (""" + _STOP + """)) AS t FROM documents)
 SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM t""")
 def str_word_tokens(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("t"))
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", T.word_tokens(F.col("text"), T.STOPWORDS).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 

@@ -2,8 +2,8 @@
 
 One row a symbol, in the order functions, classes with their methods, imports,
 variables. Only what stands directly in a module counts; calls within nested
-code count for what encloses it. A file that doesn't parse gives one row of
-type ``error`` in ``errors()`` and no symbols.
+code count for what encloses it. A file with faulty lines gives the symbols of
+the others, and one row in ``errors()`` for the first fault.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -114,8 +114,36 @@ def _function(node, source: _Source, parent: str | None = None) -> dict:
     )
 
 
+#: Faulty lines of one file that are set aside at most; with more, the file has no symbols.
+MAX_FAULTS = 200
+
+
+def parse(text: str) -> tuple[ast.Module, list[SyntaxError]]:
+    """The tree of a file and its faults.
+
+    A line that doesn't parse is replaced by ``pass`` in the tree (the source
+    keeps it), the line before it where that doesn't help, and so on: the rest
+    of the file has its symbols all the same.
+    """
+    lines, faults, gone = text.split("\n"), [], set()
+    while True:
+        try:
+            return ast.parse("\n".join(lines)), faults
+        except SyntaxError as fault:
+            at = min(len(lines), fault.lineno or 1) - 1
+            while at >= 0 and (at in gone or not lines[at].strip()):
+                at -= 1
+            if at < 0 or len(faults) >= MAX_FAULTS:
+                raise faults[0] if faults else fault from None
+            faults.append(fault)
+            gone.add(at)
+            lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + "pass"
+
+
 def python_symbols(text: str) -> list[dict]:
-    tree, source = ast.parse(text), _Source(text)
+    tree, faults = parse(text)
+    source = _Source(text)
+    errors = [_error(faults[0])] if faults else []
     functions, classes, imports, variables = [], [], [], []
     for node in tree.body:
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -134,7 +162,12 @@ def python_symbols(text: str) -> list[dict]:
             if isinstance(target, ast.Name) and not (target.id.startswith("_") and not target.id.startswith("__")):
                 value = source.of(node.value)[:PREVIEW] if node.value is not None else None
                 variables.append(_row("variable", target.id, node, source) | {"source_code": value})
-    return functions + classes + imports + variables
+    return functions + classes + imports + variables + errors
+
+
+def _error(fault: Exception) -> dict:
+    line = getattr(fault, "lineno", None) or 1
+    return {"kind": "error", "name": type(fault).__name__, "source_code": str(fault), "line_start": line, "line_end": line}
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +178,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 found = python_symbols(text) if language == "python" else javascript.symbols(text)
             except (SyntaxError, ValueError, RecursionError) as fault:
-                found = [{"kind": "error", "name": type(fault).__name__, "source_code": str(fault), "line_start": getattr(fault, "lineno", None) or 1, "line_end": 1}]
+                found = [_error(fault)]
             rows += [{"file_path": path, "language": language, "seq": i} | f for i, f in enumerate(found)]
         if rows:
             table = pd.DataFrame(rows, columns=columns)
@@ -162,6 +195,11 @@ def errors(raw: DataFrame) -> DataFrame:
     return raw.filter("kind = 'error'").select("file_path", F.col("name").alias("error"), F.col("source_code").alias("message"))
 
 
+def _ord(place: Column) -> Column:
+    """The order of files by their paths, then of symbols within them, as a text that sorts so: nothing is numbered."""
+    return F.concat("file_path", F.lit("\0"), place)
+
+
 def to_symbols(raw: DataFrame) -> DataFrame:
     """symbols from raw rows: qualified names, types, signatures, ids and the order of all."""
     c = F.col
@@ -176,19 +214,14 @@ def to_symbols(raw: DataFrame) -> DataFrame:
         .otherwise(c("source_code"))
     )
     end = F.when(c("kind").isin("import", "variable"), c("line_start")).otherwise(c("line_end"))
-    # files are numbered in the order of their paths, then symbols within them
-    rows = raw.filter("kind <> 'error'")
-    numbers = rows.select("file_path").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file_path")).cast("long"))
-    rows = rows.join(numbers, "file_path")
-    return rows.select(
+    return raw.filter("kind <> 'error'").select(
         T.symbol_id(c("file_path"), qualified, c("line_start")).alias("symbol_id"), "name", qualified.alias("qualified_name"), kind.alias("type"), "file_path", "line_start", end.alias("line_end"),
         code.alias("source_code"), "docstring", F.when(c("kind") == "function", definition).when(c("kind") == "class", of_class).alias("signature"), "parent", "calls", "base_classes",
-        "decorators", "type_hints", "language", (c("file_no") * (1 << 20) + c("seq")).alias("ord"),
+        "decorators", "type_hints", "language", _ord(F.lpad(c("seq").cast("string"), 9, "0")).alias("ord"),
     )
 
 
 def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files with ord, symbols, errors); sources are parsed once."""
     raw = materialize(raw_symbols(files), "raw-symbols")
-    numbered = files.withColumn("ord", F.row_number().over(Window.orderBy("file_path")).cast("long") * (1 << 20))
-    return numbered, to_symbols(raw), errors(raw)
+    return files.withColumn("ord", _ord(F.lit(""))), to_symbols(raw), errors(raw)

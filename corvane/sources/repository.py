@@ -12,8 +12,8 @@ EXTENSIONS = (".py", ".js", ".ts", ".go", ".java", ".cpp", ".rs")
 MAX_BYTES = 1_000_000
 IGNORED = ("__pycache__", ".git", "node_modules", ".tox", ".eggs", "*.pyc", "*.egg-info", "dist", "build", ".venv", "venv")
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go",
-    ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".c": "cpp", ".rs": "rust",
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".go": "go",
+    ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".c": "c", ".rs": "rust",
 }
 #: Languages with an extractor; files in others are scanned over.
 PARSED = ("python", "javascript", "typescript")

@@ -104,3 +104,16 @@ def test_store_round_trip_and_cli(spark, ingested, tmp_path, capsys):
 def test_pages_rebuilt_from_symbols_lack_files(ingested):
     index, _ = ingested
     assert pages.build(index.symbols).filter("symbol_type = 'file'").count() == 0
+
+
+def test_faulty_lines_are_set_aside():
+    text = "def a():\n    print 'old'\n    return b()\n\nclass C(\n\ndef d(x: T): pass\n"
+    found = {r["name"]: r for r in extract.python_symbols(text)}
+    assert found["a"]["calls"] == ["b"] and found["a"]["source_code"] == "def a():\n    print 'old'\n    return b()"
+    assert found["d"]["type_hints"] == ["T"] and found["SyntaxError"]["kind"] == "error" and found["SyntaxError"]["line_start"] == 2
+    with pytest.raises(SyntaxError):
+        extract.parse("(\n" * (extract.MAX_FAULTS + 10))
+
+
+def test_the_language_of_a_file():
+    assert repository.LANGUAGES[".c"] == "c" and repository.LANGUAGES[".cc"] == "cpp" and list(repository.LANGUAGES)[3] == ".jsx"
