@@ -34,20 +34,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+#: What the blocks of ``scratch`` that are open have written, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back. ``keep``: not removed by ``scratch``."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back
 
 
+def _remove(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what ``materialize`` wrote for ``df``: for a state that the next one, already written, replaces."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, df.written_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are removed at the end, but for those to keep: the result must be one of these."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)
 
 
 @contextlib.contextmanager
