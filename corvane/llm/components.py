@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.storage import materialize
+from corvane.storage import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -28,7 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least).distinct(), "edges")
+        further = materialize(small.union(least).distinct(), "edges")
+        discard(edges)
+        edges = further
         state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if (state["n"], state["h"]) == before:
             break

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.storage import materialize
+from corvane.storage import materialize, scratch
 
 from . import common
 from .components import components
@@ -234,6 +234,8 @@ ORDER_TEXTS, COMMON = 20_000, 4
 SMALL_CELL, SLICE = 32, 1024
 #: Bits of the parities that stand in cells, and of those by which proposed pairs are checked before their sets are fetched.
 SHORT_PARITY, LONG_PARITY = 64, 1024
+#: Texts with more shingles, on which those bits tell little, also have a parity of two to four bits a shingle.
+WIDE_FROM = 512
 #: Rows to be dropped (16 bytes each) are broadcast up to this number, counted first; beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 LAST = 0x7FFFFFFFFFFFFFFF
@@ -271,17 +273,78 @@ def parity_of(shingles: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def wide_parity(shingles: np.ndarray) -> bytes | None:
+    return None if len(shingles) <= WIDE_FROM else parity_of(shingles, 1 << (2 * len(shingles) - 1).bit_length())
+
+
+def _stacked(parities: list[bytes], size: int) -> np.ndarray:
+    """Parities of one length as rows of ``size`` bytes; longer ones are folded, as shares of shingles join in pairs."""
+    rows = np.frombuffer(b"".join(parities), dtype=np.uint8).reshape(len(parities), -1)
+    while rows.shape[1] > size:
+        bits = np.unpackbits(rows, axis=1, bitorder="little")
+        rows = np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1, bitorder="little")
+    return np.ascontiguousarray(rows).view("<u8")
+
+
 def _possible(similarity: float):
-    """Proposed pairs without those whose long parities prove the similarity to be less."""
+    """Proposed pairs without those whose parities prove the similarity to be less; a pair without parities stays."""
     share = (1 - similarity) / (1 + similarity)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c]), dtype="<u8").reshape(len(batch), -1) for c in ("pa", "pb"))
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.loc[far <= share * (batch["na"] + batch["nb"]).to_numpy() + 1e-9, ["a", "b"]]
+            pa, pb = batch["pa"].to_numpy(), batch["pb"].to_numpy()
+            limit = share * (batch["na"] + batch["nb"]).to_numpy() + 1e-9
+            stays = np.ones(len(batch), dtype=bool)
+            classes: dict[tuple[int, int], list[int]] = {}
+            for i, (x, y) in enumerate(zip(pa, pb, strict=True)):
+                if x is not None and y is not None:
+                    classes.setdefault((len(x), len(y)), []).append(i)
+            for (x, y), at in classes.items():
+                for k in range(0, len(at), max(1, PAIRS // max(x, y))):
+                    some = at[k : k + max(1, PAIRS // max(x, y))]
+                    far = np.bitwise_count(_stacked(pa[some].tolist(), min(x, y)) ^ _stacked(pb[some].tolist(), min(x, y))).sum(axis=1, dtype=np.int64)
+                    stays[some] = far <= limit[some]
+            yield batch.loc[stays, ["a", "b"]]
+
+    return work
+
+
+def _near_members(similarity: float):
+    """Members of two slices of a large cell (or of one) that sizes and parities leave a partner in another component."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable")
+        n, own, label = rows["n"].to_numpy(np.int64), rows["own"].to_numpy(), rows["component"].to_numpy()
+        one, parity = (own == own[0]).all(), rows["parity"].to_numpy()
+        sizes = np.array([len(x) for x in parity])
+        until = np.searchsorted(n, np.floor(n / similarity + 1e-9), side="right")  # partners of the same size or more stand before
+        near = np.zeros(len(rows), dtype=bool)
+        for x in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == x)
+            for y in (x, 2 * x):  # within these sizes of texts the lengths differ by a factor of 2 at most
+                other = mine if y == x else np.flatnonzero(sizes == y)
+                if not len(other):
+                    continue
+                left, right = _stacked(parity[mine].tolist(), x), _stacked(parity[other].tolist(), x)
+                for i, r in enumerate(mine):
+                    begin, end = np.searchsorted(other, r + 1), np.searchsorted(other, until[r])
+                    some = other[begin:end]
+                    if not len(some):
+                        continue
+                    hit = label[some] != label[r]
+                    if not one:
+                        hit &= own[some] != own[r]
+                    if not hit.any():
+                        continue
+                    far = np.bitwise_count(right[begin:end][hit] ^ left[i]).sum(axis=1, dtype=np.int64)
+                    some = some[hit]
+                    some = some[far <= share * (n[some] + n[r]) + 1e-9]
+                    if len(some):
+                        near[r] = near[some] = True
+        return pd.DataFrame({"cell": rows["cell"].to_numpy()[near], "sid": rows["sid"].to_numpy()[near]})
 
     return work
 
@@ -403,7 +466,7 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
             yield part.map(lambda t: shingles_of(t, words))
 
     every = max(1, n_first // ORDER_TEXTS)
-    sample = one.filter(F.pmod("tid", F.lit(every)) == 0).select(F.explode(shingles("text")).alias("h"))
+    sample = one.filter(F.pmod(F.xxhash64("tid"), F.lit(every)) == 0).select(F.explode(shingles("text")).alias("h"))
     frequent = sample.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy("h").toArrow()
     order = spark.sparkContext.broadcast((frequent["h"].to_numpy(), frequent["count"].to_numpy()))
 
@@ -414,41 +477,62 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
             sets = [shingles_of(t, words) for t in batch["text"]]
             yield pd.DataFrame({
                 "tid": batch["tid"], "sid": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64),
-                "n": [len(s) for s in sets], "parity": np.frombuffer(b"".join([parity_of(s, SHORT_PARITY) for s in sets]), dtype="<i8"), "long": [parity_of(s, LONG_PARITY) for s in sets],
+                "n": [len(s) for s in sets], "parity": np.frombuffer(b"".join([parity_of(s, SHORT_PARITY) for s in sets]), dtype="<i8"), "long": [parity_of(s, LONG_PARITY) for s in sets], "wide": [wide_parity(s) for s in sets],
                 "prefix": [prefix_of(s, *order.value, similarity) for s in sets],
             })
 
-    placed = materialize(one.select("tid", "text").mapInPandas(place, "tid long, sid long, n int, parity long, long binary, prefix array<long>"), "placed")
+    placed = materialize(one.select("tid", "text").mapInPandas(place, "tid string, sid long, n int, parity long, long binary, wide binary, prefix array<long>"), "placed")
     keyed = placed.select("tid", "sid").distinct()
     cells = placed.select("sid", "n", "parity", F.explode("prefix").alias("h")).repartition("h").sortWithinPartitions("h", "sid")
     met = materialize(cells.mapInPandas(_cell_pairs(similarity), "cell long, a long, b long"), "met")
-    proposed = met.filter("cell IS NULL").select("a", "b").distinct()
-    parities = placed.groupBy("sid").agg(F.first("n").alias("n"), F.first("long").alias("long"))
-    proposed = proposed.join(parities.toDF("a", "na", "pa"), "a").join(parities.toDF("b", "nb", "pb"), "b")
-    proposed = materialize(proposed.mapInPandas(_possible(similarity), "a long, b long"), "proposed")
+    proposed = materialize(met.filter("cell IS NULL").select("a", "b").distinct(), "proposed")
     large = materialize(met.filter("cell IS NOT NULL").select("cell", F.col("a").alias("sid")).distinct(), "large")
-
-    wanted = materialize(proposed.select(F.col("a").alias("sid")).union(proposed.select("b")).union(large.select("sid")).distinct(), "wanted")
-    # one text a set; repeated rows of it are summed up by the aggregate
-    texts = keyed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).join(first, "tid")
-    texts = F.broadcast(texts) if wanted.count() <= BROADCAST_ROWS else texts
-    sets = rows.join(texts, ["tid", "ord"]).select("sid", shingles("text").alias("s"))
-    sets = materialize(sets.groupBy("sid").agg(F.first("s").alias("s")), "shingles")
+    for name, parity in (("likely", F.col("long")), ("likelier", F.col("wide"))):
+        asked = proposed.select(F.col("a").alias("sid")).union(proposed.select("b")).distinct()
+        sides = placed.select("sid", "n", parity.alias("p")).filter("p IS NOT NULL").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+        both = proposed.join(sides.toDF("a", "na", "pa"), "a", "left").join(sides.toDF("b", "nb", "pb"), "b", "left")
+        proposed = materialize(both.mapInPandas(_possible(similarity), "a long, b long"), name)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(sid, s): the shingles of one text of each set; a repeated row gives a repeated set."""
+        wanted = materialize(wanted.distinct(), "wanted")
+        texts = keyed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).join(first, "tid")
+        texts = F.broadcast(texts) if wanted.count() <= BROADCAST_ROWS else texts
+        return materialize(rows.join(texts, ["tid", "ord"]).select("sid", shingles("text").alias("s")), "shingles")
+
+    sets = sets_of(proposed.select(F.col("a").alias("sid")).union(proposed.select("b")))
     pairs = proposed.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("sid", "b").withColumnRenamed("s", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    held = materialize(pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b"), "held")
+    held = materialize(pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b").distinct(), "held")
     if large.isEmpty():
         return keyed, held
 
     joined = large.join(components(held).withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     joined = materialize(joined, "joined")
     apart = joined.groupBy("cell").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("cell", "k")
+    members = _dealt(joined.join(apart, "cell"))
+    sides = placed.select("sid", "n", F.coalesce("wide", "long").alias("parity")).join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    near = members.join(sides, "sid").groupBy("cell", "i", "j").applyInPandas(_near_members(similarity), "cell long, sid long")
+    near = materialize(near.distinct(), "near")
+    if near.isEmpty():
+        return keyed, held
+    sizes = near.groupBy("cell").agg(F.count("*").alias("k"))
+    members = _dealt(near.join(joined, ["cell", "sid"]).join(sizes, "cell"))
+    rest = members.join(sets_of(near.select("sid")), "sid").groupBy("cell", "i", "j").applyInPandas(_verified(similarity), "a long, b long")
+    return keyed, materialize(held.union(rest), "links")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of cells (cell, sid, component, k) once for each pair of slices that holds their own."""
     slices = F.ceil(F.col("k") / SLICE).cast("int")
-    members = joined.join(apart, "cell").withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("sid"), "slices").cast("int"))
+    members = members.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("sid"), "slices").cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    members = members.select("cell", "sid", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rest = members.join(sets, "sid").groupBy("cell", "i", "j").applyInPandas(_verified(similarity), "a long, b long")
-    return keyed, materialize(held.union(rest), "links")
+    return members.select("cell", "sid", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def text_id(text: Column) -> Column:
+    """128 bits of a text's SHA-256, as hex digits; null like empty."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
 
 
 def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = DEDUP_WORDS, similarity: float = DEDUP_SIMILARITY) -> DataFrame:
@@ -457,8 +541,10 @@ def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     Two texts are linked if they share ``similarity`` of their distinct
     shingles (Jaccard), and a group is what links join: no link is missed.
     """
+    if docs.schema[doc].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc} must hold integers: the smallest one of a group stays")
     rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
-    rows = rows.withColumn("tid", F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = rows.withColumn("tid", text_id(F.col("text")))
     narrow = materialize(rows.select("ord", "tid"), "narrow")
     texts = materialize(narrow.groupBy("tid").agg(F.min("ord").alias("ord")), "texts")
     keyed, held = shingle_links(rows, texts, words, similarity)
@@ -471,11 +557,13 @@ def duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
 
 def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the smallest id, once."""
-    found = materialize(duplicates(docs, doc, text, **options), "duplicates")
+    common.check_columns(docs, doc, text)
+    with scratch(docs.sparkSession):
+        found = materialize(duplicates(docs, doc, text, **options), "duplicates", keep=True)
     stays = (F.col("ord") == F.col("keeper_ord")) & (F.col("tid") == F.col("keeper_tid"))
     gone = found.filter(~stays).select(F.col("ord").alias("__o"), F.col("tid").alias("__t"))
     again = found.filter(stays & (F.col("n") > 1)).select(F.col("ord").alias("__o"), F.col("tid").alias("__t"))
-    keyed = docs.withColumn("__ord", F.coalesce(F.col(doc).cast("long"), F.lit(LAST))).withColumn("__tid", F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    keyed = docs.withColumn("__ord", F.coalesce(F.col(doc).cast("long"), F.lit(LAST))).withColumn("__tid", text_id(F.col(text)))
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     at = (F.col("__ord") == F.col("__o")) & (F.col("__tid") == F.col("__t"))
     out = keyed.join(small(gone), at, "left_anti")
