@@ -1,20 +1,27 @@
 """Benchmark decontamination (DataFrame operations only).
 
-A window of an item's size over a document is compared with the item: SimHash
-fingerprints of both, a multi-index over blocks of the fingerprint that finds
-every pair within ``radius`` bits, and the exact similarity of their weighted
-five-word shingles for what the index finds.
+A window of an item's size over a document is compared with the items of that
+size: SimHash fingerprints of both, a multi-index over blocks of the
+fingerprint that finds every pair within ``radius`` bits, and the exact
+similarity of their weighted five-word shingles for what the index finds.
 
 Which windows: a window can only reach a positive similarity where it shares a
-shingle with the item, so windows are laid where a shingle of the document is
-one of an item, aligned to it (one window for each item, place and offset that
-occurs). That loses no pair and spares the fingerprints of all other places.
-The shingles of the documents are hashed once in generated code and looked up
-in the items' table; documents themselves are never shuffled.
+shingle with an item, so windows are laid where a shingle of the document is
+one of any item's, aligned as it stands there (one window for each place, size
+and offset that occurs). That loses no pair and spares the fingerprints of all
+other places. Which items a window is compared with is the index's decision
+alone. Items of fewer than five words are one shingle of their own length, and
+are looked for with windows of that length.
+
+Documents are read twice: first their shingles are hashed in generated code
+and looked up, which leaves narrow rows (id, a hash of the text, place, size);
+then the words of these windows are fetched from the documents that have some.
+No array of words is ever shuffled, but for whole texts where too many
+documents have a window for a broadcast.
 
 The multi-index: ``radius`` differing bits over eight blocks of eight bits
-leave a block with radius // 8 at most; each item stands under all block values that
-near, a window looks up its own eight values.
+leave a block with radius // 8 at most; each item stands under its size and
+all block values that near, a window looks up its own eight values.
 
 Weights: a shingle's weight is ln(1 + items / items with it), the highest for
 shingles that no item has; similarity is the weighted Jaccard of the counts.
@@ -22,6 +29,8 @@ shingles that no item has; similarity is the weighted Jaccard of the counts.
 Defined results
 * words are runs of letters and digits, lower-cased; a text of fewer than five
   words is one shingle, and one without words matches nothing;
+* whole texts are looked through, however long;
+* columns of other names stay out of the pairs, and ``clean`` returns them as they are;
 * null texts match nothing; null item ids are left out; rows without an id
   are taken for one document without an id;
 * a passage that occurs several times in a document counts once, at the place
@@ -87,21 +96,37 @@ def item_table(items: DataFrame, item: str = "item_id", text: str = "text") -> D
     return rows.select("item_id", F.size("w").alias("n_words"), "hashes", F.size("hashes").alias("n_shingles"), _fingerprint(F.col("hashes")).alias("fingerprint"))
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def windows(docs: DataFrame, table: DataFrame, n_shingles: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Item-sized windows (doc_id, item, start, words) at each place where a document has a shingle of an item."""
-    at = table.select(F.col("item_id").alias("item"), "n_words", F.posexplode("hashes").alias("offset", "hash"))
-    rows = docs.select(F.col(doc).alias("doc_id"), words_of(F.col(text)).alias("w")).filter("size(w) > 0")
+    """Item-sized windows (doc_id, text_hash, start, n_words) at each place where a document has a shingle of an item."""
+    at = table.select("n_words", F.posexplode("hashes").alias("offset", "hash")).distinct()
+    short = sorted(r["n_words"] for r in table.filter(F.col("n_words") < WORDS).select("n_words").distinct().collect())  # four at most
+    rows = docs.select(F.col(doc).alias("doc_id"), _text_hash(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w")).filter("size(w) > 0")
     n = F.size("w")
     zipped = F.arrays_zip(F.col("w").alias("a"), *[F.slice("w", i, n).alias(f"b{i}") for i in range(2, WORDS + 1)])
-    rows = rows.select("doc_id", "w", F.posexplode(zipped).alias("p", "z"))
-    full = F.col(f"z.b{WORDS}").isNotNull()
-    # concat_ws skips the nulls of a text that is shorter than a shingle
-    joined = F.concat_ws(" ", "z.a", *[f"z.b{i}" for i in range(2, WORDS + 1)])
-    rows = rows.filter(full | ((n < WORDS) & (F.col("p") == 0))).select("doc_id", "w", "p", F.xxhash64(joined).alias("hash"))
-    hits = rows.join(_bounded(at, n_shingles), "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("offset"), F.size("w") - F.col("n_words")))
-    hits = hits.select("doc_id", "item", start.alias("start"), F.slice("w", start + 1, F.col("n_words")).alias("words"))
-    return hits.groupBy("doc_id", "item", "start").agg(F.min("words").alias("words"))
+    rows = rows.select("doc_id", "text_hash", n.alias("n"), F.posexplode(zipped).alias("p", "z"))
+    first = lambda k: F.xxhash64(F.concat_ws(" ", "z.a", *[f"z.b{i}" for i in range(2, k + 1)]))
+    full = lambda k: F.col("z.a" if k == 1 else f"z.b{k}").isNotNull()
+    hashes = [F.when(full(k), first(k)) for k in (*short, WORDS)]
+    hashed = rows.select("doc_id", "text_hash", "n", "p", hashes[0].alias("hash") if not short else F.explode(F.array(*hashes)).alias("hash"))
+    hits = hashed.filter("hash IS NOT NULL").join(_bounded(at, n_shingles), "hash")
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("offset"), F.col("n") - F.col("n_words")))
+    return hits.select("doc_id", "text_hash", start.alias("start"), "n_words").distinct()
+
+
+def _hashes_of(docs: DataFrame, found: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, start, n_words, hashes): the shingles of windows, fetched from the documents; repeated rows once."""
+    per_text = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n_words")).alias("places"))
+    per_text = per_text.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "places")
+    rows = docs.select(F.col(doc).alias("doc_id"), _text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    rows = rows.join(_bounded(per_text, found.count()), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")))
+    rows = rows.select("doc_id", "text_hash", words_of(F.col("text")).alias("w"), F.explode("places").alias("at"))
+    rows = rows.select("doc_id", "text_hash", "at.*", F.slice("w", F.col("at.start") + 1, F.col("at.n_words")).alias("words"))
+    rows = rows.select("doc_id", "text_hash", "start", "n_words", _shingles(F.col("words")).alias("hashes"))
+    return rows.groupBy("doc_id", "text_hash", "start", "n_words").agg(F.first("hashes").alias("hashes"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -113,33 +138,33 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
     table = materialize(item_table(items, item, text), "items")
     count = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()
     n_items, n_shingles = count["n"], count["s"]
-    found = windows(docs, table, n_shingles, doc, text)
-    found = materialize(found, "windows").withColumn("hashes", _shingles(F.col("words"))).withColumn("print", _fingerprint(F.col("hashes")))
+    found = materialize(windows(docs, table, n_shingles, doc, text), "windows")
+    found = _hashes_of(docs, found, doc, text).withColumn("print", _fingerprint(F.col("hashes")))
     # multi-index: an item under all values within radius // BLOCKS of each of its blocks
     near = radius // BLOCKS
     values = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.bit_count(v.bitwiseXOR(_block(F.col("fingerprint"), F.col("block")))) <= near)
-    index = table.select("item_id", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    index = index.select(F.col("item_id").alias("item"), "fingerprint", "block", F.explode(values).alias("value"))
+    index = table.select("item_id", "n_words", "fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    index = index.select(F.col("item_id").alias("item"), "n_words", "fingerprint", "block", F.explode(values).alias("value"))
     per_block = sum(_choose(8, k) for k in range(near + 1))
-    probe = found.select("doc_id", "item", "start", "hashes", "print", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    probe = found.select("doc_id", "text_hash", "start", "n_words", "hashes", "print", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     probe = probe.withColumn("value", _block(F.col("print"), F.col("block")))
-    hits = probe.join(_bounded(index, n_items * BLOCKS * per_block), ["item", "block", "value"])
+    hits = probe.join(_bounded(index, n_items * BLOCKS * per_block), ["n_words", "block", "value"])
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint")))
     hits = hits.withColumn("distance", distance.cast("int")).filter(F.col("distance") <= radius)
     # a pair meets in several blocks: keep it in the first
     first = F.expr(f"aggregate(sequence(0, {BLOCKS - 1}), {BLOCKS}, (m, b) -> CASE WHEN m = {BLOCKS} AND bit_count((shiftrightunsigned(print, b * 8) ^ shiftrightunsigned(fingerprint, b * 8)) & 255) <= {near} THEN b ELSE m END)")
-    pairs = hits.filter(F.col("block") == first).select("doc_id", "item", "start", "distance", "hashes")
+    pairs = hits.filter(F.col("block") == first).select("doc_id", "text_hash", "item", "start", "distance", "hashes")
     # exact similarity of weighted counts
     weight = table.select(F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash").agg(F.log(1 + F.lit(float(n_items)) / F.count("*")).alias("weight"))
     side = table.select(F.col("item_id").alias("item"), "n_words", F.explode("hashes").alias("hash")).groupBy("item", "n_words", "hash").agg(F.count("*").alias("b"))
     side = side.join(weight, "hash").withColumnRenamed("weight", "wb")
     items_w = side.groupBy("item", "n_words").agg(F.sum(F.col("b") * F.col("wb")).alias("all_b"))
     other = F.lit(float(n_items)) if n_items else F.lit(1.0)
-    ours = pairs.select("doc_id", "item", "start", "distance", F.explode("hashes").alias("hash"))
-    ours = ours.groupBy("doc_id", "item", "start", "distance", "hash").agg(F.count("*").alias("a"))
+    ours = pairs.select("doc_id", "text_hash", "item", "start", "distance", F.explode("hashes").alias("hash"))
+    ours = ours.groupBy("doc_id", "text_hash", "item", "start", "distance", "hash").agg(F.count("*").alias("a"))
     ours = ours.join(_bounded(weight, n_shingles), "hash", "left").withColumn("wa", F.coalesce("weight", F.log(1 + other)))
     ours = ours.join(_bounded(side.select("item", "hash", "b"), n_shingles), ["item", "hash"], "left")
-    sums = ours.groupBy("doc_id", "item", "start", "distance").agg(
+    sums = ours.groupBy("doc_id", "text_hash", "item", "start", "distance").agg(
         F.sum(F.col("a") * F.col("wa")).alias("all_a"), F.sum(F.least(F.col("a"), F.coalesce("b", F.lit(0))) * F.col("wa")).alias("both")
     )
     sums = sums.join(_bounded(items_w, n_items), "item").withColumn("similarity", F.col("both") / (F.col("all_a") + F.col("all_b") - F.col("both")))
