@@ -1,6 +1,7 @@
 """Toxicity: a learned, weighted lexicon matched by Aho-Corasick.
 
-Training (Spark aggregates over all labelled training rows): for every folded
+Training (Spark aggregates over all labelled training rows, which are folded
+once): for every folded
 word and every word beginning of four or five letters, the number of toxic
 and of clean documents that have it; an entry is kept where its smoothed log
 odds over the base rate are high and not by chance. A two-word phrase around
@@ -28,22 +29,23 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.storage import materialize
+from corvane.storage import materialize, scratch
 
 from . import common
 
 FOLDS, HELD_OUT = 5, 0
 #: Documents that must have an entry, its log odds over the base rate, and how many deviations they lie above it.
 MIN_DOCS, MIN_LOG_ODDS, MIN_DEVIATIONS = 5, 1.5, 5.0
-#: Entries of the lexicon at most, those of the highest deviation first (about 100 bytes each on every executor).
-MAX_ENTRIES = 20_000
+#: The part of the toxic documents that must have an entry, and of the clean ones that must have an exception phrase.
+#: So there are at most as many as the mean such document has, divided by this, however many documents there are.
+MIN_SHARE = 0.0005
 PREFIXES = (4, 5)
 #: Training documents for the two coefficients and the offset at most, those of the smallest MD5 of their id.
 MAX_FIT_ROWS = 50_000
@@ -58,6 +60,8 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 _FOLD = str.maketrans(HOMOGLYPHS)
+_ALIKE = re.compile(f"[{''.join(HOMOGLYPHS)}]")
+_SIGN = re.compile(f"[{re.escape(''.join(DIGITS))}]")
 _LEET = str.maketrans(DIGITS)
 _WORD = re.compile(r"[^\W_]+")
 #: A word in which a digit or sign stands beside letters.
@@ -70,21 +74,33 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
-    if not text.isascii():
+    if not text.isascii() and _ALIKE.search(text):
         text = text.translate(_FOLD)
     if "*" in text or not text.isascii():
         text = _JOINTS.sub("", text)
-    if _MIXED.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_LEET), text)
+    if _SIGN.search(text):
+        text = _letters(" ".join(text.split()))
     return " ".join(_WORD.findall(text))
 
 
+def _letters(text: str) -> str:
+    """Text with single spaces, in which signs within words of letters are letters; only words with a sign are looked at."""
+    out, at = [], 0
+    for m in _SIGN.finditer(text):
+        if m.start() >= at:
+            begin, end = text.rfind(" ", 0, m.start()) + 1, text.find(" ", m.end())
+            end = len(text) if end < 0 else end
+            out += [text[at:begin], _MIXED.sub(lambda w: w[0].translate(_LEET), text[begin:end])]
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of toxic and clean documents by entry, summed within a task's batch."""
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            words = set(fold(text or "").split())
+            words = set(text.split())
             for entry in words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}:
                 counts.setdefault(entry, [0, 0])[int(toxic)] += 1
         if counts:
@@ -99,7 +115,7 @@ def _phrases(lexicon: dict[str, float]):
             counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 seen = set()
-                folded = fold(text or "")
+                folded = text
                 for start, end, _ in match.hits(folded):
                     end = folded.find(" ", end) if folded.find(" ", end) >= 0 else len(folded)
                     before = folded.rfind(" ", 0, max(0, start - 1)) + 1 if start else start
@@ -151,16 +167,13 @@ class Matcher:
         return list(best.values())
 
 
-def _weigh(lexicon: dict[str, float], exceptions, texts) -> np.ndarray:
-    """(sum of weights, sum a hundred words) of each text."""
-    match = Matcher(lexicon, exceptions)
-    out = np.zeros((len(texts), 2))
-    for i, text in enumerate(texts):
-        if text:
-            folded = fold(text)
-            total = sum(w for _, _, w in match.hits(folded))
-            out[i] = total, 100.0 * total / (folded.count(" ") + 1)
-    return out
+def _weigh(match: Matcher, texts: Iterable[str]) -> np.ndarray:
+    """(sum of weights, sum a hundred words) of each folded text."""
+    rows = []
+    for folded in texts:
+        total = math.fsum(w for _, _, w in match.hits(folded))
+        rows.append((total, 100.0 * total / (folded.count(" ") + 1)))
+    return np.array(rows).reshape(-1, 2)
 
 
 def _inputs(x: np.ndarray) -> np.ndarray:
@@ -184,13 +197,16 @@ class Model:
     def __init__(self, lexicon: dict[str, float], exceptions: list[str], beta: list[float]) -> None:
         self.lexicon, self.exceptions, self.beta = lexicon, exceptions, beta
 
-    def scores(self, texts) -> np.ndarray:
-        z = _inputs(_weigh(self.lexicon, self.exceptions, texts)) @ np.array(self.beta)
+    def matcher(self) -> Matcher:
+        return Matcher(self.lexicon, self.exceptions)
+
+    def scores(self, texts, matcher: Matcher | None = None) -> np.ndarray:
+        z = _inputs(_weigh(matcher or self.matcher(), (fold(t or "") for t in texts))) @ np.array(self.beta)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(labelled: DataFrame) -> Model:
-    """labelled: text, toxic (0 or 1), __order (any text to choose the rows of the last step by)."""
+    """labelled: text (folded), toxic (0 or 1), __order (any text to choose the rows of the last step by)."""
     rows = labelled.filter("toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), "__order")
     totals = rows.agg(F.count_if(F.expr("toxic = 1")).alias("t"), F.count_if(F.expr("toxic = 0")).alias("c")).first()
     t, c = totals["t"], totals["c"]
@@ -208,18 +224,19 @@ def train(labelled: DataFrame) -> Model:
     odds = F.log((F.col("n_toxic") + 0.5) / F.lit(t + 1.0)) - F.log((F.col("n_clean") + 0.5) / F.lit(c + 1.0))
     deviations = (F.col("n_toxic") - n * rate) / F.sqrt(n * rate * (1 - rate))
     entries = counted(_features, rows).withColumns({"odds": odds, "dev": deviations})
-    entries = entries.filter((n >= MIN_DOCS) & (F.col("odds") >= MIN_LOG_ODDS) & (F.col("dev") >= MIN_DEVIATIONS))
-    top = entries.orderBy(F.col("dev").desc(), "entry").limit(MAX_ENTRIES).select("entry", "odds").collect()
-    lexicon = {r["entry"]: float(r["odds"]) for r in top}
+    common_enough = (n >= MIN_DOCS) & (F.col("n_toxic") >= MIN_SHARE * t)
+    entries = entries.filter(common_enough & (F.col("odds") >= MIN_LOG_ODDS) & (F.col("dev") >= MIN_DEVIATIONS))
+    lexicon = {r["entry"]: float(r["odds"]) for r in sorted(entries.select("entry", "odds").collect())}
     # a longer entry says nothing new where its own beginning is as telling
     lexicon = {k: v for k, v in lexicon.items() if not any(lexicon.get(k[:n] + "*", -1.0) >= v - 0.5 for n in PREFIXES if len(k.rstrip("*")) > n)}
     phrases = counted(_phrases(lexicon), rows).withColumn("odds", odds)
-    benign = phrases.filter((n >= MIN_DOCS) & (F.col("odds") <= 0) & (F.col("n_clean") >= MIN_DOCS))
-    exceptions = [r["entry"] for r in benign.orderBy(F.col("n_clean").desc(), "entry").limit(MAX_ENTRIES).select("entry").collect()]
+    benign = phrases.filter((F.col("odds") <= 0) & (F.col("n_clean") >= max(MIN_DOCS, MIN_SHARE * c)))
+    exceptions = sorted(r["entry"] for r in benign.select("entry").collect())
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match = Matcher(lexicon, exceptions)
         for batch in batches:
-            x = _weigh(lexicon, exceptions, list(batch["text"]))
+            x = _weigh(match, batch["text"])
             yield pd.DataFrame({"s": x[:, 0], "d": x[:, 1], "toxic": batch["toxic"], "o": batch["__order"]})
 
     weighed = rows.select("text", "toxic", "__order").mapInPandas(weigh, "s double, d double, toxic int, o string")
@@ -243,8 +260,9 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id") -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        match = model.matcher()
         for texts in batches:
-            yield pd.Series(model.scores(list(texts)))
+            yield pd.Series(model.scores(texts, match))
 
     return (
         docs.withColumn("held_out", common.crc_bucket(F.col(doc), FOLDS) == HELD_OUT)
@@ -253,8 +271,20 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id") -> DataFrame:
     )
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Training rows with their texts folded."""
+
+    @F.pandas_udf("string")
+    def folds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: fold(t or ""))
+
+    return rows.withColumn("text", folds(F.col("text")))
+
+
 def model_for(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> Model:
-    return train(materialize(labelled_rows(docs, labels, doc), "labelled"))
+    with scratch(docs.sparkSession):
+        return train(materialize(folded(labelled_rows(docs, labels, doc)), "labelled"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:

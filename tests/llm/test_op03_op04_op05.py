@@ -2,6 +2,7 @@ import math
 import random
 import re
 import warnings
+import zlib
 from collections import Counter
 
 import pytest
@@ -61,12 +62,25 @@ def test_decontamination_against_all_windows(spark):
             b = b[:-1]
         at = r.randrange(len(w))
         docs[i] = (i, " ".join(w[:at] + [x.upper() + "," for x in b] + w[at:]))
+    docs += [(110, "and then one TWO, three there stand more words"), (111, " ".join(words(r, 20000) + bench[2][1].split()))]
     docs += [(100, None), (101, ""), (102, "One, two THREE"), (103, "one two"), (104, bench[0][1]), (104, bench[0][1]), (None, bench[1][1])]
     found = op3.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     got = {(r_.doc_id, r_.item_id): r_.similarity for r_ in found}
     want = brute(docs, bench)
     assert len(found) == len(got) and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert (110, 50) in got and (111, 2) in got
+
+
+def test_no_words_are_shuffled(spark, monkeypatch):
+    """Even where the items are too many for a broadcast."""
+    monkeypatch.setattr(op3, "BROADCAST_ROWS", 0)
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{t} and more") for i, t in items()], "doc_id long, text string")
+    table = op3.item_table(bench)
+    plan = op3.windows(docs, table, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"Exchange[^\n]*\bw#", plan)
+    assert {(r.doc_id, r.item_id) for r in op3.contaminated(docs, bench).collect()} == {(i, i) for i, _ in items()}
 
 
 def test_clean_and_empty_tables(spark):
@@ -138,6 +152,43 @@ def test_toxicity_folding_and_exceptions():
     assert match.hits("the village idiot") == [] and match.hits("idiots flowe") == []
 
 
+def test_toxicity_against_counting_by_hand(spark):
+    """The lexicon, the exception phrases and the weights of texts, without an automaton or a table."""
+    docs, labels = toxic_table(spark)
+    docs = docs.unionByName(frame(spark, [(2000 + i, f"the village idiot of {w}", None, None, None) for i, w in enumerate(words(random.Random(8), 30))]))
+    labels = labels.union(spark.createDataFrame([(2000 + i, 0) for i in range(30)], labels.schema))
+    model = op5.model_for(docs, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    train = [(op5.fold(r.text or "").split(), toxic[r.doc_id]) for r in docs.collect() if r.doc_id in toxic and zlib.crc32(str(r.doc_id).encode()) % 5]
+    t, c = sum(y for _, y in train), sum(1 - y for _, y in train)
+    entries = lambda ws: {e for w in ws for e in (w, *(w[:n] + "*" for n in (4, 5) if len(w) > n))}
+    n = {k: Counter(e for ws, y in train if y == k for e in entries(ws)) for k in (0, 1)}
+    odds = lambda a, b: math.log((a + 0.5) / (t + 1)) - math.log((b + 0.5) / (c + 1))
+    lexicon = {}
+    for e in n[0] | n[1]:
+        a, b, rate = n[1][e], n[0][e], t / (t + c)
+        if a + b >= 5 and a >= op5.MIN_SHARE * t and odds(a, b) >= 1.5 and (a - (a + b) * rate) / math.sqrt((a + b) * rate * (1 - rate)) >= 5:
+            lexicon[e] = odds(a, b)
+    lexicon = {k: v for k, v in lexicon.items() if not any(lexicon.get(k[:m] + "*", -1.0) >= v - 0.5 for m in (4, 5) if len(k.rstrip("*")) > m)}
+    assert model.lexicon == pytest.approx(lexicon) and "idio*" in lexicon
+
+    def hits(ws, exceptions=()):
+        found = {i: max((v for e, v in lexicon.items() if w == e or (e[-1] == "*" and w.startswith(e[:-1]))), default=0.0) for i, w in enumerate(ws)}
+        inside = {k for i in range(len(ws) - 1) if " ".join(ws[i : i + 2]) in exceptions for k in (i, i + 1)}
+        return {i: v for i, v in found.items() if v and i not in inside}
+
+    phrases = {0: Counter(), 1: Counter()}
+    for ws, y in train:
+        phrases[y].update({" ".join(ws[k : k + 2]) for i in hits(ws) for k in (i - 1, i) if k >= 0 and len(ws[k : k + 2]) == 2})
+    benign = sorted(p for p in phrases[0] if phrases[0][p] >= 5 and odds(phrases[1][p], phrases[0][p]) <= 0)
+    assert model.exceptions == benign and "village idiot" in benign
+    for r in op5.score(docs, model).collect():
+        ws = op5.fold(r.text or "").split()
+        total = sum(hits(ws, benign).values())
+        z = model.beta[0] + model.beta[1] * math.log1p(total) + model.beta[2] * math.log1p(100 * total / max(1, len(ws)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_without_training_rows(spark):
     docs, labels = toxic_table(spark)
     for some in (labels.limit(0), labels.filter("toxic = 1"), labels.filter("toxic = 0")):
