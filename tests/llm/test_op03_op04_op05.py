@@ -4,9 +4,11 @@ import re
 import warnings
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from corpus import SCHEMA, documents, frame, words
+from pyspark.sql import functions as F
 
 from corvane.llm import op03_decontamination as op3
 from corvane.llm import op04_url_filter as op4
@@ -210,3 +212,31 @@ def test_a_rule_of_five_tokens_is_mined(spark):
     pages = [(five, True)] * 30 + [(five[:i] + five[i + 1 :], False) for i in range(5) for _ in range(30)]
     rules = op4.mine(spark.createDataFrame(pages, "tokens array<string>, blocked boolean")).collect()
     assert [(r.tokens, r.n_tokens, r.support) for r in rules] == [(five, 5, 30)]
+
+
+def test_rules_against_listing_all_combinations(spark):
+    r = random.Random(5)
+    rows = [([t for t in "abcdefg" if r.random() < 0.4], r.random() < 0.3) for _ in range(400)]
+    rows = [(t, y or {"a", "c"} <= set(t) or {"b", "d", "e"} <= set(t)) for t, y in rows] + [([], True), (["a", "a"], False)]
+    having, blocked = Counter(), Counter()
+    for t, y in rows:
+        for k in range(1, 8):
+            for x in combinations(sorted(set(t)), k):
+                having[x] += 1
+                blocked[x] += y
+    rules = {x: n / having[x] for x, n in blocked.items() if n >= 20 and n / having[x] >= 0.8}
+    least = {x: c for x, c in rules.items() if not any(set(o) < set(x) for o in rules)}
+    found = {tuple(x.tokens): x.confidence for x in op4.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()}
+    assert found == pytest.approx(least) and ("a", "c") in found
+    assert op4.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean").limit(0)).count() == 0
+
+
+def test_pages_that_repeat_and_tables_without_rows(spark):
+    urls = [(1, "http://a.io/x"), (1, "http://a.io/x"), (None, "http://a.io/" + "long/" * 20000), (2, None)]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("tokens", F.lit("mine"))
+    labels = spark.createDataFrame([(1, True), (1, False), (2, True)], "page_id long, blocked boolean")
+    found = op4.judge(pages, labels).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.verdict, r.tokens) for r in found) == [(0, "a.io", 100001, "allow", "mine"), (1, "a.io", 2, "allow", "mine"), (1, "a.io", 2, "allow", "mine"), (2, "", 0, "allow", "mine")]
+    assert op4.judge(pages.limit(0), labels).count() == 0 and op4.judge(pages, labels.limit(0)).count() == 4
+    numbers = spark.createDataFrame([("http://a.b/de/123.html",), ("http://a.b/de/45?x=1",), ("http://a.b/7/8/",), ("http://a.b/x9/",), (None,), ("http://a.b/" + "1" * 30,)], "url string")
+    assert [r[0] for r in numbers.select(op4.document_of(F.col("url"))).collect()] == [123, 45, 7, None, None, None]
