@@ -9,10 +9,11 @@ share, and the union of what is found is verified by the cosine in double
 precision. A pair is counted in the first block whose share it keeps, so it
 counts once and no list of pairs is ever shuffled.
 
-A task gets vectors of a few labels (or two slices of one large label) for one
-block: it sorts them by the block's first coordinate, which lets it compare a
-vector only with those that are near in it, tests the block's distance for
-these, and verifies. It passes on link counts and a spanning forest.
+A task gets vectors of a few labels (or two slices of one large label), once
+for all blocks. For each block it sorts them by the block's first coordinate,
+which lets it compare a vector only with those that are near in it, tests the
+block's distance for these, and verifies. It passes on link counts and a
+spanning forest. A vector is sent to as many tasks as its label has slices.
 
 Equal vectors of a label are one class from the start: a thousand copies cost
 as much as one vector.
@@ -43,8 +44,9 @@ from .components import Forest, components
 
 THRESHOLD = 0.93
 BLOCKS = 8
-#: Vectors of a label in one task; larger labels are cut into slices of this size, and each pair of slices is a task.
-SLICE = 8192
+#: Vectors of a label in one task; larger labels are cut into slices, and each pair of slices is a task. Slices have
+#: this size up to MANY of them, then they grow to four times the size, so that fewer copies are sent.
+SLICE, MANY = 8192, 16
 #: Pairs whose block distance is worked out at a time.
 PAIRS = 1 << 20
 SEED = 20240229
@@ -67,46 +69,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _range_join(raw: np.ndarray, side: np.ndarray, block: int, threshold: float, blocks: int):
-    """Index pairs that link and keep the share of ``block`` first. side: 0 and 1 pair up; 2 pairs with itself."""
+def _range_join(raw: np.ndarray, side: np.ndarray, threshold: float, blocks: int):
+    """Index pairs that link, each once. side: 0 and 1 pair up; 2 pairs with itself."""
     n, dims = raw.shape
     x = _unit(raw)
     y = x @ rotation(dims)
     bounds = block_bounds(dims, blocks)
-    if block >= len(bounds):
-        return
     budget = 2 - 2 * threshold + 1e-9  # above what rounding can add
-    lo, hi = bounds[block]
-    share = budget * (hi - lo) / dims
-    order = np.argsort(y[:, lo], kind="stable")
-    z, first = y[order, lo:hi], y[order, lo]
-    norms = (z * z).sum(1)
-    until = np.searchsorted(first, first + np.sqrt(share), side="right")  # partners stand in [i + 1, until)
-    i = 0
-    while i < n:
-        width = max(1, int(until[i]) - i)
-        rows = max(1, min(n - i, PAIRS // width))
-        j = min(n, i + rows)
-        end = int(until[j - 1])
-        near = norms[i:j, None] + norms[None, i:end] - 2 * (z[i:j] @ z[i:end].T) <= share + 1e-9
-        a, b = np.nonzero(near)
-        keep = b > a
-        a, b = order[a[keep] + i], order[b[keep] + i]
-        keep = (side[a] + side[b] == 1) | (side[a] == 2)
-        a, b = a[keep], b[keep]
-        for k in range(0, len(a), PAIRS // 8):
-            p, q = a[k : k + PAIRS // 8], b[k : k + PAIRS // 8]
-            linked = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-            p, q = p[linked], q[linked]
-            if block and len(p):  # leave to an earlier block what keeps its share
-                d = (y[p] - y[q]) ** 2
-                earlier = np.zeros(len(p), dtype=bool)
-                for s, e in bounds[:block]:
-                    earlier |= d[:, s:e].sum(1) <= budget * (e - s) / dims
-                p, q = p[~earlier], q[~earlier]
-            if len(p):
-                yield p, q
-        i = j
+    shares = np.array([budget * (hi - lo) / dims for lo, hi in bounds])
+    edges = np.array([lo for lo, _ in bounds])
+    for block, (lo, hi) in enumerate(bounds):
+        order = np.argsort(y[:, lo], kind="stable")
+        z, first = y[order, lo:hi].astype(np.float32), y[order, lo]
+        # single precision lets a little more through; what counts is worked out below
+        half = (z * z).sum(1) / 2 - np.float32(shares[block] / 4 + 1e-5)
+        until = np.searchsorted(first, first + np.sqrt(shares[block]), side="right")  # partners stand in [i + 1, until)
+        i = 0
+        while i < n:
+            width = max(1, int(until[i]) - i)
+            j = min(n, i + max(1, PAIRS // width))
+            end = int(until[j - 1])
+            a, b = np.nonzero(z[i:j] @ z[i:end].T >= half[i:j, None] + half[None, i:end])
+            keep = b > a
+            a, b = order[a[keep] + i], order[b[keep] + i]
+            keep = (side[a] + side[b] == 1) | (side[a] == 2)
+            a, b = a[keep], b[keep]
+            for k in range(0, len(a), PAIRS // 8):
+                p, q = a[k : k + PAIRS // 8], b[k : k + PAIRS // 8]
+                linked = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                p, q = p[linked], q[linked]
+                if len(p):  # the first block whose share a pair keeps has it
+                    kept = np.add.reduceat((y[p] - y[q]) ** 2, edges, axis=1) <= shares + 1e-9
+                    mine = kept.argmax(1) == block
+                    if mine.any():
+                        yield p[mine], q[mine]
+            i = j
 
 
 def _work(threshold: float, blocks: int):
@@ -118,7 +115,7 @@ def _work(threshold: float, blocks: int):
             raw = np.stack(part["v"].to_numpy()).astype(np.float64)
             node, size, side = part["node"].to_numpy(), part["size"].to_numpy(), part["side"].to_numpy()
             count, forest, edges = np.zeros(len(part), dtype=np.int64), Forest(), []
-            for p, q in _range_join(raw, side, int(key[2]), threshold, blocks):
+            for p, q in _range_join(raw, side, threshold, blocks):
                 np.add.at(count, p, size[q])
                 np.add.at(count, q, size[p])
                 edges += [(node[a], node[b]) for a, b in zip(p.tolist(), q.tolist(), strict=True) if forest.join(a, b)]
@@ -139,20 +136,23 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     common.check_columns(vectors, vec, embedding, label)
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    rows = vectors.select(F.col(vec).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"  # half the bytes, turned into doubles where they are used
+    v = F.col(embedding) if single else F.col(embedding).cast("array<double>")
+    rows = vectors.select(F.col(vec).alias("vec_id"), v.alias("v"), F.col(label).cast("string").alias("label"))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     # a node for each distinct vector of a label
-    keyed = rows.withColumn("key", F.when(F.col("usable"), F.md5(F.concat_ws("|", "label", F.array_join(F.transform("v", lambda c: (c + 0.0).cast("string")), ",")))))
+    keyed = rows.withColumn("key", F.when(F.col("usable"), F.md5(F.concat_ws("|", "label", F.array_join(F.transform("v", lambda c: (c + F.lit(0.0)).cast("string")), ",")))))
     keyed = materialize(keyed.select("vec_id", "usable", "key", "label", F.when(F.col("usable"), F.col("v")).alias("v")), "vectors")
     classes = keyed.filter("usable").groupBy("key").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
     # node numbers: 63 bits of the key would do, but the key's exact text joins them back
     classes = materialize(classes.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")), "classes")
     counts = classes.groupBy("label").agg(F.count("*").alias("in_label"))
-    tasks = classes.join(counts, "label").withColumn("slices", F.ceil(F.col("in_label") / SLICE).cast("int"))
+    slices = F.least(F.ceil(F.col("in_label") / SLICE), F.greatest(F.lit(MANY), F.ceil(F.col("in_label") / (4 * SLICE))))
+    tasks = classes.join(counts, "label").withColumn("slices", slices.cast("int"))
     total = counts.agg(F.coalesce(F.sum("in_label"), F.lit(0)).alias("n")).first()["n"]
-    shared = max(1, total // SLICE)  # small labels share tasks
+    shared = max(1, 2 * total // SLICE)  # small labels share tasks
     mine = F.when(F.col("slices") > 1, F.pmod(F.xxhash64("key"), F.col("slices"))).otherwise(F.lit(0)).cast("int")
     bucket = F.when(F.col("slices") > 1, F.concat(F.lit("="), F.col("label"))).otherwise(F.pmod(F.xxhash64("label"), F.lit(shared)).cast("string"))
     tasks = tasks.withColumn("mine", mine).withColumn("bucket", bucket)
@@ -165,9 +165,8 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
         ),
     )
     tasks = tasks.select("bucket", "label", F.size("v").alias("dims"), "node", "size", "v", F.explode(pair).alias("p"))
-    tasks = tasks.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(blocks), F.col("dims")) - 1)).alias("block"))
-    tasks = tasks.select(F.concat_ws(":", "bucket", "p.i").alias("left"), F.col("p.j").cast("string").alias("right"), "block", "label", "dims", "node", "size", "v", F.col("p.side").alias("side"))
-    found = tasks.groupBy("left", "right", "block").applyInPandas(_work(threshold, blocks), "node long, n long, a long, b long")
+    tasks = tasks.select(F.concat_ws(":", "bucket", "p.i").alias("left"), F.col("p.j").cast("string").alias("right"), "label", "dims", "node", "size", "v", F.col("p.side").alias("side"))
+    found = tasks.groupBy("left", "right").applyInPandas(_work(threshold, blocks), "node long, n long, a long, b long")
     found = materialize(found, "embedding-links")
     links = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.filter("a IS NOT NULL").select("a", "b"))

@@ -54,9 +54,10 @@ def brute(data, threshold=0.93):
     return sorted(((r[0], n[i], least.get(find(i))) for i, r in enumerate(data)), key=str)
 
 
-@pytest.mark.parametrize("slice_", [8192, 20])
-def test_against_brute_force(spark, monkeypatch, slice_):
+@pytest.mark.parametrize("slice_, many", [(8192, 16), (20, 16), (5, 2)])
+def test_against_brute_force(spark, monkeypatch, slice_, many):
     monkeypatch.setattr(op1, "SLICE", slice_)
+    monkeypatch.setattr(op1, "MANY", many)
     data = rows()
     random.Random(1).shuffle(data)
     found = op1.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
@@ -70,9 +71,8 @@ def test_pigeonhole_misses_nothing():
     x[150:] = x[:150] + g.standard_normal((150, 64)) * 0.38
     side = np.full(300, 2)
     seen = []
-    for b in range(op1.BLOCKS):
-        for p, q in op1._range_join(x, side, b, 0.93, op1.BLOCKS):
-            seen += [tuple(sorted(t)) for t in zip(p.tolist(), q.tolist())]
+    for p, q in op1._range_join(x, side, 0.93, op1.BLOCKS):
+        seen += [tuple(sorted(t)) for t in zip(p.tolist(), q.tolist())]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.93}
     assert len(seen) == len(set(seen)) and set(seen) == want and want
