@@ -101,8 +101,9 @@ def cuts(rows: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
     last = last.withColumn("__run", run).filter(F.col("__run") > F.col("__rest"))
     last = last.groupBy("__name").agg(F.min(F.struct("__key", (F.col("__rest") - F.col("__run") + F.col("__words")).alias("__left"))).alias("__c"))
     found = budgets.join(last, "__name", "left")
-    # a budget that takes all rows ends after every key
-    return materialize(found.select("__name", "source_size", "target", "__epochs", F.coalesce("__c.__key", F.lit("~")).alias("__end"), F.coalesce("__c.__left", F.lit(0).cast("long")).alias("__left")), "mix-cuts")
+    # where no part of an epoch is left, it ends before every key; where it takes all rows, after every key
+    end = F.when(F.col("__rest") <= 0, F.lit("")).otherwise(F.coalesce("__c.__key", F.lit("~")))
+    return materialize(found.select("__name", "source_size", "target", "__epochs", end.alias("__end"), F.coalesce("__c.__left", F.lit(0).cast("long")).alias("__left")), "mix-cuts")
 
 
 def _with_cuts(rows: DataFrame, found: DataFrame) -> DataFrame:
