@@ -26,7 +26,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,11 +60,16 @@ def fingerprint_of(text: str | None, words: int = WORDS) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, dtype=np.int64), len(starts)
-    for i in range(0, n, PIECE):
-        part = zip(starts[i : i + PIECE].tolist(), ends[i : i + PIECE].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], SEED) for a, b in part], dtype="<u8")
+    pieces = ((starts[i : i + PIECE].tolist(), ends[i : i + PIECE].tolist()) for i in range(0, len(starts), PIECE))
+    return simhash(np.array([digest(joined[a:b], SEED) for a, b in zip(*p, strict=True)], dtype="<u8") for p in pieces)
+
+
+def simhash(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that over half of the hashes have set; 0 of none."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in pieces:
         counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -449,7 +454,10 @@ def _verified(similarity: float):
 def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(tid, sid) with the hash of each text's set of shingles, and links (a, b) that join the sets into the components of all similar pairs.
 
-    rows: ord, tid and text; first: the smallest ord of each tid. Two similar
+    rows: ord, tid and text; first: the smallest ord of each tid. Fingerprints of
+    the sets propose pairs by the grid of segment popcounts. What they miss (at
+    this similarity about ten bits differ, too many for a selective grid) the
+    prefix filter proposes. Two similar
     sets have one of their first shingles in common (prefix filter), so that the
     cells of equal first shingles hold every similar pair. Small cells propose
     their pairs, large ones a few; the similarity of these is computed. In
@@ -478,14 +486,16 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
             yield pd.DataFrame({
                 "tid": batch["tid"], "sid": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64),
                 "n": [len(s) for s in sets], "parity": np.frombuffer(b"".join([parity_of(s, SHORT_PARITY) for s in sets]), dtype="<i8"), "long": [parity_of(s, LONG_PARITY) for s in sets], "wide": [wide_parity(s) for s in sets],
+                "print": np.array([simhash(s[i : i + PIECE].view("<u8") for i in range(0, len(s), PIECE)) for s in sets], dtype=np.uint64).view(np.int64),
                 "prefix": [prefix_of(s, *order.value, similarity) for s in sets],
             })
 
-    placed = materialize(one.select("tid", "text").mapInPandas(place, "tid string, sid long, n int, parity long, long binary, wide binary, prefix array<long>"), "placed")
+    placed = materialize(one.select("tid", "text").mapInPandas(place, "tid string, sid long, n int, parity long, long binary, wide binary, print long, prefix array<long>"), "placed")
     keyed = placed.select("tid", "sid").distinct()
     cells = placed.select("sid", "n", "parity", F.explode("prefix").alias("h")).repartition("h").sortWithinPartitions("h", "sid")
     met = materialize(cells.mapInPandas(_cell_pairs(similarity), "cell long, a long, b long"), "met")
-    proposed = materialize(met.filter("cell IS NULL").select("a", "b").distinct(), "proposed")
+    proposed = met.filter("cell IS NULL").select("a", "b").union(_by_prints(placed.select("sid", "print"))).distinct()
+    proposed = materialize(proposed, "proposed")
     large = materialize(met.filter("cell IS NOT NULL").select("cell", F.col("a").alias("sid")).distinct(), "large")
     for name, parity in (("likely", F.col("long")), ("likelier", F.col("wide"))):
         asked = proposed.select(F.col("a").alias("sid")).union(proposed.select("b")).distinct()
@@ -522,6 +532,18 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
     return keyed, materialize(held.union(rest), "links")
 
 
+def _by_prints(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets proposed by their fingerprints (columns sid, print): one set of each fingerprint with its
+    others, and those of fingerprints that the grid links."""
+    classes = materialize(rows.groupBy("print").agg(F.min("sid").alias("first")), "prints")
+    near = materialize(links(classes.select("print")).select("a", "b"), "print-links")
+    one, other = classes.toDF("a", "x"), classes.toDF("b", "y")
+    between = near.join(one, "a").join(other, "b").select("x", "y")
+    within = rows.join(classes, "print").select(F.col("first").alias("x"), F.col("sid").alias("y"))
+    pairs = between.union(within).filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _dealt(members: DataFrame) -> DataFrame:
     """Members of cells (cell, sid, component, k) once for each pair of slices that holds their own."""
     slices = F.ceil(F.col("k") / SLICE).cast("int")
