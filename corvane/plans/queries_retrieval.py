@@ -13,7 +13,7 @@ from corvane.sources import extract
 from corvane.sources.store import Index
 from corvane.storage import materialize
 
-from . import providers, retrievers
+from . import ingest, providers, retrievers
 from .queries_lexical import WORDS, bm25_sql
 
 QUERIES: dict = {}
@@ -369,3 +369,103 @@ def evl_ablation(spark, sf_dir):
     source = F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
     benchmarks = A.queries(spark, sf_dir).withColumns({"relevant_files": F.array().cast("array<string>"), "relevant_symbols": source})
     return runs.run(benchmarks).select("method", "queries", "recall_5", "recall_10", "mrr")
+
+
+# --- models: deterministic stand-ins, so that SQL can follow what is made of their answers
+
+
+class Lengths:
+    """A vector of a text's length and its number of spaces; batches with a text of an odd length fail."""
+
+    dimension = 2
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if any(len(t) % 2 for t in texts):
+            raise ValueError("an odd text")
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+class Echo:
+    """Answers an expansion in JSON with the question's first word; every question of an odd length breaks the call."""
+
+    def __call__(self, prompt: str, system: str, temperature: float = 0.0, max_tokens: int = 2048) -> providers.Answer:
+        question = prompt.split(": ", 1)[1].split("\n", 1)[0]
+        if len(question) % 2:
+            raise ValueError("an odd question")
+        word = question.split(" ")[0]
+        return providers.Answer("```json\n" + json.dumps({"keywords": [word.upper()], "expected_symbols": [word], "expected_files": [word + ".py"]}) + "\n```", len(prompt), 1)
+
+
+class Grader:
+    """Rates an answer by the length of the whole prompt."""
+
+    def __call__(self, prompt: str, system: str, temperature: float = 0.0, max_tokens: int = 2048) -> providers.Answer:
+        n = len(prompt)
+        return providers.Answer(json.dumps({"correctness": n % 5 + 1, "completeness": 3, "hallucination": 1, "specificity": n % 2, "reasoning": str(n)}), n, 1)
+
+
+@query("SELECT doc_id AS page_id, CASE WHEN length(text[1:6000]) % 2 = 1 THEN [0.0::DOUBLE, 0.0] ELSE [length(text[1:6000])::DOUBLE, length(text[1:6000]) - length(replace(text[1:6000], ' ', ''))] END::VARCHAR AS embedding FROM documents")
+def vec_embed_faulty(spark, sf_dir):
+    """Batches that fail are halved down to the texts that fail alone; these get zeros."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    found = vector.embed(docs, Lengths()).select("page_id", F.transform("embedding", lambda x: x.cast("double").cast("string")).alias("e"))
+    return found.select("page_id", F.concat(F.lit("["), F.array_join("e", ", "), F.lit("]")).alias("embedding"))
+
+
+_ASKED = "qs AS (SELECT DISTINCT p_name || ' in LARGE_ring of' AS q FROM part UNION SELECT DISTINCT p_type || ' Box' FROM part)"
+
+
+@query(rf"""
+WITH {_ASKED}, x AS (SELECT q, length(q) % 2 = 0 AS ok, string_split(q, ' ')[1] AS w, list_filter(string_split_regex(lower(q), '\s+'), lambda t: t <> '') AS ws, regexp_extract_all(q, '[a-zA-Z0-9_]+') AS parts FROM qs),
+y AS (SELECT *, list_filter(parts, lambda t: regexp_full_match(t, '[a-zA-Z_][a-zA-Z0-9_]+')) AS ids, list_concat([lower(w)], ws) AS given, list_transform(list_filter(parts, lambda t: regexp_full_match(t, '[a-zA-Z]{{4,}}')), lambda t: lower(t)) AS kw FROM x)
+SELECT q AS query_id, array_to_string(CASE WHEN ok THEN list_filter(given, lambda t, i: list_position(given, t) = i) ELSE kw END, ',') AS keywords,
+  array_to_string(CASE WHEN ok THEN [w] ELSE list_filter(ids, lambda t, i: list_position(ids, t) = i) END, ',') AS idents, CASE WHEN ok THEN w || '.py' ELSE '' END AS files FROM y""")
+def qry_expand_model(spark, sf_dir):
+    """By a model where it answers in JSON, else by patterns."""
+    p = A.table(spark, sf_dir, "part")
+    asked = p.select(F.concat("p_name", F.lit(" in LARGE_ring of")).alias("query")).union(p.select(F.concat("p_type", F.lit(" Box")))).distinct()
+    found = providers.expand(asked.select(F.col("query").alias("query_id"), "query"), Echo())
+    return found.select("query_id", *[F.array_join(c, ",").alias(c) for c in ("keywords", "idents", "files")])
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_JUDGED = _quoted(providers.JUDGE.replace("{{", "{").replace("}}", "}")).replace("{question}", "' || x.text || '").replace("{truth}", "' || y.text || '").replace("{answer}", "' || x.role || '")
+
+
+@query(f"""
+WITH a AS (SELECT x.conv_id || ':' || x.turn AS query_id, length({_JUDGED}) AS n FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = y.turn - 1)
+SELECT query_id, (n % 5 + 1)::INT AS correctness, 3::INT AS completeness, 1::INT AS hallucination, (n % 2)::INT AS specificity, n::VARCHAR AS reasoning FROM a""")
+def llm_judge(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("truth"))
+    rows = c.join(after, ["conv_id", "turn"]).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("question"), "truth", F.col("role").alias("answer"))
+    return providers.judge(rows, Grader())
+
+
+@query("SELECT item_id AS query_id, md5('## Code' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Calls' || chr(10) || chr(10) || item_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Question' || chr(10) || text[1:20]) AS digest FROM benchmark")
+def llm_prompts(spark, sf_dir):
+    q = A.queries(spark, sf_dir)
+    return q.select("query_id", F.md5(providers.prompt(F.col("query"), F.substring("query", 1, 20), F.col("query_id").cast("string"))).alias("digest"))
+
+
+@query(f"""WITH {_INDEX}, k AS (SELECT id, type AS t FROM sym UNION SELECT 'file::' || file_path, 'file' FROM sym)
+SELECT 'node' AS kind, t AS name, count(*) AS n FROM k GROUP BY t UNION ALL SELECT 'edge', 'DEFINED_IN', count(*) FROM e UNION ALL SELECT 'total', 'nodes', (SELECT count(*) FROM nd) UNION ALL SELECT 'total', 'edges', count(*) FROM e
+UNION ALL SELECT 'total', 'files', count(DISTINCT file_path) FROM sym UNION ALL SELECT 'total', 'pages', count(*) FROM documents2""")
+def ing_summary(spark, sf_dir):
+    """An index built from symbols as ingestion builds it, and the report about it."""
+    s = A.symbols(spark, sf_dir).withColumn("symbol_id", F.col("symbol_id").cast("string"))
+    none = F.array().cast("array<string>")
+    return ingest.summary(ingest.index_of(s.withColumns({"parent": F.lit(None).cast("string"), "base_classes": none, "type_hints": none})))
+
+
+@query(bm25_sql(WORDS) + """
+, a AS (SELECT q, doc_id, (row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) - 1)::INT AS rank FROM sc WHERE s > 0 QUALIFY rank < 3)
+SELECT q AS query_id, doc_id AS page_id, rank, source || '/' || lang || '/' || doc_id AS file_path, length(text)::INT AS n_chars FROM a JOIN documents USING (doc_id)""")
+def ret_with_pages(spark, sf_dir):
+    """The best pages of each query with what they hold, joined last."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    hits = lexical.search(lexical.build(docs), A.queries(spark, sf_dir), 3)
+    return retrievers.with_pages(hits, A.pages(spark, sf_dir)).select("query_id", "page_id", "rank", "file_path", F.length("source_code").alias("n_chars"))
