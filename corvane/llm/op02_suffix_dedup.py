@@ -10,11 +10,15 @@ anchors, so two documents that share a window share an anchor in it.
 1. Copies. Documents with equal texts are one text, of the smallest id; the
    other copies are covered from end to end and need no further work.
 2. Anchors. Each task passes on its anchors' hashes as sorted blocks, dealt by
-   hash; the anchors found under two ids or more come back, dealt by text.
+   hash; the anchors found under two ids or more come back, dealt by text. An
+   anchor that a block has under two ids itself is decided there: only its hash
+   is passed on, so that a passage in a third of all texts makes one row a
+   block.
 3. Runs. Each task takes the suffix at each such anchor (the 50 bytes from it,
    and the 34 before it), sorts them, and passes them on as front-coded runs:
    for each suffix the length of the prefix that it shares with the one before
-   and the rest of it.
+   and the rest of it. Where a run has the same bytes several times, all but
+   the smallest id lose them at once, and the run holds that one only.
 4. Merge. A task merges the runs of its part with a loser tree that keeps, for
    each run, the prefix known to be shared with the last suffix put out: the
    longer one wins without a look at the bytes, and of two equal ones only what
@@ -32,6 +36,7 @@ Defined results
 * equal ids are not smaller than each other: documents that share an id take
   nothing from each other; a null id is larger than all others;
 * repeated rows are returned as often as they occur;
+* whole texts count, however long; other columns of the input are not looked at, whatever their names;
 * an empty table gives an empty result.
 """
 
@@ -126,8 +131,24 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: in
     return places, h[places]
 
 
+def _dealt_by_text(ordinal: np.ndarray, tid: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """(part, block): places by text."""
+    if not len(ordinal):
+        return []
+    part = ((tid.view(np.uint64) * _M1) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.lexsort((place, tid, ordinal, part))
+    ordinal, tid, place, part = ordinal[order], tid[order], place[order], part[order]
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    out = []
+    for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+        begin = np.flatnonzero(np.concatenate(([True], (ordinal[a + 1 : b] != ordinal[a : b - 1]) | (tid[a + 1 : b] != tid[a : b - 1]))))
+        sizes = np.diff(np.append(begin, b - a))
+        out.append((int(part[a]), _pack(ordinal[a:b][begin], tid[a:b][begin], _planes(sizes), _planes(place[a:b]))))
+    return out
+
+
 def _anchor_blocks(parts: int, length: int):
-    """Rows (part, block): sorted anchor hashes with text and place."""
+    """Rows (part, block, decided): sorted anchor hashes with text and place, and those that are known to be shared."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         orders: list[int] = []
@@ -142,17 +163,23 @@ def _anchor_blocks(parts: int, length: int):
             h >>= np.uint64(24)  # 40 bits tell the million or so anchors of a part from each other; windows are compared exactly later
             order = np.lexsort((h, part))
             h, doc, place, part = h[order], doc[order], place[order], part[order]
-            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ordinals, ids = np.array(orders, dtype=np.int64), np.array(tids, dtype=np.int64)
-            rows = []
+            first = np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])))
+            begin = np.flatnonzero(first)
+            apart = np.minimum.reduceat(ordinals[doc], begin) != np.maximum.reduceat(ordinals[doc], begin)
+            here = np.repeat(apart, np.diff(np.append(begin, len(h))))  # decided here: two ids have it
+            rows = [(p, blob, True) for p, blob in _dealt_by_text(ordinals[doc[here]], ids[doc[here]], place[here], parts)]
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
-                used, local = np.unique(doc[a:b], return_inverse=True)
-                rows.append((int(part[a]), _pack(_planes(np.diff(h[a:b], prepend=np.uint64(0))), _planes(local), _planes(place[a:b]), ordinals[used], ids[used])))
+                known, mine = h[a:b][first[a:b] & here[a:b]], ~here[a:b]
+                used, local = np.unique(doc[a:b][mine], return_inverse=True)
+                block = _pack(_planes(np.diff(h[a:b][mine], prepend=np.uint64(0))), _planes(local), _planes(place[a:b][mine]), ordinals[used], ids[used], _planes(np.diff(known, prepend=np.uint64(0))))
+                rows.append((int(part[a]), block, False))
             found.clear()
             orders.clear()
             tids.clear()
             count = 0
-            return pd.DataFrame(rows, columns=["part", "block"])
+            return pd.DataFrame(rows, columns=["part", "block", "decided"])
 
         for batch in batches:
             group: list[bytes] = []
@@ -199,35 +226,28 @@ def _anchor_blocks(parts: int, length: int):
 
 
 def _shared_anchors(parts: int):
-    """Rows (part, block): text and place of the anchors whose hash occurs under two ids, dealt by text."""
+    """Rows (part, block): text and place of the anchors whose hash occurs under two ids, dealt by text; decided ones pass."""
 
     def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        h, ordinal, tid, place = [], [], [], []
-        for blob in rows["block"]:
-            d, local, p, o, t = _unpack(blob)
+        out = [(int(key[0]), blob) for blob in rows["block"][rows["decided"]]]
+        h, ordinal, tid, place, known = [], [], [], [], []
+        for blob in rows["block"][~rows["decided"].astype(bool)]:
+            d, local, p, o, t, k = _unpack(blob)
             local = _joined(local)
             h.append(np.cumsum(_joined(d)))
             ordinal.append(o[local])
             tid.append(t[local])
             place.append(_joined(p))
-        h, ordinal, tid, place = np.concatenate(h), np.concatenate(ordinal), np.concatenate(tid), np.concatenate(place)
-        order = np.argsort(h, kind="stable")
-        h, ordinal, tid, place = h[order], ordinal[order], tid[order], place[order]
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        apart = np.minimum.reduceat(ordinal, starts) != np.maximum.reduceat(ordinal, starts)
-        keep = np.repeat(apart, np.diff(np.append(starts, len(h))))
-        ordinal, tid, place = ordinal[keep], tid[keep], place[keep]
-        if not len(ordinal):
-            return pd.DataFrame({"part": [], "block": []})
-        part = ((tid.view(np.uint64) * _M1) >> np.uint64(33)).astype(np.int64) % parts
-        order = np.lexsort((place, tid, ordinal, part))
-        ordinal, tid, place, part = ordinal[order], tid[order], place[order], part[order]
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        out = []
-        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
-            begin = np.flatnonzero(np.concatenate(([True], (ordinal[a + 1 : b] != ordinal[a : b - 1]) | (tid[a + 1 : b] != tid[a : b - 1]))))
-            sizes = np.diff(np.append(begin, b - a))
-            out.append((int(part[a]), _pack(ordinal[a:b][begin], tid[a:b][begin], _planes(sizes), _planes(place[a:b]))))
+            known.append(np.cumsum(_joined(k)))
+        if h:
+            h, ordinal, tid, place, known = (np.concatenate(x) for x in (h, ordinal, tid, place, known))
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h, ordinal, tid, place = h[order], ordinal[order], tid[order], place[order]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            apart = np.minimum.reduceat(ordinal, starts) != np.maximum.reduceat(ordinal, starts)
+            keep = np.repeat(apart | np.isin(h[starts], known), np.diff(np.append(starts, len(h))))
+            out += _dealt_by_text(ordinal[keep], tid[keep], place[keep], parts)
         return pd.DataFrame(out, columns=["part", "block"])
 
     return work
@@ -260,7 +280,8 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 def _suffix_runs(parts: int, length: int):
-    """Rows (part, run): front-coded sorted suffixes with what stands before them and who has them."""
+    """Rows (part, run, spans): front-coded sorted suffixes with what stands before them and the smallest id that has
+    them; the spans that others lose by that."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = length - ANCHOR
@@ -270,6 +291,7 @@ def _suffix_runs(parts: int, length: int):
         def flush() -> pd.DataFrame:
             records.sort()
             rows, i = [], 0
+            orders, tids = np.array(docs, dtype=np.int64).reshape(-1, 2).T
             while i < len(records):
                 part, prefixes, tails, lengths, befores, before_lengths, counts, owners, places = records[i][0], [], [], [], [], [], [], [], []
                 last, last_before = b"", None
@@ -289,13 +311,24 @@ def _suffix_runs(parts: int, length: int):
                     owners.append(doc)
                     places.append(place)
                     i += 1
-                owners = np.array(owners)
+                owners, places, counts = np.array(owners), np.array(places), np.array(counts)
+                # of equal bytes, those of larger ids go, with all windows around their anchor
+                ordinals, ids = orders[owners], tids[owners]
+                least = np.minimum.reduceat(ordinals, np.concatenate(([0], np.cumsum(counts)[:-1])))
+                record = np.repeat(np.arange(len(counts)), counts)
+                gone = ordinals > least[record]
+                if gone.any():
+                    near, far = np.maximum(0, length - np.array(lengths))[record[gone]], np.minimum(left, np.array(before_lengths))[record[gone]]
+                    some = near <= far
+                    at = places[gone][some]
+                    rows.append((part, None, _pack(ordinals[gone][some], ids[gone][some], at - far[some], at - near[some] + length)))
+                    owners, places, counts = owners[~gone], places[~gone], np.bincount(record[~gone], minlength=len(counts))
                 used, local = np.unique(owners, return_inverse=True)
                 table = np.array([docs[u] for u in used], dtype=np.int64)
-                rows.append((part, _pack(np.array(prefixes, np.uint8), b"".join(tails), np.array(lengths, np.uint8), b"".join(befores), np.array(before_lengths, np.uint8), _planes(np.array(counts)), _planes(local), _planes(np.array(places)), table)))
+                rows.append((part, _pack(np.array(prefixes, np.uint8), b"".join(tails), np.array(lengths, np.uint8), b"".join(befores), np.array(before_lengths, np.uint8), _planes(counts), _planes(local), _planes(places), table), None))
             records.clear()
             docs.clear()
-            return pd.DataFrame(rows, columns=["part", "run"])
+            return pd.DataFrame(rows, columns=["part", "run", "spans"])
 
         for batch in batches:
             for text, ordinal, tid, places in zip(batch["text"], batch["ord"], batch["tid"], batch["places"], strict=True):
@@ -456,7 +489,9 @@ def covered(blobs: list[bytes], length: int = LENGTH) -> pd.DataFrame:
 
 def _covered(length: int):
     def work(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return covered(list(rows["run"]), length)
+        known = [pd.DataFrame(dict(zip(("ord", "tid", "start", "stop"), _unpack(blob), strict=True))) for blob in rows["spans"].dropna()]
+        runs = list(rows["run"].dropna())
+        return pd.concat([*known, *([covered(runs, length)] if runs else [])])
 
     return work
 
@@ -515,11 +550,11 @@ def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", length
     marked = narrow.join(first, "sha").withColumn("copy", F.col("ord") > F.col("first"))
     unique = marked.filter(F.col("copy") == F.lit(False)).filter(F.col("n_bytes") >= length).select("ord", "tid").distinct()
     texts = rows.select("ord", "tid", "text").repartition(parts, "ord", "tid").join(unique, ["ord", "tid"], "left_semi")
-    blocks = texts.mapInPandas(_anchor_blocks(parts, length), "part int, block binary")
+    blocks = texts.mapInPandas(_anchor_blocks(parts, length), "part int, block binary, decided boolean")
     places = blocks.groupBy("part").applyInPandas(_shared_anchors(parts), "part int, block binary")
     places = places.groupBy("part").applyInPandas(_places_of_texts, "ord long, tid long, places array<long>")
     with_places = texts.join(places, ["ord", "tid"]).select("text", "ord", "tid", "places")
-    runs = with_places.mapInPandas(_suffix_runs(parts, length), "part int, run binary")
+    runs = with_places.mapInPandas(_suffix_runs(parts, length), "part int, run binary, spans binary")
     spans = runs.groupBy("part").applyInPandas(_covered(length), "ord long, tid long, start long, stop long")
     spans = spans.groupBy("ord", "tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     found = texts.join(spans, ["ord", "tid"]).select("ord", "tid", "text", "spans").mapInPandas(_cut(with_text), CUT)

@@ -96,3 +96,23 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     rows = [(1, long, None, None, None), (2, "xyz" + long[262_000:263_000] + "q", None, None, None)]
     found = {r_[0]: r_ for r_ in run(spark, rows)}
     assert found[1][2] == 0 and found[2][2:4] == (1000, 1)
+
+
+def test_a_passage_of_most_texts_is_one_row_a_run(spark):
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(7)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(150))
+    rows = [(i // 2 * 2 if i < 20 else i, f"{i} {i * 7} " + passage + f" {i * 13}" + passage[:60] * (i % 3), None, None, None) for i in range(300)]
+    assert run(spark, rows) == brute(rows)
+    texts = pd.DataFrame({"text": [x[1].encode() for x in rows], "ord": [x[0] for x in rows], "tid": range(300)})
+    (blocks,) = list(op2._anchor_blocks(1, 50)(iter([texts])))
+    assert len(blocks[blocks["decided"]]) == 1
+    assert len(op2._shared_anchors(1)((0,), blocks[~blocks["decided"]])) == 0  # what is left occurs under one id
+    local = op2._joined(op2._unpack(blocks[~blocks["decided"]]["block"].iloc[0])[1])
+    assert len(local) < 600  # not the thousands of the passage's anchors
+    places = op2._places_of_texts((0,), blocks[blocks["decided"]][["part", "block"]])
+    (runs,) = list(op2._suffix_runs(1, 50)(iter([texts.merge(places, on=["ord", "tid"])])))
+    counts = [op2.Run(b).counts for b in runs["run"].dropna()]
+    assert max(np.max(c) for c in counts) <= 4 and len(runs["spans"].dropna()) == 1
