@@ -20,6 +20,7 @@ Defined results
 * control characters and spaces in a url are percent-encoded;
 * equal payloads under equal largest ids (repeated rows) are all responses;
 * a null page id is smaller than all others and is read back as null;
+* whole payloads are written, however long; other columns stay out, whatever their names;
 * an empty table makes no archive and gives an empty result.
 """
 
@@ -45,6 +46,8 @@ ARCHIVE_BYTES = 32 * 1024 * 1024
 #: The dictionary: its size, and how many payload bytes of the archive it is trained on at most.
 DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS = 64 * 1024, 4 * 1024 * 1024, 1000
 LEVEL = 3
+#: Payloads that occur more than once (about 60 bytes each) are broadcast up to this number, counted first.
+BROADCAST_HOLDERS = 2_000_000
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC, EMPTY_MAGIC, SKIPPABLE, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0x184D2A50, 0xFD2FB528
@@ -157,7 +160,8 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
         total = narrow.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
         archives = max(1, -(-total // ARCHIVE_BYTES), min(64, total // (1024 * 1024)))
     holder = materialize(holder, "holders")
-    joined = rows.join(holder, "sha", "left")
+    # payloads move once, to their archives; beyond the bound they meet the holders by digest, hot ones split by the adaptive join
+    joined = rows.join(F.broadcast(holder) if holder.count() <= BROADCAST_HOLDERS else holder, "sha", "left")
     revisit = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id"))
     joined = joined.select(
         F.col("page_id").cast("string").alias("page_id"), "url", "n_bytes", "sha", revisit.alias("revisit"),
