@@ -204,3 +204,52 @@ def test_recall_is_whole_just_above_the_similarity(spark, change):
         texts += [" ".join(w), " ".join(other)]
     found, expected = groups_of(spark, texts)
     assert len(set(expected)) < 220 and found == expected
+
+
+def test_a_group_of_two_thousand_near_copies(spark):
+    r = random.Random(11)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for k in r.sample(range(150), r.randrange(1, 5)):
+            w[k] = f"x{r.randrange(5000)}"
+        texts.append(" ".join(w))
+    for _ in range(100):  # pairs that belong to no other
+        w = [f"w{r.randrange(5000)}" for _ in range(150)]
+        texts += [" ".join(w), " ".join([*w[:149], "last"])]
+    numbers = {}
+    x = np.zeros((len(texts), 60_000), dtype=np.float32)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 4):
+            x[i, numbers.setdefault(tuple(w[k : k + 5]), len(numbers))] = 1
+    x = x[:, : len(numbers)]
+    both, n = x @ x.T, x.sum(1)
+    links = both / (n[:, None] + n[None, :] - both) >= 0.8
+    label = np.arange(len(texts))
+    while True:
+        least = np.array([label[row].min() for row in links])
+        if (least == label).all():
+            break
+        label = least
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {r_.ord: r_.keeper_ord for r_ in op8.duplicates(frame(spark, rows)).collect()}
+    assert [found[i] for i in range(len(texts))] == label.tolist() and (label == 0).sum() > 1500
+
+
+def test_long_texts_of_different_lengths(spark):
+    r = random.Random(12)
+    texts = []
+    for n in (480, 505, 600, 1000, 1020, 2040, 3000):  # parities of one and of two sizes, and none
+        w = [f"w{r.randrange(20000)}" for _ in range(n)]
+        texts.append(" ".join(w))
+        for share in (0.22, 0.255, 0.3):  # similarities of 0.82, 0.797 and less
+            texts.append(" ".join(w + [f"w{r.randrange(20000)}" for _ in range(int(n * share))]))
+    found, expected = groups_of(spark, texts)
+    assert found == expected and len(set(expected)) > 10
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(ValueError):
+        op8.deduplicate(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
