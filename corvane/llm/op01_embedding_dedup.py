@@ -47,6 +47,8 @@ BLOCKS = 8
 #: Vectors of a label in one task; larger labels are cut into slices, and each pair of slices is a task. Slices have
 #: this size up to MANY of them, then they grow to four times the size, so that fewer copies are sent.
 SLICE, MANY = 8192, 16
+#: Vectors for each partition of the tasks, and partitions at most.
+PART_VECTORS, MOST_PARTS = 2048, 20_000
 #: Pairs whose block distance is worked out at a time.
 PAIRS = 1 << 20
 SEED = 20240229
@@ -166,6 +168,8 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     )
     tasks = tasks.select("bucket", "label", F.size("v").alias("dims"), "node", "size", "v", F.explode(pair).alias("p"))
     tasks = tasks.select(F.concat_ws(":", "bucket", "p.i").alias("left"), F.col("p.j").cast("string").alias("right"), "label", "dims", "node", "size", "v", F.col("p.side").alias("side"))
+    # few bytes make much work: the number of partitions is set, or they would be joined for their small size
+    tasks = tasks.repartition(min(MOST_PARTS, max(1, total // PART_VECTORS)), "left", "right")
     found = tasks.groupBy("left", "right").applyInPandas(_work(threshold, blocks), "node long, n long, a long, b long")
     found = materialize(found, "embedding-links")
     links = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
