@@ -12,13 +12,29 @@ from corvane.functions import metrics as M
 from corvane.storage import materialize
 
 
+BUCKETS = 1024
+
+
 def nearest_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95) -> DataFrame:
-    """(by, p95): the value at place floor(share * n) from 0, the last at most; no interpolation."""
-    order = Window.partitionBy(*by).orderBy(value)
-    every = Window.partitionBy(*by)
-    rows = df.select(*by, value).withColumn("__r", F.row_number().over(order)).withColumn("__n", F.count("*").over(every))
-    at = F.least(F.floor(F.lit(share) * F.col("__n")), F.col("__n") - 1) + 1
-    return rows.filter(F.col("__r") == at).select(*by, F.col(value).alias("p95"))
+    """(by, p95): the value at place floor(share * n) from 0, the last at most; no interpolation, nulls first.
+
+    A histogram of each group, of BUCKETS equal steps between its least and
+    largest value, tells the step that holds the place; only the rows of that
+    step are sorted.
+    """
+    rows = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(value).alias("__v"))
+    rows = rows.withColumn("__key", F.to_json(F.struct(*[f"__k{i}" for i in range(len(by))])))
+    range_ = rows.groupBy("__key").agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    rows = rows.join(range_, "__key")
+    step = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BUCKETS)
+    rows = rows.withColumn("__step", F.when(F.col("__v").isNull(), F.lit(-1)).when(F.col("__hi") > F.col("__lo"), F.least(step, F.lit(BUCKETS - 1))).otherwise(F.lit(0)).cast("int"))
+    steps = rows.groupBy("__key", "__n", "__step").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__key").orderBy("__step")) - F.col("__c")
+    at = F.least(F.floor(F.lit(share) * F.col("__n")), F.col("__n") - 1)
+    steps = steps.withColumn("__place", at - before).filter((F.col("__place") >= 0) & (F.col("__place") < F.col("__c")))
+    rows = rows.drop("__n").join(steps.select("__key", "__step", "__place"), ["__key", "__step"])
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__v")) - 1).filter(F.col("__r") == F.col("__place"))
+    return rows.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(by)], F.col("__v").alias("p95"))
 
 
 def summarize(results: DataFrame) -> DataFrame:
