@@ -353,7 +353,7 @@ def _score(shared, depth: int):
         base = TaskContext.get().partitionId() << ROW_BITS
 
         def frame(rows: int, **columns) -> pd.DataFrame:
-            empty = {"rid": "Int64", "doc_id": "Int64", "n_tokens": "Int64", "known": "Int64", "gram": "Int64", "times": "Int64"}
+            empty = {"rid": "Int64", "n_tokens": "Int64", "known": "Int64", "gram": "Int64", "times": "Int64"}
             found = {c: pd.array([None] * rows, dtype=empty[c]) if c in empty else None for c in SCORED_COLUMNS}
             return pd.DataFrame(found | columns, index=range(rows))
 
@@ -383,7 +383,7 @@ def _score(shared, depth: int):
                         if f is None:
                             rare.setdefault(w, []).append(i)
             yield frame(
-                len(texts), rid=base + np.arange(len(texts)), doc_id=pd.array(batch["doc_id"], dtype="Int64"), held_out=batch["held_out"].to_numpy(),
+                len(texts), rid=base + np.arange(len(texts)), doc_id=batch["doc_id"].to_numpy(), held_out=batch["held_out"].to_numpy(),
                 n_tokens=n_tokens, known=known, total=total, score=total_score,
             )
             if rare:
@@ -393,7 +393,7 @@ def _score(shared, depth: int):
     return work
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, total double, score double, word binary, rids array<long>, gram long, times long"
+SCORED = "rid long, doc_id string, held_out boolean, n_tokens long, known long, total double, score double, word binary, rids array<long>, gram long, times long"
 SCORED_COLUMNS = [c.split()[0] for c in SCORED.split(", ")]
 
 
@@ -420,7 +420,8 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", depth: int =
         raise ValueError("the depth must be from 1 to 6")
     spark = docs.sparkSession
     held = (common.crc_bucket(F.col(doc), FOLDS) == HELD_OUT).alias("held_out")
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), held)
+    # ids cross to Python as text: with nulls among them, numbers would become floats
+    rows = docs.select(F.col(doc).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"), held)
     with arrow_rows(spark, BATCH_ROWS):
         counted = materialize(rows.select("text", "held_out").mapInPandas(_count(depth), "gram long, word binary, n long"), "counts")
     grams = materialize(counted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
@@ -450,7 +451,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", depth: int =
     end = float(np.log10(n_train + 1))
     denominator = float(np.log10(train_tokens + (distinct + 1)))
     return out.select(
-        "doc_id", "held_out", "n_tokens",
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0)) + F.lit(1 if n_train else 0)).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("total") + F.coalesce("l", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),

@@ -106,14 +106,16 @@ def shard(docs: DataFrame, key: str = "doc_id", payload: str | Column = "text",
         if same is not None:  # equal rows: count them and deal them out
             per = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest("__bytes", F.lit(1)))).cast("long")
             dealt = same.groupBy(*[F.col(f"`{c}`") for c in same.columns]).agg(F.count("*").alias("__n"))
-            dealt = dealt.withColumn("__per", per).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-            slot = F.floor(F.col("__i") / F.col("__per")).cast("long")
-            held = F.least(F.col("__per"), F.col("__n") - slot * F.col("__per"))
+            last = F.ceil(F.col("__n") / F.col("__per")).cast("long") - 1
+            dealt = dealt.withColumn("__per", per).withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            held = F.least(F.col("__per"), F.col("__n") - F.col("__slot") * F.col("__per"))
+            dealt = dealt.withColumn("__held", held).repartition("__row", "__slot")  # no task makes more rows than a few shards hold
             parts.append(
-                dealt.withColumn("shard_id", F.concat(F.col("__group"), F.lpad(F.bin("__row"), HASH_BITS, "0"), F.lit("-"), slot.cast("string")))
+                dealt.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__held"))))
+                .withColumn("shard_id", F.concat(F.col("__group"), F.lpad(F.bin("__row"), HASH_BITS, "0"), F.lit("-"), F.col("__slot").cast("string")))
                 .withColumn("shard_depth", F.lit(2 * HASH_BITS))
-                .withColumn("shard_bytes", held * F.col("__bytes")).withColumn("shard_docs", held)
-                .drop("__row", "__n", "__per", "__i")
+                .withColumn("shard_bytes", F.col("__held") * F.col("__bytes")).withColumn("shard_docs", F.col("__held"))
+                .drop("__row", "__n", "__per", "__i", "__slot", "__held")
             )
     if not parts:
         parts = [
