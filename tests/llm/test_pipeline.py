@@ -1,7 +1,11 @@
+import hashlib
 import warnings
 from collections import Counter
 
 from corpus import documents, frame, words
+from test_op03_op04_op05 import brute as leaks
+from test_op03_op04_op05 import shingles
+from test_op07_op10 import brute_targets
 
 import corpus_pipeline as pipeline
 
@@ -51,3 +55,66 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, path)
         assert empty.count() == 0
+
+
+def one_of_each_group(rows):
+    """Rows that stay: of each component of texts with a similarity of 0.8 the smallest id, once."""
+    rows = list(dict.fromkeys(rows))
+    sets = [set(shingles((t or "").encode().lower().split())) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (len(a & sets[j]) / len(a | sets[j]) if a | sets[j] else 1.0) >= 0.8:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append((float("inf") if r[0] is None else r[0], hashlib.sha256((r[1] or "").encode()).hexdigest(), r))
+    return [min(g)[2] for g in groups.values()]
+
+
+def mixed(rows):
+    """Whole rows up to each source's budget, in the order of the keys."""
+    words = lambda t: len((t or "").encode().split())
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    sizes = {}
+    for _, t, source in rows:
+        sizes[source] = sizes.get(source, 0) + words(t)
+    out, targets = [], brute_targets(sizes)
+    for source, size in sizes.items():
+        mine = sorted((md5(f"{'' if i is None else i}:{md5(t or '')}"), (i, t, s)) for i, t, s in rows if s == source)
+        if not size:
+            out += [r for _, r in mine]
+            continue
+        epochs = int(targets[source] // size)
+        rest, done = round(targets[source] - epochs * size), 0
+        for _, r in mine:
+            n = words(r[1])
+            more = rest > 0 and (done + n <= rest or (done <= rest and 2 * (rest - done) >= n)) and not (n == 0 and done > rest)
+            out += [r] * (epochs + more)
+            done += n
+    return out
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    tables(spark, path, [r for r in documents(150, seed=4, toxic=True) if r[0] != 1003])
+    docs, seen = spark.read.parquet(f"{path}/documents.parquet"), {}
+    triple = lambda df: [(r.doc_id, r.text, r.source) for r in df.collect()]
+    before = triple(docs)
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.materialize(stage(spark, docs, path), name)
+        seen[name] = triple(docs)
+    order = lambda rows: sorted(rows, key=str)
+    assert order(seen["toxicity"]) == order(r for r in before if "utter idiot" not in (r[1] or ""))
+    assert order(seen["near_duplicates"]) == order(one_of_each_group(seen["toxicity"]))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    held = {d for d, _ in leaks([(i, t) for i, t, _ in seen["near_duplicates"]], items)}
+    assert 2000 in held and order(seen["decontamination"]) == order(r for r in seen["near_duplicates"] if r[0] not in held)
+    assert order(seen["mixing"]) == order(mixed(seen["decontamination"])) and order(seen["sharding"]) == order(seen["mixing"])
