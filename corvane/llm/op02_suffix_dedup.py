@@ -52,6 +52,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.storage import materialize
+
 from . import common
 
 LENGTH = 50
@@ -60,6 +62,8 @@ ANCHOR = 16
 PIECE, RUN_ANCHORS, RUN_SUFFIXES = 1 << 18, 1 << 20, 1 << 17
 #: Bytes of text for each part that suffixes are dealt to.
 PART_BYTES = 16 * 1024 * 1024
+#: Texts that occur more than once (about 100 bytes each) are broadcast up to this number, counted first.
+BROADCAST_COPIED = 1_000_000
 LAST = 0x7FFFFFFFFFFFFFFF
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -543,11 +547,13 @@ def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", length
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), raw.alias("text"))
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(LAST))).withColumn("sha", F.sha2("text", 256))
     rows = rows.withColumn("tid", F.xxhash64("sha"))
-    narrow = rows.select("doc_id", "ord", "tid", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
+    narrow = materialize(rows.select("doc_id", "ord", "tid", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "narrow")
     total = narrow.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
-    first = narrow.groupBy("sha").agg(F.min("ord").alias("first"))
-    marked = narrow.join(first, "sha").withColumn("copy", F.col("ord") > F.col("first"))
+    first = narrow.groupBy("sha").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialize(first, "copied")
+    first = F.broadcast(first) if first.count() <= BROADCAST_COPIED else first  # a text with many copies meets its row where it stands
+    marked = narrow.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
     unique = marked.filter(F.col("copy") == F.lit(False)).filter(F.col("n_bytes") >= length).select("ord", "tid").distinct()
     texts = rows.select("ord", "tid", "text").repartition(parts, "ord", "tid").join(unique, ["ord", "tid"], "left_semi")
     blocks = texts.mapInPandas(_anchor_blocks(parts, length), "part int, block binary, decided boolean")
