@@ -241,8 +241,8 @@ SMALL_CELL, SLICE = 32, 1024
 SHORT_PARITY, LONG_PARITY = 64, 1024
 #: Texts with more shingles, on which those bits tell little, also have a parity of two to four bits a shingle.
 WIDE_FROM = 512
-#: Rows to be dropped (16 bytes each) are broadcast up to this number, counted first; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows that name texts (about 150 bytes each in memory) are broadcast up to this number, counted first; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
@@ -466,7 +466,10 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
     """
     spark = rows.sparkSession
     n_first = first.count()
-    one = rows.join(F.broadcast(first) if n_first <= BROADCAST_ROWS else first, ["tid", "ord"], "left_semi")
+    if n_first <= BROADCAST_ROWS:
+        one = rows.join(F.broadcast(first), ["tid", "ord"], "left_semi")
+    else:  # the texts are shuffled once, and read from there
+        one = materialize(rows.join(first, ["tid", "ord"], "left_semi"), "unique")
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -506,9 +509,9 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(sid, s): the shingles of one text of each set; a repeated row gives a repeated set."""
         wanted = materialize(wanted.distinct(), "wanted")
-        texts = keyed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).join(first, "tid")
+        texts = keyed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid"))
         texts = F.broadcast(texts) if wanted.count() <= BROADCAST_ROWS else texts
-        return materialize(rows.join(texts, ["tid", "ord"]).select("sid", shingles("text").alias("s")), "shingles")
+        return materialize(one.join(texts, "tid").select("sid", shingles("text").alias("s")), "shingles")
 
     sets = sets_of(proposed.select(F.col("a").alias("sid")).union(proposed.select("b")))
     pairs = proposed.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("sid", "b").withColumnRenamed("s", "sb"), "b")

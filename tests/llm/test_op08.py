@@ -115,7 +115,9 @@ def jaccard(a, b, n=5):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_deduplicate_keeps_one_of_each_group_and_all_others(spark):
+@pytest.mark.parametrize("bound", [op8.BROADCAST_ROWS, 0])
+def test_deduplicate_keeps_one_of_each_group_and_all_others(spark, monkeypatch, bound):
+    monkeypatch.setattr(op8, "BROADCAST_ROWS", bound)
     rows = documents(160)
     kept = op8.deduplicate(frame(spark, rows)).collect()
     assert kept and set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
