@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.storage import materialize, scratch
+from corvane.storage import arrow_rows, materialize, scratch
 
 from . import common
 from .components import components
@@ -243,6 +243,8 @@ SHORT_PARITY, LONG_PARITY = 64, 1024
 WIDE_FROM = 512
 #: Rows that name texts (about 150 bytes each in memory) are broadcast up to this number, counted first; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Texts that cross to Python at a time.
+TEXTS = 500
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
@@ -478,7 +480,8 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
 
     every = max(1, n_first // ORDER_TEXTS)
     sample = one.filter(F.pmod(F.xxhash64("tid"), F.lit(every)) == 0).select(F.explode(shingles("text")).alias("h"))
-    frequent = sample.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy("h").toArrow()
+    with arrow_rows(spark, TEXTS):
+        frequent = sample.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy("h").toArrow()
     order = spark.sparkContext.broadcast((frequent["h"].to_numpy(), frequent["count"].to_numpy()))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -493,7 +496,8 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
                 "prefix": [prefix_of(s, *order.value, similarity) for s in sets],
             })
 
-    placed = materialize(one.select("tid", "text").mapInPandas(place, "tid string, sid long, n int, parity long, long binary, wide binary, print long, prefix array<long>"), "placed")
+    with arrow_rows(spark, TEXTS):
+        placed = materialize(one.select("tid", "text").mapInPandas(place, "tid string, sid long, n int, parity long, long binary, wide binary, print long, prefix array<long>"), "placed")
     keyed = placed.select("tid", "sid").distinct()
     cells = placed.select("sid", "n", "parity", F.explode("prefix").alias("h")).repartition("h").sortWithinPartitions("h", "sid")
     met = materialize(cells.mapInPandas(_cell_pairs(similarity), "cell long, a long, b long"), "met")
@@ -511,7 +515,8 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
         wanted = materialize(wanted.distinct(), "wanted")
         texts = keyed.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid"))
         texts = F.broadcast(texts) if wanted.count() <= BROADCAST_ROWS else texts
-        return materialize(one.join(texts, "tid").select("sid", shingles("text").alias("s")), "shingles")
+        with arrow_rows(spark, TEXTS):
+            return materialize(one.join(texts, "tid").select("sid", shingles("text").alias("s")), "shingles")
 
     sets = sets_of(proposed.select(F.col("a").alias("sid")).union(proposed.select("b")))
     pairs = proposed.join(sets.withColumnRenamed("sid", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("sid", "b").withColumnRenamed("s", "sb"), "b")
