@@ -236,7 +236,7 @@ DEDUP_WORDS, DEDUP_SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted to learn which are common. The counts only order the shingles: any order finds the same links.
 ORDER_TEXTS, COMMON = 20_000, 4
 #: Texts with a shingle in common of which all pairs are proposed; more are verified where they meet, this many by this many.
-SMALL_CELL, SLICE = 32, 1024
+SMALL_CELL, SLICE = 32, 512
 #: Bits of the parities that stand in cells, and of those by which proposed pairs are checked before their sets are fetched.
 SHORT_PARITY, LONG_PARITY = 64, 1024
 #: Texts with more shingles, on which those bits tell little, also have a parity of two to four bits a shingle.
@@ -508,7 +508,8 @@ def shingle_links(rows: DataFrame, first: DataFrame, words: int, similarity: flo
         asked = proposed.select(F.col("a").alias("sid")).union(proposed.select("b")).distinct()
         sides = placed.select("sid", "n", parity.alias("p")).filter("p IS NOT NULL").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("p").alias("p"))
         both = proposed.join(sides.toDF("a", "na", "pa"), "a", "left").join(sides.toDF("b", "nb", "pb"), "b", "left")
-        proposed = materialize(both.mapInPandas(_possible(similarity), "a long, b long"), name)
+        with arrow_rows(spark, 4 * TEXTS):
+            proposed = materialize(both.mapInPandas(_possible(similarity), "a long, b long"), name)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(sid, s): the shingles of one text of each set; a repeated row gives a repeated set."""
