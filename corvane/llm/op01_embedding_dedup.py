@@ -45,8 +45,8 @@ from .components import Forest, components
 THRESHOLD = 0.93
 BLOCKS = 8
 #: Vectors of a label in one task; larger labels are cut into slices, and each pair of slices is a task. Slices have
-#: this size up to MANY of them, then they grow to four times the size, so that fewer copies are sent.
-SLICE, MANY = 8192, 16
+#: this size up to MANY of them, then they grow up to LARGE, so that fewer copies are sent.
+SLICE, MANY, LARGE = 2048, 16, 32768
 #: Vectors for each partition of the tasks, and partitions at most.
 PART_VECTORS, MOST_PARTS = 2048, 20_000
 #: Pairs whose block distance is worked out at a time.
@@ -151,7 +151,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     # node numbers: 63 bits of the key would do, but the key's exact text joins them back
     classes = materialize(classes.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")), "classes")
     counts = classes.groupBy("label").agg(F.count("*").alias("in_label"))
-    slices = F.least(F.ceil(F.col("in_label") / SLICE), F.greatest(F.lit(MANY), F.ceil(F.col("in_label") / (4 * SLICE))))
+    slices = F.least(F.ceil(F.col("in_label") / SLICE), F.greatest(F.lit(MANY), F.ceil(F.col("in_label") / LARGE)))
     tasks = classes.join(counts, "label").withColumn("slices", slices.cast("int"))
     total = counts.agg(F.coalesce(F.sum("in_label"), F.lit(0)).alias("n")).first()["n"]
     shared = max(1, 2 * total // SLICE)  # small labels share tasks

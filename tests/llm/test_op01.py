@@ -58,6 +58,7 @@ def brute(data, threshold=0.93):
 def test_against_brute_force(spark, monkeypatch, slice_, many):
     monkeypatch.setattr(op1, "SLICE", slice_)
     monkeypatch.setattr(op1, "MANY", many)
+    monkeypatch.setattr(op1, "LARGE", 4 * slice_)
     data = rows()
     random.Random(1).shuffle(data)
     found = op1.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
