@@ -121,3 +121,13 @@ def test_copies_are_whole_and_near_the_target(spark):
         taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
     for s, t in brute_targets(sizes).items():
         assert abs(taken[s] - t) <= 60
+
+
+def test_reruns_agree_on_ids_that_repeat(spark):
+    data = [(r[0] % 7 if r[0] % 3 else None, *r[1:]) for r in rows(200, 4)]
+    data += data[:5]  # equal rows share what is left at the end in any order
+    once = op10.mix(spark.createDataFrame(data, SCHEMA)).collect()
+    again = op10.mix(spark.createDataFrame(data[::-1], SCHEMA).repartition(7)).collect()
+    assert sorted((str(r.doc_id), r.text, r.taken) for r in once) == sorted((str(r.doc_id), r.text, r.taken) for r in again)
+    whole = [sorted((str(r.doc_id), r.text) for r in op10.copies(spark.createDataFrame(d, SCHEMA)).collect()) for d in (data, data[::-1])]
+    assert whole[0] == whole[1]

@@ -3,6 +3,7 @@ import warnings
 from collections import Counter
 
 from corpus import documents, frame, words
+from pyspark.sql import functions as F
 from test_op03_op04_op05 import brute as leaks
 from test_op03_op04_op05 import shingles
 from test_op07_op10 import brute_targets
@@ -118,3 +119,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     held = {d for d, _ in leaks([(i, t) for i, t, _ in seen["near_duplicates"]], items)}
     assert 2000 in held and order(seen["decontamination"]) == order(r for r in seen["near_duplicates"] if r[0] not in held)
     assert order(seen["mixing"]) == order(mixed(seen["decontamination"])) and order(seen["sharding"]) == order(seen["mixing"])
+
+
+def test_stages_return_columns_of_any_name(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    tables(spark, path, documents(40, toxic=True))
+    names = ["ord", "tid", "sid", "n", "score", "held_out", "predicted", "hash", "w", "size", "source_size", "taken", "target", "start", "text_hash", "places", "keeper_ord", "component", "item_id", "a", "b"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.withColumns({c: F.concat(F.lit(c + "="), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in names})
+    for name, stage in pipeline.STAGES[:4]:
+        out = pipeline.materialize(stage(spark, docs, path), name)
+        assert out.columns == docs.columns and out.count() > 20
+        for c in names:
+            assert out.filter(F.col(c) != F.concat(F.lit(c + "="), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).isEmpty(), (name, c)
+        docs = out
