@@ -80,22 +80,25 @@ def _range_join(raw: np.ndarray, side: np.ndarray, threshold: float, blocks: int
     budget = 2 - 2 * threshold + 1e-9  # above what rounding can add
     shares = np.array([budget * (hi - lo) / dims for lo, hi in bounds])
     edges = np.array([lo for lo, _ in bounds])
+    within = bool((side == 2).all())
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     for block, (lo, hi) in enumerate(bounds):
-        order = np.argsort(y[:, lo], kind="stable")
-        z, first = y[order, lo:hi].astype(np.float32), y[order, lo]
+        l, r = left[np.argsort(y[left, lo], kind="stable")], right[np.argsort(y[right, lo], kind="stable")]
+        zl, zr, first, other = y[l, lo:hi].astype(np.float32), y[r, lo:hi].astype(np.float32), y[l, lo], y[r, lo]
         # single precision lets a little more through; what counts is worked out below
-        half = (z * z).sum(1) / 2 - np.float32(shares[block] / 4 + 1e-5)
-        until = np.searchsorted(first, first + np.sqrt(shares[block]), side="right")  # partners stand in [i + 1, until)
+        slack = np.float32(shares[block] / 4 + 1e-5)
+        hl, hr = (zl * zl).sum(1) / 2 - slack, (zr * zr).sum(1) / 2 - slack
+        radius = np.sqrt(shares[block])
+        begin = np.arange(len(l)) if within else np.searchsorted(other, first - radius, side="left")
+        until = np.searchsorted(other, first + radius, side="right")  # partners stand in [begin, until)
         i = 0
-        while i < n:
-            width = max(1, int(until[i]) - i)
-            j = min(n, i + max(1, PAIRS // width))
-            end = int(until[j - 1])
-            a, b = np.nonzero(z[i:j] @ z[i:end].T >= half[i:j, None] + half[None, i:end])
-            keep = b > a
-            a, b = order[a[keep] + i], order[b[keep] + i]
-            keep = (side[a] + side[b] == 1) | (side[a] == 2)
-            a, b = a[keep], b[keep]
+        while i < len(l):
+            j = min(len(l), i + max(1, PAIRS // max(1, int(until[i] - begin[i]))))
+            start, end = int(begin[i]), int(until[j - 1])
+            a, b = np.nonzero(zl[i:j] @ zr[start:end].T >= hl[i:j, None] + hr[None, start:end])
+            if within:
+                a, b = a[b > a], b[b > a]
+            a, b = l[a + i], r[b + start]
             for k in range(0, len(a), PAIRS // 8):
                 p, q = a[k : k + PAIRS // 8], b[k : k + PAIRS // 8]
                 linked = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
