@@ -469,3 +469,21 @@ def ret_with_pages(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
     hits = lexical.search(lexical.build(docs), A.queries(spark, sf_dir), 3)
     return retrievers.with_pages(hits, A.pages(spark, sf_dir)).select("query_id", "page_id", "rank", "file_path", F.length("source_code").alias("n_chars"))
+
+
+@query(_ext_sql([
+    ("'load_' || s", "'load_' || s", "function", 3, 5, "'def load_' || s || '()'", "'fetch,json'"),
+    ("'View' || c", "'View' || c", "function", 7, 7, "'def View' || c || '()'", "'go'"),
+    ("'Store' || c", "'Store' || c", "class", 9, 11, "'class Store' || c || '(Base)'", "''"),
+    ("'import type { A } from ''./a'';'", "'import type { A } from ''./a'';'", "import", 1, 1, "''", "''"),
+], "ts"))
+def ext_ts_symbols(spark, sf_dir):
+    """Types, generics, exports and an interface around what counts."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    code = F.concat(
+        F.lit("import type { A } from './a';\n\nexport async function load_"), name, F.lit("<T extends A>(url: string): Promise<T> {\n  return fetch(url).json() as T;\n}\n\nexport const View"), F.initcap(name),
+        F.lit(" = ({ x }: Props): El => { return go(x); };\n\nexport class Store"), F.initcap(name), F.lit("<T> extends Base<T> implements Sized {\n  add(x: T): void { notify(x); }\n}\n\ninterface Props { x: number; on(y: A): void }\n"),
+    )
+    files = A.table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file_path"), F.lit("typescript").alias("language"), code.alias("source_code"))
+    s = extract.to_symbols(extract.raw_symbols(files))
+    return s.select("symbol_id", "file_path", "name", "qualified_name", "type", "line_start", "line_end", F.coalesce("signature", F.lit("")).alias("signature"), F.array_join("calls", ",").alias("calls"))
