@@ -50,6 +50,22 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return back
 
 
+#: Tables of texts up to so many bytes are dealt out to all cores: as one row group they would be one task's work.
+SMALL_BYTES = 64 * 1024 * 1024
+TEXTS = ("documents", "pages")
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of ``folder``; larger ones, and those without long texts, are read as they are cut."""
+    path = f"{folder}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if name not in TEXTS:
+        return rows
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+
+
 def _remove(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
