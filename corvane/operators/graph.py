@@ -128,8 +128,8 @@ def call_chain(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, iterations: int = MAX_ITERATIONS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """(id, rank) by weighted power iteration; the mass of nodes without out-edges is spread evenly.
 
-    One written table an iteration; the change and the dangling mass come from
-    one small aggregate of it. Without convergence in ``iterations`` all ranks
+    One written table and one small aggregate of it an iteration, which gives
+    the change and the dangling mass. Without convergence in ``iterations`` all ranks
     are 1/n; ``tolerance`` None runs the iterations without a test.
     """
     ids = nodes.select("id").distinct()
@@ -141,16 +141,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, iteration
     state = ids.join(out.filter("out > 0").withColumnRenamed("src", "id"), "id", "left")
     state = materialize(state.select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "ranks")
     written = state
+    loose = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("m")
+    mass = state.agg(loose).first()["m"]
     for _ in range(iterations):
-        loose = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("m"))
         flow = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("flow"))
-        fresh = state.join(flow, "id", "left").crossJoin(F.broadcast(loose))
-        rank = F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + F.col("m") / n) + F.lit((1 - alpha) / n)
+        fresh = state.join(flow, "id", "left")
+        rank = F.lit(alpha) * (F.coalesce("flow", F.lit(0.0)) + F.lit(mass / n)) + F.lit((1 - alpha) / n)
         fresh = fresh.select("id", "dangling", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
         fresh = materialize(fresh, "ranks")
         discard(written)
         written, state = fresh, fresh.select("id", "dangling", "rank")
-        if tolerance is not None and fresh.agg(F.sum("change")).first()[0] < n * tolerance:
+        seen = fresh.agg(loose, F.sum("change").alias("change")).first()
+        mass = seen["m"]
+        if tolerance is not None and seen["change"] < n * tolerance:
             return state.select("id", "rank")
     return state.select("id", "rank") if tolerance is None else state.select("id", F.lit(1.0 / n).alias("rank"))
 
