@@ -177,7 +177,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, language, text in zip(batch["file_path"], batch["language"], batch["source_code"], strict=True):
             try:
                 found = python_symbols(text) if language == "python" else javascript.symbols(text)
-            except (SyntaxError, ValueError, RecursionError) as fault:
+            except (SyntaxError, ValueError, RecursionError, MemoryError) as fault:  # the last two: too deeply nested
                 found = [_error(fault)]
             rows += [{"file_path": path, "language": language, "seq": i} | f for i, f in enumerate(found)]
         if rows:

@@ -112,7 +112,13 @@ def test_faulty_lines_are_set_aside():
     assert found["a"]["calls"] == ["b"] and found["a"]["source_code"] == "def a():\n    print 'old'\n    return b()"
     assert found["d"]["type_hints"] == ["T"] and found["SyntaxError"]["kind"] == "error" and found["SyntaxError"]["line_start"] == 2
     with pytest.raises(SyntaxError):
-        extract.parse("(\n" * (extract.MAX_FAULTS + 10))
+        extract.parse("print 'old'\n" * (extract.MAX_FAULTS + 10))
+
+
+def test_a_file_that_is_nested_too_deeply_is_an_error(spark):
+    files = spark.createDataFrame([("a.py", "python", "(" * 5000), ("b.py", "python", "x = 1")], "file_path string, language string, source_code string")
+    raw = extract.raw_symbols(files).collect()
+    assert {(r.file_path, r.kind) for r in raw} == {("a.py", "error"), ("b.py", "variable")}
 
 
 def test_the_language_of_a_file():
