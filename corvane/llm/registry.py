@@ -13,6 +13,8 @@ from . import (
     op08_simhash_dedup,
     op09_warc,
     op10_mixing,
+    op11_token_ids,
+    op13_importance,
 )
 
 MODULES = (
@@ -26,6 +28,8 @@ MODULES = (
     op08_simhash_dedup,
     op09_warc,
     op10_mixing,
+    op11_token_ids,
+    op13_importance,
 )
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
