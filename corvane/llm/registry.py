@@ -14,6 +14,7 @@ from . import (
     op09_warc,
     op10_mixing,
     op11_token_ids,
+    op12_collocations,
     op13_importance,
 )
 
@@ -29,6 +30,7 @@ MODULES = (
     op09_warc,
     op10_mixing,
     op11_token_ids,
+    op12_collocations,
     op13_importance,
 )
 QUERIES: dict = {}
