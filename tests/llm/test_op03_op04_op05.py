@@ -74,13 +74,50 @@ def test_decontamination_against_all_windows(spark):
     assert (110, 50) in got and (111, 2) in got
 
 
+def test_windows_that_no_shingle_is_aligned_with(spark):
+    """Two words in the middle: the windows at the shared shingles' own places stay below the similarity, one between them doesn't."""
+    r = random.Random(5)
+    head, tail = words(r, 5), words(r, 5)
+    bench = [(i, " ".join(head + words(r, 43) + tail)) for i in range(301)]
+    first = bench[0][1].split()
+    docs = [(1, " ".join(first[:25] + ["put", "in"] + first[25:])), (2, " ".join(words(r, 4) + first[:25] + ["put", "in"] + first[25:] + words(r, 3)))]
+    found = op3.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = brute(docs, bench)
+    assert want and {(x.doc_id, x.item_id): x.similarity for x in found} == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("cell", [3, 128])
+def test_insertions_and_deletions(spark, monkeypatch, cell):
+    monkeypatch.setattr(op3, "CELL", cell)
+    r = random.Random(11)
+    bench = [(i, " ".join(words(r, r.choice([12, 20, 51, 51, 80, 100])))) for i in range(25)]
+    bench += [(90, " ".join(["again"] * 9 + ["and", "once"] + ["again"] * 9)), (91, " ".join(words(r, 6) * 5)), (92, "two words"), (93, "word")]
+    docs = []
+    for i in range(160):
+        b = r.choice(bench)[1].split()
+        k, at = i % 8, r.randrange(len(b))
+        if k < 5:
+            b[at:at] = words(r, k + 1)
+        else:
+            del b[at : at + k - 4]
+        docs.append((i, " ".join(words(r, r.randrange(0, 20)) + b + words(r, r.randrange(0, 20)))))
+    docs += [(500, "again " * 40), (501, " ".join(bench[26][1].split() * 3)), (502, "two words two words word")]
+    found = op3.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = brute(docs, bench)
+    assert len(want) > 60 and {(x.doc_id, x.item_id): x.similarity for x in found} == pytest.approx(want, abs=1e-6)
+    texts, items_ = dict(docs), dict(bench)
+    for x in found:  # the window named is one of that similarity
+        own = " ".join(tokens(texts[x.doc_id])[x.start : x.start + x.n_words])
+        assert brute([(0, own)], bench).get((0, x.item_id)) == pytest.approx(x.similarity, abs=1e-6), (x, items_[x.item_id])
+
+
 def test_no_words_are_shuffled(spark, monkeypatch):
     """Even where the items are too many for a broadcast."""
     monkeypatch.setattr(op3, "BROADCAST_ROWS", 0)
     bench = spark.createDataFrame(items(), "item_id long, text string")
     docs = spark.createDataFrame([(i, f"{t} and more") for i, t in items()], "doc_id long, text string")
     table = op3.item_table(bench)
-    plan = op3.windows(docs, table, 100)._jdf.queryExecution().executedPlan().toString()
+    plan = op3.cells(docs, table, 100)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"Exchange[^\n]*\bw#", plan)
     assert {(r.doc_id, r.item_id) for r in op3.contaminated(docs, bench).collect()} == {(i, i) for i, _ in items()}
 
