@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by cosine, set-wise over queries, and pluggable embedders."""
+"""Exact nearest neighbours by cosine as blocked products, set-wise over queries, and pluggable embedders."""
 
 from __future__ import annotations
 
@@ -10,8 +10,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import vectors as V
 
@@ -91,25 +94,104 @@ def embed(pages: DataFrame, embedder: Embedder, key: str = "page_id", text: str
     return pages.select(key, F.substring(F.col(text), 1, TEXT_CHARS).alias("__text")).mapInPandas(work, f"`{key}` {kind}, embedding array<float>")
 
 
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of ``dims`` components as rows, over their lengths plus a small constant; null components make NaN."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(column), dims)
+    return x / (np.sqrt((x * x).sum(1, keepdims=True)) + V.EPSILON)
+
+
+class Best:
+    """The k best (score, id) of each of ``m`` queries: a bounded list a query, ties to the smaller id."""
+
+    def __init__(self, m: int, k: int) -> None:
+        self.k, self.floor = k, np.full(m, -np.inf)
+        self.held: list[list[tuple]] = [[] for _ in range(m)]
+
+    def offer(self, queries: np.ndarray, scores: np.ndarray, ids: list) -> None:
+        """scores: a row for each of ``queries``, a column for each of ``ids``."""
+        hits = scores >= self.floor[queries][:, None]
+        for row in np.flatnonzero(hits.any(1)).tolist():
+            q, at = int(queries[row]), np.flatnonzero(hits[row])
+            own = scores[row, at]
+            if len(at) > self.k:  # of equal scores at the border all stay, and the ids decide
+                least = np.partition(own, len(own) - self.k)[len(own) - self.k]
+                at, own = at[own >= least], own[own >= least]
+            new = [(-s, ids[i] is not None, ids[i]) for s, i in zip(own.tolist(), at.tolist(), strict=True)]
+            self.held[q] = sorted(self.held[q] + new)[: self.k]
+            if len(self.held[q]) == self.k:
+                self.floor[q] = -self.held[q][-1][0]
+
+    def rows(self, names: list, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        found = [(names[q], x[2], -x[0]) for q, held in enumerate(self.held) for x in held]
+        columns = list(zip(*found, strict=True)) if found else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "page_id", "score"])
+
+
+def query_blocks(queries: DataFrame, size: int | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries, at most about ``size`` at a time; those without a vector are left out."""
+    rows = queries.select("query_id", "embedding").filter("size(embedding) > 0")
+    count = rows.count()
+    parts = -(-count // (size or QUERY_BLOCK))
+    for i in range(parts):
+        block = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        table = block.toArrow().combine_chunks()
+        if not table.num_rows:
+            continue
+        vectors = table.column("embedding").chunk(0)
+        dims = set(pc.list_value_length(vectors).to_pylist())
+        if len(dims) > 1:
+            raise ValueError("the queries' vectors differ in length")
+        yield table.column("query_id").to_pylist(), matrix(vectors, dims.pop())
+
+
+def result_kinds(vectors: DataFrame, queries: DataFrame, key: str) -> tuple[str, list[pa.DataType]]:
+    """The rows that tasks return, for Spark and for Arrow."""
+    left, right = queries.schema["query_id"].dataType, vectors.schema[key].dataType
+    return f"query_id {left.simpleString()}, page_id {right.simpleString()}, score double", [to_arrow_type(left), to_arrow_type(right), pa.float64()]
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, clamp: bool = False, key: str = "page_id", round_to: int = 9) -> DataFrame:
-    """(query_id, page_id, score, rank): the k best cosines of each query against all vectors.
+    """(query_id, page_id, score, rank, source): the k best cosines of each query against all vectors.
 
     vectors: key, embedding. queries: query_id, embedding. The queries are the
-    small, stated side: they are numbered and sent in blocks of a fixed size,
-    each against all vectors; vectors never move before the k best are known.
+    small, stated side: they are sent in blocks of a fixed size. A task
+    multiplies its batches of vectors with a block as matrices and keeps the k
+    best of each query, so no pair is ever a row: what tasks pass on is k rows a
+    query each, and the k best of these are the result. Vectors without
+    components, or of another length than the queries, are no neighbours.
     """
+    schema, kinds = result_kinds(vectors, queries, key)
+    spark, found = vectors.sparkSession, None
+    for names, q in query_blocks(queries):
+        shared = spark.sparkContext.broadcast((names, q))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best, every = Best(len(names), k), np.arange(len(names))
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                scores = np.round(q @ matrix(batch.column(1), q.shape[1]).T, round_to)
+                best.offer(every, np.maximum(scores, 0.0) if clamp else scores, ids)
+            yield best.rows(names, kinds)
+
+        same = vectors.select(F.col(key).alias("page_id"), "embedding").filter(F.size("embedding") == q.shape[1])
+        rows = top_k(same.mapInArrow(work, schema).withColumn("score", F.round("score", round_to)), k)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        found = spark.createDataFrame([], f"{schema}, rank int")
+    return found.withColumn("source", F.lit("vector"))
+
+
+def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "page_id", round_to: int = 9) -> DataFrame:
+    """(query_id, page_id, score, rank, source): the k best of the pairs (query_id, page_id) in ``candidates``, by the exact cosine."""
     v = vectors.select(F.col(key).alias("page_id"), V.normalize(F.col("embedding")).alias("v"))
     q = queries.select("query_id", V.normalize(F.col("embedding")).alias("q"))
-    count = -(-q.count() // QUERY_BLOCK)
-    numbered = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, count))))
-    blocks = [q] if count <= 1 else [numbered.filter(F.col("__b") == i).drop("__b") for i in range(count)]
-    found = None
-    for block in blocks:
-        score = F.round(V.dot(F.col("v"), F.col("q")), round_to)
-        rows = v.crossJoin(F.broadcast(block)).select("query_id", "page_id", (F.greatest(F.lit(0.0), score) if clamp else score).alias("score"))
-        best = top_k(rows, k)
-        found = best if found is None else found.unionByName(best)
-    return found.withColumn("source", F.lit("vector"))
+    if q.count() <= QUERY_BLOCK:
+        q = F.broadcast(q)
+    rows = candidates.select("query_id", "page_id").distinct().join(v, "page_id").join(q, "query_id")
+    rows = rows.select("query_id", "page_id", F.round(V.dot(F.col("v"), F.col("q")), round_to).alias("score"))
+    return top_k(rows.filter("score IS NOT NULL"), k).withColumn("source", F.lit("vector"))
 
 
 def get_scores(vectors: DataFrame, queries: DataFrame, k: int = 100, clamp: bool = True, key: str = "page_id") -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import context, evaluate, fusion, graph, lexical, pages, vector
+from corvane.operators import ann, context, evaluate, fusion, graph, lexical, pages, vector
 from corvane.sources import adapters as A
 from corvane.sources import extract
 from corvane.sources.store import Index
@@ -56,6 +56,24 @@ def vec_knn_clamped(spark, sf_dir):
     return vector.knn(e, q, 10, clamp=True, key="vec_id").select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query()
+def vec_ann(spark, sf_dir):
+    """Approximate: a test holds its recall against the exact neighbours."""
+    e = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
+    found = ann.search(ann.build(e), e.filter("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "embedding"), 10)
+    return found.select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_KNN.replace('ON q.vec_id % 50 = 0', 'ON q.vec_id % 50 = 0 AND q.label = d.label')} SELECT query_id, page_id, rank, round(s, 6) AS score FROM kr")
+def vec_rerank(spark, sf_dir):
+    """The exact step of the approximate search, with all vectors of a query's label as candidates."""
+    e = A.table(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    pairs = q.select("query_id", "label").join(e.select(F.col("vec_id").alias("page_id"), "label"), "label")
+    found = vector.rerank(pairs, e, q, 10, key="vec_id")
+    return found.select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query()
 def vec_embed(spark, sf_dir):
     """A stand-in for a model: hashed words, to be compared with the same function in a test."""
