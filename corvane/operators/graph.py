@@ -83,13 +83,44 @@ def distances(seeds: DataFrame, steps: DataFrame, depth: int, keys: tuple[str, .
     return visited
 
 
+def trimmed(steps: DataFrame, symbol_ids: DataFrame, most: int) -> DataFrame:
+    """``steps`` (src, dst), of those to symbols only the ``most`` with the smallest ids out of each src."""
+    marked = steps.join(symbol_ids.select(F.col("id").alias("dst")).distinct().withColumn("symbol", F.lit(True)), "dst", "left").select("src", "dst", F.col("symbol").isNotNull().alias("symbol"))
+    ranked = marked.filter("symbol").withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("at") <= most)
+    return ranked.drop("at").unionByName(marked.filter("NOT symbol"))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, symbol_ids: DataFrame, depth: int = 2, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(query_id, id, dist, rank) of symbols near the seeds, nearest first, ties by id; files are passed through only."""
-    known = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).union(symbol_ids.select("id")).distinct()
-    reached = distances(seeds.join(known, "id", "left_semi"), undirected(edges), depth)
+    """(query_id, id, dist, rank) of symbols near the seeds, nearest first, ties by id; files are passed through only.
+
+    A query that has ``max_nodes`` symbols goes no further, and a level adds no
+    more than are missing, the smallest ids first. While symbols are missing,
+    all that were reached are kept and fewer than ``max_nodes``, so of a hub's
+    neighbours the first two times ``max_nodes`` hold all that can count, and no
+    frontier or step grows with a hub. (Nodes that are no symbols are all passed
+    through: a symbol has one file.)
+    """
+    both = undirected(edges)
+    known = both.select(F.col("src").alias("id")).union(symbol_ids.select("id")).distinct()
+    steps = materialize(trimmed(both, symbol_ids, 2 * max_nodes), "steps")
+    symbols = symbol_ids.select("id").distinct().withColumn("symbol", F.lit(True))
+    visited = seeds.join(known, "id", "left_semi").select("query_id", "id").distinct().join(symbols, "id", "left")
+    visited = materialize(visited.select("query_id", "id", F.col("symbol").isNotNull().alias("symbol"), F.lit(0).alias("dist")), "near")
+    for d in range(1, depth + 1):
+        missing = visited.groupBy("query_id").agg((F.lit(max_nodes) - F.count_if("symbol")).alias("missing")).filter("missing > 0")
+        frontier = visited.filter(F.col("dist") == d - 1).join(missing.select("query_id"), "query_id", "left_semi").select("query_id", F.col("id").alias("src"))
+        reached = frontier.join(steps, "src").select("query_id", F.col("dst").alias("id"), "symbol").distinct()
+        reached = reached.join(visited.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        first = reached.filter("symbol").withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("at") <= max_nodes)
+        first = first.join(missing, "query_id").filter(F.col("at") <= F.col("missing")).select("query_id", "id", "symbol")
+        fresh = first.unionByName(reached.filter("NOT symbol")).withColumn("dist", F.lit(d))
+        further = materialize(visited.unionByName(fresh), "near")
+        discard(visited)
+        visited = further
+    discard(steps)
     order = Window.partitionBy("query_id").orderBy("dist", "id")
-    found = reached.join(symbol_ids.select("id"), "id", "left_semi")
-    return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < max_nodes).select("query_id", "id", "dist", "rank")
+    found = visited.filter("symbol").withColumn("rank", F.row_number().over(order) - 1)
+    return found.filter(F.col("rank") < max_nodes).select("query_id", "id", "dist", "rank")
 
 
 def shortest(seeds: DataFrame, edges: DataFrame, cutoff: int = 3, nodes: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import communities, graph
+from corvane.operators import communities, graph, names
 from corvane.sources import adapters as A
 
 QUERIES: dict = {}
@@ -163,9 +163,33 @@ def grf_tree(spark, sf_dir):
     return graph.tree(A.trade_symbols(spark, sf_dir)).select("file_path", F.array_join("symbols", ",").alias("symbols"))
 
 
+@query(f"WITH {_TRADE} SELECT * FROM e")
+def grf_named_edges(spark, sf_dir):
+    """The edges, kept by names and expanded again."""
+    return names.expand(names.build(A.trade_symbols(spark, sf_dir)))
+
+
+_TRADE_ND = "nd AS (SELECT DISTINCT id FROM s UNION SELECT DISTINCT 'file::' || file_path FROM s)"
+
+
+@query(f"WITH {_TRADE}, {_TRADE_ND}, {_RANK}, {_rank_sql(5)} SELECT id, round(r, 9) AS rank FROM r5")
+def grf_named_pagerank(spark, sf_dir):
+    s = A.trade_symbols(spark, sf_dir)
+    return names.pagerank(names.build(s), graph.nodes(s), iterations=5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {_TRADE}, sd AS (SELECT 'q' || (k // 50 % 5) AS query_id, id FROM (SELECT ord AS k, id FROM s) WHERE k % 50 = 0),
+w AS (SELECT query_id, id, 0 AS d FROM sd UNION SELECT query_id, dst, d + 1 FROM w JOIN (SELECT DISTINCT src, dst FROM e) ON src = id WHERE d < 2)
+SELECT query_id, id, min(d)::INT AS dist FROM w GROUP BY ALL""")
+def grf_named_distances(spark, sf_dir):
+    s = A.trade_symbols(spark, sf_dir)
+    seeds = s.filter("ord % 50 = 0").select(F.concat(F.lit("q"), F.expr("ord div 50 % 5").cast("string")).alias("query_id"), F.col("symbol_id").alias("id"))
+    return names.distances(names.build(s), seeds, 2)
+
+
 @query()
 def grf_communities(spark, sf_dir):
-    """Greedy merges in an order that SQL can't follow."""
+    """Local moving in an order that SQL can't follow; a test holds its modularity against greedy merges."""
     return communities.communities(A.geo_edges(spark, sf_dir))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -88,6 +89,32 @@ def test_communities_of_two_cliques(spark):
     assert Counter(found.values()) == {"a0": 5, "b0": 5, "z0": 2}
 
 
+def planted(n, groups, inside, outside, seed):
+    r = random.Random(seed)
+    return [(f"v{i:03d}", f"v{j:03d}") for i in range(n) for j in range(i) if r.random() < (inside if i % groups == j % groups else outside)]
+
+
+@pytest.mark.parametrize("final_edges", [50_000, 0])
+def test_communities_are_as_good_as_greedy_merges(spark, final_edges):
+    """Within 2 % of the modularity; with no edges left to one task, local moving has to do it alone."""
+    for pairs in (planted(120, 6, 0.35, 0.01, 1), planted(90, 5, 0.2, 0.03, 2), [("hub", f"x{i:02d}") for i in range(40)] + [(f"x{i:02d}", f"y{i % 4}") for i in range(40)]):
+        edges_ = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:5]], "src string, dst string")
+        merged = communities.greedy_merges([(a, b, 1.0) for a, b in sorted({tuple(sorted(p)) for p in pairs})], 2.0 * len(pairs))
+        best = communities.modularity(edges_, spark.createDataFrame(list(merged.items()), "id string, community string"))
+        found = communities.communities(edges_, final_edges)
+        assert communities.modularity(edges_, found) >= 0.98 * best
+        got = dict(rows(found))
+        assert set(got) == {x for p in pairs for x in p}
+        assert all(c == min(i for i in got if got[i] == c) for c in set(got.values()))
+
+
+def test_communities_of_loops_nulls_and_nothing(spark):
+    schema = "src string, dst string"
+    assert rows(communities.communities(spark.createDataFrame([], schema))) == []
+    found = dict(rows(communities.communities(spark.createDataFrame([("a", "a"), ("b", "c"), (None, "d"), ("e", None)], schema))))
+    assert found == {"a": "a", "b": "b", "c": "b"}
+
+
 def test_vectors_and_embedding(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "page_id long, embedding array<float>")
     q = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, embedding array<float>")
