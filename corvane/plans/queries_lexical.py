@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import lexical, pages, symbols
+from corvane.operators import blockmax, lexical, pages, symbols
 from corvane.sources import adapters as A
 
 from .queries_text import _PARTS, _STOP, _WORDS
@@ -69,6 +69,12 @@ _OKAPI = bm25_sql("{0}", "okapi").replace("SELECT doc_id, unnest(text) AS t FROM
     "qs AS (SELECT item_id AS q, text FROM benchmark)", f"qs AS ({_CODE_WORDS})").replace("SELECT q, unnest(text) AS t FROM qs", f"SELECT q, unnest({_PARTS}) AS t FROM qs")
 
 
+@query(bm25_sql(WORDS) + _TOP)
+def lex_blockmax_topk(spark, sf_dir):
+    """The same rows, from the blocks that can hold one of them."""
+    return _out(blockmax.search(blockmax.build(lexical.build(_docs(spark, sf_dir))), A.queries(spark, sf_dir), 10))
+
+
 @query(_OKAPI + _TOP)
 def lex_bm25_okapi_topk(spark, sf_dir):
     return _out(lexical.search(lexical.build(_docs(spark, sf_dir), method="okapi"), A.queries(spark, sf_dir), 10))
