@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators.vector import post_json
+from corvane.storage import materialize
 
 ANSWER = "query_id string, content string, prompt_tokens int, completion_tokens int, latency_ms double, error boolean"
 
@@ -85,6 +86,47 @@ def ask(prompts: DataFrame, provider: Provider, system: str = SYSTEM["general"],
     return prompts.select("query_id", "prompt").mapInPandas(work, ANSWER)
 
 
+#: A cache's columns: the key of a prompt and what was answered to it.
+CACHED = "key string, content string, prompt_tokens int, completion_tokens int"
+
+
+def prompt_key(prompt: Column, system: str, temperature: float, max_tokens: int, name: str) -> Column:
+    """What an answer depends on, as one hash."""
+    return F.sha2(F.concat_ws("\x00", F.lit(name), F.lit(system), F.lit(repr(float(temperature))), F.lit(str(max_tokens)), prompt), 256)
+
+
+def ask_cached(prompts: DataFrame, provider: Provider, cache: str, name: str = "", system: str = SYSTEM["general"], temperature: float = 0.0, max_tokens: int = 2048) -> DataFrame:
+    """As ``ask``, with a table of answers that outlives the run: ``cache`` is a folder that all executors share.
+
+    Equal prompts are sent once, those that the table has not at all. New answers are
+    appended in one commit, after all calls; failures are not kept, so the next run
+    sends them again. ``name`` tells providers and models apart. Answers from the
+    table have a latency of 0. Two runs at a time may both send a prompt: the smaller answer counts.
+    """
+    spark = prompts.sparkSession
+    keyed = materialize(prompts.select("query_id", "prompt", prompt_key(F.coalesce("prompt", F.lit("")), system, temperature, max_tokens, name).alias("key")), "prompts")
+
+    def known() -> DataFrame:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], CACHED)
+        rows = spark.read.schema(CACHED).parquet(cache)
+        return rows.groupBy("key").agg(F.min(F.struct("content", "prompt_tokens", "completion_tokens")).alias("a")).select("key", "a.*")
+
+    # the earlier answers to these prompts alone are looked at again
+    had = materialize(known().join(keyed.select("key").distinct(), "key", "left_semi"), "known")
+    missing = keyed.groupBy("key").agg(F.min("prompt").alias("prompt")).join(had.select("key"), "key", "left_anti")
+    fresh = ask(missing.select(F.col("key").alias("query_id"), "prompt"), provider, system, temperature, max_tokens)
+    fresh = materialize(fresh.withColumnRenamed("query_id", "key"), "answers")  # the calls are made here, once
+    good = fresh.filter("NOT error").select("key", "content", "prompt_tokens", "completion_tokens")
+    if not good.isEmpty():
+        good.write.mode("append").parquet(cache)
+    old = had.withColumns({"latency_ms": F.lit(0.0), "error": F.lit(False)})
+    answers = old.unionByName(fresh.select(*old.columns))
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    return keyed.select(F.col("query_id").cast("string").alias("query_id"), "key").join(answers, "key").select(*names)
+
+
 def usage(answers: DataFrame) -> DataFrame:
     """One row: calls, prompt_tokens, completion_tokens, total_tokens."""
     return answers.agg(
@@ -117,16 +159,17 @@ def expand_offline(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query", T.keywords(q).alias("keywords"), T.identifiers(q).alias("idents"), F.array().cast("array<string>").alias("files"), T.search_string(q).alias("search"))
 
 
-def expand(queries: DataFrame, provider: Provider | None = None) -> DataFrame:
+def expand(queries: DataFrame, provider: Provider | None = None, cache: str | None = None, name: str = "") -> DataFrame:
     """As ``expand_offline``, by a model where one is given; what it doesn't answer in JSON is expanded by patterns.
 
-    Equal queries are sent once.
+    Equal queries are sent once; with ``cache`` (see ``ask_cached``) those of earlier runs not again.
     """
     offline = expand_offline(queries)
     if provider is None:
         return offline
     asked = queries.select(F.col("query").alias("query_id")).distinct().withColumn("prompt", fill(EXPANSION, query=F.col("query_id")))
-    answers = ask(asked, provider).select(F.col("query_id").alias("query"), F.when(~F.col("error"), T.parse_json(F.col("content"), EXPANDED)).alias("a"))
+    answers = ask(asked, provider) if cache is None else ask_cached(asked, provider, cache, name)
+    answers = answers.select(F.col("query_id").alias("query"), F.when(~F.col("error"), T.parse_json(F.col("content"), EXPANDED)).alias("a"))
     none = F.array().cast("array<string>")
     words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
     rows = offline.join(answers, "query", "left")
@@ -145,4 +188,4 @@ def judge(rows: DataFrame, provider: Provider) -> DataFrame:
     return ask(asked, provider).select("query_id", T.parse_json(F.col("content"), JUDGED).alias("j")).select("query_id", "j.*")
 
 
-__all__ = ["ANSWER", "Answer", "Offline", "Provider", "SYSTEM", "ask", "expand", "expand_offline", "fill", "json", "judge", "prompt", "usage"]
+__all__ = ["ANSWER", "Answer", "Offline", "Provider", "SYSTEM", "ask", "ask_cached", "expand", "expand_offline", "fill", "json", "judge", "prompt", "usage"]

@@ -1,8 +1,10 @@
-"""Saved indexes: one Parquet table each below <root>/<repository>/."""
+"""Saved indexes: committed versions of Parquet tables below <root>/<repository>/."""
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,48 +29,109 @@ class Index:
 
 _PLAIN = ("symbols", "pages", "nodes", "edges", "pagerank", "embeddings")
 _LEXICAL = ("postings", "pages", "corpus")
+#: Manifests: one small file a version, named by its number.
+VERSIONS = "_versions"
 
 
-def save(index: Index, root: str, name: str) -> None:
-    """Overwrites; postings are clustered by term, so that a query reads few row groups."""
-    base = f"{root.rstrip('/')}/{name}"
+class SaveConflict(RuntimeError):
+    """Another save committed the same version first."""
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the committed versions, ascending."""
+    p, fs = _hadoop(spark, f"{root.rstrip('/')}/{name}/{VERSIONS}")
+    if not fs.exists(p):
+        return []
+    return sorted(int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(p) if re.fullmatch(r"[0-9]+\.json", s.getPath().getName()))
+
+
+def save(index: Index, root: str, name: str) -> int:
+    """Commit ``index`` as the next version and return its number.
+
+    All tables go to a folder of their own. Then a manifest is written beside the others and
+    renamed to the version's number: until that one step readers see the version before, whole, and a save that
+    is broken off leaves a folder that nothing refers to (``vacuum`` removes it). Of two saves at a time one fails.
+    Postings are clustered by term, so that a query reads few row groups.
+    """
+    base, spark = f"{root.rstrip('/')}/{name}", index.symbols.sparkSession
+    number, folder = max(versions(spark, root, name), default=0) + 1, f"data-{uuid.uuid4().hex}"
     for table in _PLAIN:
         df = getattr(index, table)
         if df is not None:
-            df.write.mode("overwrite").parquet(f"{base}/{table}")
+            df.write.parquet(f"{base}/{folder}/{table}")
     for table in _LEXICAL:
         df = getattr(index.lexical, table)
         df = df.repartitionByRange("term").sortWithinPartitions("term") if table == "postings" else df
-        df.write.mode("overwrite").parquet(f"{base}/lexical_{table}")
-    spark = index.symbols.sparkSession
-    spark.createDataFrame([(json.dumps({"method": index.lexical.method, "tokenizer": index.lexical.tokenizer}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/lexical_settings")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def load(spark: SparkSession, root: str, name: str) -> Index:
-    """A saved index; pages that were not saved are made from the symbols (files without symbols then have none)."""
-    base = f"{root.rstrip('/')}/{name}"
-    read = {t: spark.read.parquet(f"{base}/{t}") if _exists(spark, f"{base}/{t}") else None for t in _PLAIN}
-    if read["symbols"] is None:
-        raise ValueError(f"no index of {name} below {root}")
+        df.write.parquet(f"{base}/{folder}/lexical_{table}")
+    manifest = {"folder": folder, "tables": [t for t in _PLAIN if getattr(index, t) is not None], "method": index.lexical.method, "tokenizer": index.lexical.tokenizer}
+    draft, fs = _hadoop(spark, f"{base}/{VERSIONS}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(json.dumps(manifest).encode("utf-8"))
+    out.close()
+    final, _ = _hadoop(spark, f"{base}/{VERSIONS}/{number:020d}.json")
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise SaveConflict(f"version {number} of {name} was committed meanwhile")
+    return number
+
+
+def _manifest(spark: SparkSession, base: str, number: int) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(f"{base}/{VERSIONS}/{number:020d}.json").first()[0])
+
+
+def load(spark: SparkSession, root: str, name: str, version: int | None = None) -> Index:
+    """A saved index, pinned to its last version or to ``version``: later saves don't change what it reads.
+
+    Pages that were not saved are made from the symbols (files without symbols then have none).
+    """
+    base, found = f"{root.rstrip('/')}/{name}", versions(spark, root, name)
+    if not found or version is not None and version not in found:
+        raise ValueError(f"no index of {name} below {root}" + (f" with version {version}" if found else ""))
+    manifest = _manifest(spark, base, version or found[-1])
+    folder = f"{base}/{manifest['folder']}"
+    read = {t: spark.read.parquet(f"{folder}/{t}") if t in manifest["tables"] else None for t in _PLAIN}
     if read["pages"] is None:
         read["pages"] = page_ops.build(read["symbols"])
-    settings = json.loads(spark.read.text(f"{base}/lexical_settings").first()[0])
-    lexical = LexicalIndex(*[spark.read.parquet(f"{base}/lexical_{t}") for t in _LEXICAL], **settings)
+    lexical = LexicalIndex(*[spark.read.parquet(f"{folder}/lexical_{t}") for t in _LEXICAL], method=manifest["method"], tokenizer=manifest["tokenizer"])
     return Index(lexical=lexical, **read)
 
 
+def vacuum(spark: SparkSession, root: str, name: str, keep: int = 1) -> list[str]:
+    """Remove all but the last ``keep`` versions, and folders of saves that were broken off; not while one is running. Returns the folders removed."""
+    base = f"{root.rstrip('/')}/{name}"
+    found = versions(spark, root, name)
+    last = found[-max(1, keep) :]
+    needed = {_manifest(spark, base, n)["folder"] for n in last}
+    for number in found:
+        if number not in last:
+            p, fs = _hadoop(spark, f"{base}/{VERSIONS}/{number:020d}.json")
+            fs.delete(p, False)
+    p, fs = _hadoop(spark, base)
+    gone = []
+    for s in fs.listStatus(p) if fs.exists(p) else []:
+        folder = s.getPath().getName()
+        if folder.startswith("data-") and folder not in needed:
+            fs.delete(s.getPath(), True)
+            gone.append(folder)
+    return gone
+
+
 def repositories(spark: SparkSession, root: str) -> list[str]:
-    """Names of the saved indexes; folders without a symbols table are none."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Names of the saved indexes; folders without a committed version are none."""
+    p, fs = _hadoop(spark, root)
     if not fs.exists(p):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and _exists(spark, f"{s.getPath()}/symbols"))
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and versions(spark, root, s.getPath().getName()))
 
 
 def benchmarks(spark: SparkSession, path: str) -> DataFrame:
@@ -78,4 +141,4 @@ def benchmarks(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("ground_truth_answer", "repository")})
 
 
-__all__ = [f.name for f in fields(Index)] + ["Index", "benchmarks", "load", "repositories", "save"]
+__all__ = [f.name for f in fields(Index)] + ["Index", "benchmarks", "load", "repositories", "save", "vacuum", "versions"]

@@ -1,5 +1,7 @@
 import json
+import os
 import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -50,3 +52,45 @@ def test_http_chat(spark, service):
 
 def test_backends():
     assert vector.backend() and vector.backend("clamped") and not vector.backend("plain") and not vector.backend("missing")
+
+
+def counting(folder):
+    """Answers in capitals and leaves a file for each call; ``bad`` fails."""
+    folder = str(folder)
+
+    def answer(prompt, system, temperature=0.0, max_tokens=2048):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        if prompt == "bad":
+            raise RuntimeError("no")
+        return providers.Answer(prompt.upper(), 1, 2)
+
+    return answer
+
+
+def test_answers_outlive_a_run(spark, tmp_path):
+    calls, cache = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+    provider, made = counting(calls), lambda: len(os.listdir(calls))
+    prompts = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "one"), ("d", "bad")], "query_id string, prompt string")
+    first = {r.query_id: (r.content, r.error) for r in providers.ask_cached(prompts, provider, cache).collect()}
+    assert first == {"a": ("ONE", False), "b": ("TWO", False), "c": ("ONE", False), "d": ("Error: no", True)}
+    assert made() == 3  # equal prompts are sent once
+    again = {r.query_id: (r.content, r.error) for r in providers.ask_cached(prompts.filter("query_id <> 'd'"), provider, cache).collect()}
+    assert again == {k: v for k, v in first.items() if k != "d"} and made() == 3
+    providers.ask_cached(prompts, provider, cache).count()
+    assert made() == 4  # the failure alone was sent again
+    providers.ask_cached(prompts.limit(1), provider, cache, max_tokens=7).count()
+    providers.ask_cached(prompts.limit(1), provider, cache, name="other").count()
+    assert made() == 6  # other settings are other questions
+    assert providers.ask_cached(prompts.limit(0), provider, cache).collect() == [] and made() == 6
+
+
+def test_expansion_from_the_cache(spark, tmp_path):
+    calls, cache = tmp_path / "calls", str(tmp_path / "cache")
+    calls.mkdir()
+    queries = spark.createDataFrame([(1, "where is Router.add"), (2, "where is Router.add"), (3, "why")], "query_id long, query string")
+    first = sorted(map(str, providers.expand(queries, counting(calls), cache).collect()))
+    assert len(os.listdir(calls)) == 2
+    assert sorted(map(str, providers.expand(queries, counting(calls), cache).collect())) == first and len(os.listdir(calls)) == 2
+    assert sorted(map(str, providers.expand(queries).collect())) == first  # no JSON: by patterns

@@ -1,6 +1,8 @@
+import dataclasses
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane import cli
 from corvane.operators import graph, pages
@@ -123,3 +125,33 @@ def test_a_file_that_is_nested_too_deeply_is_an_error(spark):
 
 def test_the_language_of_a_file():
     assert repository.LANGUAGES[".c"] == "c" and repository.LANGUAGES[".cc"] == "cpp" and list(repository.LANGUAGES)[3] == ".jsx"
+
+
+def test_a_save_that_is_broken_off_leaves_the_old_version(spark, ingested, tmp_path):
+    index, _ = ingested
+    root = str(tmp_path)
+    assert store.save(index, root, "app") == 1
+    pinned = store.load(spark, root, "app")
+    n = pinned.symbols.count()
+    broken = dataclasses.replace(index, symbols=index.symbols.limit(1), edges=index.edges.withColumn("weight", F.raise_error(F.lit("the disk is full"))))
+    with pytest.raises(Exception, match="the disk is full"):
+        store.save(broken, root, "app")
+    assert store.versions(spark, root, "app") == [1] and store.load(spark, root, "app").symbols.count() == n
+    smaller = dataclasses.replace(index, symbols=index.symbols.limit(1), embeddings=None)
+    assert store.save(smaller, root, "app") == 2
+    assert store.load(spark, root, "app").symbols.count() == 1 and store.load(spark, root, "app").embeddings is None
+    # who has read version 1 goes on with it
+    assert pinned.symbols.count() == n and store.load(spark, root, "app", 1).symbols.count() == n
+    assert len(store.vacuum(spark, root, "app", keep=2)) == 1  # what the broken save left
+    assert len(store.vacuum(spark, root, "app")) == 1 and store.versions(spark, root, "app") == [2]
+    assert store.load(spark, root, "app").symbols.count() == 1
+    with pytest.raises(ValueError):
+        store.load(spark, root, "app", 1)
+
+
+def test_two_saves_at_a_time(spark, ingested, tmp_path, monkeypatch):
+    index, _ = ingested
+    store.save(index, str(tmp_path), "app")
+    monkeypatch.setattr(store, "versions", lambda *_: [])  # the other one hadn't committed when this one began
+    with pytest.raises(store.SaveConflict):
+        store.save(index, str(tmp_path), "app")
