@@ -29,6 +29,9 @@ anchors, so two documents that share a window share an anchor in it.
 5. Spans. The covered spans come back to their text, are united and cut out.
 
 All comparisons of windows are exact; the hashes only choose anchors and parts.
+Where a text repeats a few bytes over and over (a line of dashes), each place
+is an anchor of the same hash: such a stretch is passed on as one place with a
+distance and a number, and its inner suffixes, which are all the same, as one.
 Each text crosses the network once and is read from there in each step.
 
 Defined results
@@ -135,6 +138,45 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: in
     return places, h[places]
 
 
+#: A place, and in its upper bits how often the same anchor comes again, each time ``stride`` bytes further on.
+PLACE_BITS, STRIDE_BITS = 31, 6
+
+
+def _runs_of_places(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in the order of their texts and places, those of equal hashes at equal distances of a text as one."""
+    if len(h) < 2:
+        return h, doc, place
+    gap = np.diff(place)
+    same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (gap > 0) & (gap < 1 << STRIDE_BITS)
+    begins = np.concatenate(([True], ~same))
+    begins[2:] |= same[1:] & same[:-1] & (gap[1:] != gap[:-1])
+    first = np.flatnonzero(begins)
+    again = np.diff(np.append(first, len(h))) - 1
+    stride = np.where(again > 0, gap[np.minimum(first, len(gap) - 1)], 0)
+    return h[first], doc[first], place[first] | stride << PLACE_BITS | again << PLACE_BITS + STRIDE_BITS
+
+
+def _suffixes(text: bytes, packed: int, length: int) -> Iterator[tuple[int, int]]:
+    """(place, extent) of a run of anchors: where a stretch repeats itself byte by byte, the places whose surroundings
+    are all the same are one place, whose extent is the distance to the last of them."""
+    place, stride, again = packed & (1 << PLACE_BITS) - 1, packed >> PLACE_BITS & (1 << STRIDE_BITS) - 1, packed >> PLACE_BITS + STRIDE_BITS
+    left, end = length - ANCHOR, place + again * stride + ANCHOR
+    low = high = 0
+    if again * stride > 2 * length:
+        low, high = -(-left // stride), (end - length - place) // stride
+        stretch = np.frombuffer(text, dtype=np.uint8, count=end - place, offset=place)
+        if high <= low or not np.array_equal(stretch[stride:], stretch[:-stride]):
+            low = high = 0
+    j = 0
+    while j <= again:
+        if j == low and high > low:
+            yield place + low * stride, (high - low) * stride
+            j = high + 1
+        else:
+            yield place + j * stride, 0
+            j += 1
+
+
 def _dealt_by_text(ordinal: np.ndarray, tid: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
     """(part, block): places by text."""
     if not len(ordinal):
@@ -198,8 +240,8 @@ def _anchor_blocks(parts: int, length: int):
                 if len(places):
                     which = np.searchsorted(ends, places, side="right")
                     starts = np.concatenate(([0], ends[:-1]))
-                    found.append((h, np.array(docs, dtype=np.int64)[which], places - starts[which] + offset))
-                    count += len(places)
+                    found.append(_runs_of_places(h, np.array(docs, dtype=np.int64)[which], places - starts[which] + offset))
+                    count += len(found[-1][0])
 
             for text, ordinal, tid in zip(batch["text"], batch["ord"], batch["tid"], strict=True):
                 text = bytes(text)
@@ -209,6 +251,14 @@ def _anchor_blocks(parts: int, length: int):
                 if len(text) > PIECE:  # windows in pieces that overlap by a window less a byte
                     for at in range(0, len(text) - length + 1, PIECE):
                         take([text[at : at + PIECE + length - 1]], [doc], at)
+                        if count >= RUN_ANCHORS:  # also within a text
+                            if group:
+                                take([t for t, _ in group], [d for _, d in group])
+                                group, size = [], 0
+                            yield flush()
+                            orders.append(int(ordinal))
+                            tids.append(int(tid))
+                            doc = 0
                     continue
                 group.append((text, doc))
                 size += len(text)
@@ -297,10 +347,10 @@ def _suffix_runs(parts: int, length: int):
             rows, i = [], 0
             orders, tids = np.array(docs, dtype=np.int64).reshape(-1, 2).T
             while i < len(records):
-                part, prefixes, tails, lengths, befores, before_lengths, counts, owners, places = records[i][0], [], [], [], [], [], [], [], []
+                part, prefixes, tails, lengths, befores, before_lengths, counts, owners, places, extents = records[i][0], [], [], [], [], [], [], [], [], []
                 last, last_before = b"", None
                 while i < len(records) and records[i][0] == part:
-                    _, suffix, before, doc, place = records[i]
+                    _, suffix, before, doc, place, extent = records[i]
                     if last_before is not None and suffix == last and before == last_before:
                         counts[-1] += 1
                     else:
@@ -314,8 +364,9 @@ def _suffix_runs(parts: int, length: int):
                         last, last_before = suffix, before
                     owners.append(doc)
                     places.append(place)
+                    extents.append(extent)
                     i += 1
-                owners, places, counts = np.array(owners), np.array(places), np.array(counts)
+                owners, places, extents, counts = np.array(owners), np.array(places), np.array(extents), np.array(counts)
                 # of equal bytes, those of larger ids go, with all windows around their anchor
                 ordinals, ids = orders[owners], tids[owners]
                 least = np.minimum.reduceat(ordinals, np.concatenate(([0], np.cumsum(counts)[:-1])))
@@ -325,11 +376,11 @@ def _suffix_runs(parts: int, length: int):
                     near, far = np.maximum(0, length - np.array(lengths))[record[gone]], np.minimum(left, np.array(before_lengths))[record[gone]]
                     some = near <= far
                     at = places[gone][some]
-                    rows.append((part, None, _pack(ordinals[gone][some], ids[gone][some], at - far[some], at - near[some] + length)))
-                    owners, places, counts = owners[~gone], places[~gone], np.bincount(record[~gone], minlength=len(counts))
+                    rows.append((part, None, _pack(ordinals[gone][some], ids[gone][some], at - far[some], at + extents[gone][some] - near[some] + length)))
+                    owners, places, extents, counts = owners[~gone], places[~gone], extents[~gone], np.bincount(record[~gone], minlength=len(counts))
                 used, local = np.unique(owners, return_inverse=True)
                 table = np.array([docs[u] for u in used], dtype=np.int64)
-                rows.append((part, _pack(np.array(prefixes, np.uint8), b"".join(tails), np.array(lengths, np.uint8), b"".join(befores), np.array(before_lengths, np.uint8), _planes(counts), _planes(local), _planes(places), table), None))
+                rows.append((part, _pack(np.array(prefixes, np.uint8), b"".join(tails), np.array(lengths, np.uint8), b"".join(befores), np.array(before_lengths, np.uint8), _planes(counts), _planes(local), _planes(places), _planes(extents), table), None))
             records.clear()
             docs.clear()
             return pd.DataFrame(rows, columns=["part", "run", "spans"])
@@ -338,11 +389,14 @@ def _suffix_runs(parts: int, length: int):
             for text, ordinal, tid, places in zip(batch["text"], batch["ord"], batch["tid"], batch["places"], strict=True):
                 text, doc = bytes(text), len(docs)
                 docs.append((int(ordinal), int(tid)))
-                for p in np.unique(places).tolist():
-                    suffix = text[p : p + length]
-                    records.append((zlib.crc32(suffix[:ANCHOR]) % parts, suffix, text[max(0, p - left) : p], doc, p))
-                if len(records) >= RUN_SUFFIXES:
-                    yield flush()
+                for packed in np.unique(places).tolist():
+                    for p, extent in _suffixes(text, packed, length):
+                        suffix = text[p : p + length]
+                        records.append((zlib.crc32(suffix[:ANCHOR]) % parts, suffix, text[max(0, p - left) : p], doc, p, extent))
+                        if len(records) >= RUN_SUFFIXES:  # also within a text
+                            yield flush()
+                            doc = 0
+                            docs.append((int(ordinal), int(tid)))
         if records:
             yield flush()
 
@@ -353,10 +407,10 @@ class Run:
     """A front-coded run, read suffix by suffix."""
 
     def __init__(self, blob: bytes) -> None:
-        prefixes, tails, lengths, befores, before_lengths, counts, local, places, table = _unpack(blob)
+        prefixes, tails, lengths, befores, before_lengths, counts, local, places, extents, table = _unpack(blob)
         self.prefixes, self.lengths = prefixes.tolist(), lengths.tolist()
         self.tails, self.befores, self.before_lengths = tails, befores, before_lengths.tolist()
-        self.counts, self.owners, self.places = _joined(counts), table[_joined(local)], _joined(places)
+        self.counts, self.owners, self.places, self.extents = _joined(counts), table[_joined(local)], _joined(places), _joined(extents)
         self.i, self.at, self.before_at, self.suffix, self.before = -1, 0, 0, b"", b""
 
     def next(self) -> int:
@@ -456,6 +510,7 @@ def covered(blobs: list[bytes], length: int = LENGTH) -> pd.DataFrame:
     sizes, starts = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     owners = np.concatenate([r.owners for r in runs])
     places = np.concatenate([r.places for r in runs])
+    extents = np.concatenate([r.extents for r in runs])
     base = 0
     for k, r in enumerate(runs):
         mine = np.flatnonzero(last_run == k)  # a run's records come out in its own order
@@ -463,7 +518,7 @@ def covered(blobs: list[bytes], length: int = LENGTH) -> pd.DataFrame:
         starts[mine] = base + np.concatenate(([0], np.cumsum(r.counts)[:-1]))
         base += len(r.places)
     take = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(len(places))
-    owners, places = owners[take], places[take]
+    owners, places, extents = owners[take], places[take], extents[take]
     record = np.repeat(np.arange(n), sizes)
     least = np.minimum.reduceat(owners[:, 0], np.concatenate(([0], np.cumsum(sizes)[:-1])))
     prefix, lengths = np.array(prefix), np.array(lengths)
@@ -488,7 +543,7 @@ def covered(blobs: list[bytes], length: int = LENGTH) -> pd.DataFrame:
         low[lost & (low < 0)] = o
         high[lost] = o
     some = np.flatnonzero(high >= 0)
-    return pd.DataFrame({"ord": owners[some, 0], "tid": owners[some, 1], "start": places[some] - high[some], "stop": places[some] - low[some] + length})
+    return pd.DataFrame({"ord": owners[some, 0], "tid": owners[some, 1], "start": places[some] - high[some], "stop": places[some] + extents[some] - low[some] + length})
 
 
 def _covered(length: int):

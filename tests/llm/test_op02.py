@@ -1,7 +1,11 @@
 import hashlib
 import random
+import tracemalloc
 import warnings
 
+import numpy as np
+import pandas as pd
+
 from corpus import SCHEMA, documents, frame
 
 from corvane.llm import op02_suffix_dedup as op2
@@ -116,3 +120,36 @@ def test_a_passage_of_most_texts_is_one_row_a_run(spark):
     (runs,) = list(op2._suffix_runs(1, 50)(iter([texts.merge(places, on=["ord", "tid"])])))
     counts = [op2.Run(b).counts for b in runs["run"].dropna()]
     assert max(np.max(c) for c in counts) <= 4 and len(runs["spans"].dropna()) == 1
+
+
+def test_periodic_texts(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(70):
+        unit = "".join(r.choice("-+=ab") for _ in range(r.choice([1, 1, 2, 2, 3, 5, 7, 16, 20, 33, 34, 35, 40])))
+        if i > 4 and r.random() < 0.6:
+            unit = rows[r.randrange(len(rows))][5]
+        shift = r.randrange(len(unit))
+        body = (unit * 400)[shift : shift + r.randrange(30, 420)]
+        text = r.choice(["", "x", "head of it "]) + body + r.choice(["", "y", " tail", body[:60]])
+        rows.append((r.randrange(0, 50), text, None, None, None, unit))
+    rows = [x[:5] for x in rows]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, length=20) == brute(rows, 20)
+
+
+def test_long_stretches_are_few_rows():
+    """Twenty MB of dashes: bounded memory, and rows that don't grow with the stretch."""
+    n = 20_000_000
+    texts = [b"-" * n, b"+-" * (n // 2) + b"end"]
+    frames = pd.DataFrame({"text": texts, "ord": [1, 2], "tid": [11, 12]})
+    tracemalloc.start()
+    rows = pd.concat(op2._anchor_blocks(4, 50)(iter([frames])))
+    shared = [op2._joined(op2._unpack(b)[2]) for b in rows["block"]]
+    places = np.unique(np.concatenate(shared))
+    assert len(places) < 1000
+    with_places = frames.assign(places=[places[:200], places[:200]]).iloc[:1]
+    runs = pd.concat(op2._suffix_runs(4, 50)(iter([with_places])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and sum(len(b) for b in runs["run"].dropna()) < 1 << 20
