@@ -41,8 +41,10 @@ from corvane.storage import materialize, new_path
 from . import common
 
 LEAST_BYTES = 0
-#: Payload bytes in an archive, about; it stands in memory as a whole when read.
-ARCHIVE_BYTES = 32 * 1024 * 1024
+#: Payload bytes in an archive, about, at every size of the input; it stands in memory as a whole when read.
+ARCHIVE_BYTES = 16 * 1024 * 1024
+#: Bytes of the archive that the decoder is given at a time: a record costs the same in archives of any size.
+SLICE_BYTES = 16 * 1024
 #: The dictionary: its size, and how many payload bytes of the archive it is trained on at most.
 DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS = 64 * 1024, 4 * 1024 * 1024, 1000
 LEVEL = 3
@@ -71,6 +73,11 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
 
 
+def _urn(page_id: str | None) -> str:
+    """No id is no text: a page whose id is the text ``null`` keeps it."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{page_id}>"
+
+
 def record(page_id: str | None, url: str | None, payload: bytes | None, refers_to: str | None, n_bytes: int, digest: str) -> bytes:
     """One WARC record; ``payload`` None makes a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode("ascii")
@@ -78,7 +85,7 @@ def record(page_id: str | None, url: str | None, payload: bytes | None, refers_t
     head = [
         VERSION,
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -87,7 +94,7 @@ def record(page_id: str | None, url: str | None, payload: bytes | None, refers_t
         f"Content-Length: {len(block)}",
     ]
     if payload is None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -158,7 +165,7 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
     holder = narrow.filter(F.col("n_bytes") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).filter("n > 1").select("sha", "holder")
     if archives is None:
         total = narrow.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
-        archives = max(1, -(-total // ARCHIVE_BYTES), min(64, total // (1024 * 1024)))
+        archives = max(1, -(-total // ARCHIVE_BYTES))
     holder = materialize(holder, "holders")
     # payloads move once, to their archives; beyond the bound they meet the holders by digest, hot ones split by the adaptive join
     joined = rows.join(F.broadcast(holder) if holder.count() <= BROADCAST_HOLDERS else holder, "sha", "left")
@@ -197,10 +204,10 @@ def _headers(head: bytes, at: str) -> dict[str, str]:
 
 
 def _page(urn: str, at: str) -> str | None:
-    m = re.fullmatch(r"<urn:page:(.*)>", urn, re.DOTALL)
+    m = re.fullmatch(r"<urn:page(?::(.*))?>", urn, re.DOTALL)
     if not m:
         raise ArchiveError(f"{at}: faulty record id")
-    return None if m[1] == "null" else m[1]
+    return m[1]
 
 
 def parse(one: bytes, at: str) -> dict:
@@ -244,7 +251,7 @@ def decode(data: bytes, name: str) -> Iterator[dict]:
 
     if not data:
         return
-    place, decoder = 0, None
+    place, decoder, view = 0, None, memoryview(data)
     while place < len(data):
         at = f"{name} at {place}"
         if len(data) - place < 8:
@@ -264,15 +271,18 @@ def decode(data: bytes, name: str) -> Iterator[dict]:
             continue
         if magic != FRAME_MAGIC or decoder is None:
             raise ArchiveError(f"{at}: no frame")
-        part = decoder.decompressobj()
+        part, pieces, size = decoder.decompressobj(), [], SLICE_BYTES
         try:
-            one = part.decompress(memoryview(data)[place:])
+            while not part.eof and place < len(data):
+                pieces.append(part.decompress(view[place : place + size]))
+                place = min(len(data), place + size)
+                size *= 2  # a large frame takes few slices; what is behind a small one is short
         except zstandard.ZstdError as fault:
             raise ArchiveError(f"{at}: {fault}") from fault
         if not part.eof:
             raise ArchiveError(f"{at}: frame is cut off")
-        place = len(data) - len(part.unused_data)
-        yield parse(one, at)
+        place -= len(part.unused_data)
+        yield parse(b"".join(pieces), at)
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -222,3 +222,41 @@ def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     op9.write(spark.createDataFrame([], PAGES), path)
     assert op9.read(spark, path).count() == 0
+
+
+def test_a_record_costs_the_same_in_archives_of_any_size():
+    r = random.Random(1)
+    page = lambda i: op9.record(str(i), "http://x", b"%d" % i + bytes(r.choices(b"abcdefgh <>/", k=3000)), None, 3000 + len(str(i)), "x")
+    records = [page(i) for i in range(600)]
+    took = {}
+    for n in (600, 12_000):
+        data = b"".join(op9.frames((records * (n // 600))[:n], records[:50]))
+        given = []
+
+        class Counted:
+            def __init__(self, inner):
+                self.inner = inner
+
+            def decompress(self, part):
+                given.append(len(part))
+                return self.inner.decompress(part)
+
+            eof = property(lambda self: self.inner.eof)
+            unused_data = property(lambda self: self.inner.unused_data)
+
+        import zstandard
+
+        real = zstandard.ZstdDecompressor
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(op9, "parse", lambda one, at: {})
+            patch.setattr(zstandard, "ZstdDecompressor", lambda **k: type("D", (), {"decompressobj": lambda self: Counted(real(**k).decompressobj())})())
+            assert len(list(op9.decode(data, "a"))) == n
+        took[n] = sum(given) / n
+    assert took[12_000] <= 1.1 * took[600] <= 4 * op9.SLICE_BYTES
+
+
+def test_the_text_null_is_an_id(spark, tmp_path):
+    rows = [("null", "http://a", "<p>1</p>"), (None, "http://b", "<p>2</p>"), ("", "http://c", "<p>2</p>")]
+    op9.write(spark.createDataFrame(rows, "page_id string, url string, html string"), f"file://{tmp_path}/n")
+    found = {(x.page_id, x.refers_to): x.record_type for x in op9.read(spark, f"file://{tmp_path}/n").collect()}
+    assert found == {("null", None): "response", (None, ""): "revisit", ("", None): "response"}
