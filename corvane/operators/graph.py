@@ -189,6 +189,49 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, iteration
     return state.select("id", "rank") if tolerance is None else state.select("id", F.lit(1.0 / n).alias("rank"))
 
 
+#: Flows of an iteration (about 40 bytes each) meet the ranks by a broadcast up to this number, counted first.
+BROADCAST_FLOWS = 500_000
+MAX_PUSHES = 1000
+
+
+def pagerank_push(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, tolerance: float = TOLERANCE) -> DataFrame:
+    """(id, rank) by pushing residuals: only nodes whose residual is above ``tolerance`` / n send anything.
+
+    A node's rank is what it has sent on or holds; its residual is what has come in since. A round moves
+    the residuals of the active nodes along their edges, so the rows shuffled are those of the active nodes' edges,
+    fewer from round to round, and not those of the graph. Nodes without out-edges would
+    spread their mass evenly; that changes all ranks by the same factor, so it is left out and the ranks are scaled to
+    a sum of 1 at the end. What is left in residuals is at most ``tolerance`` / (1 - ``alpha``) of all.
+    """
+    ids = nodes.select("id").distinct()
+    n = ids.count()
+    if not n:
+        return ids.withColumn("rank", F.lit(0.0))
+    out = edges.groupBy("src").agg(F.sum("weight").alias("out")).filter("out > 0")
+    links = materialize(edges.join(out, "src").select("src", "dst", (F.lit(alpha) * F.col("weight") / F.col("out")).alias("p")), "links")
+    state = materialize(ids.select("id", F.lit(0.0).alias("rank"), F.lit(1.0 / n).alias("residual")), "ranks")
+    least = tolerance / n
+    for _ in range(MAX_PUSHES):
+        active = state.filter(F.col("residual") > least).select(F.col("id").alias("src"), "residual")
+        count = active.count()
+        if not count:
+            break
+        sent = links.join(F.broadcast(active) if count <= BROADCAST_FLOWS else active, "src")
+        flow = materialize(sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("residual")).alias("flow")), "flow")
+        small = flow.count() <= BROADCAST_FLOWS  # the ranks stay where they are
+        goes = F.col("residual") > least
+        rank = F.when(goes, F.col("rank") + F.col("residual")).otherwise(F.col("rank"))
+        rest = F.when(goes, F.lit(0.0)).otherwise(F.col("residual")) + F.coalesce("flow", F.lit(0.0))
+        further = materialize(state.join(F.broadcast(flow) if small else flow, "id", "left").select("id", rank.alias("rank"), rest.alias("residual")), "ranks")
+        discard(state)
+        discard(flow)
+        state = further
+    else:
+        raise RuntimeError(f"ranks did not settle in {MAX_PUSHES} rounds")
+    total = state.agg(F.sum(F.col("rank") + F.col("residual")).alias("s")).first()["s"]
+    return state.select("id", ((F.col("rank") + F.col("residual")) / F.lit(total)).alias("rank"))
+
+
 def proximity(expanded: DataFrame, seeds: DataFrame, dist: DataFrame, ranks: DataFrame, pages: DataFrame) -> DataFrame:
     """(query_id, page_id, score): nearness to the closest seed times PageRank; nodes out of reach stay with 0."""
     near = expanded.select("query_id", "id").join(seeds.select("query_id", F.col("id").alias("seed")), "query_id").join(dist, ["seed", "id"], "left")

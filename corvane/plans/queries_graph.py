@@ -163,6 +163,15 @@ def grf_tree(spark, sf_dir):
     return graph.tree(A.trade_symbols(spark, sf_dir)).select("file_path", F.array_join("symbols", ",").alias("symbols"))
 
 
+@query(f"""WITH {_GEO}, {_RANK}, y0 AS (SELECT id, 1 / n AS y FROM nd CROSS JOIN nn),
+y1 AS (SELECT dst AS id, sum(0.85::DOUBLE * p * y) AS y FROM l JOIN y0 ON id = src GROUP BY dst), y2 AS (SELECT dst AS id, sum(0.85::DOUBLE * p * y) AS y FROM l JOIN y1 ON id = src GROUP BY dst),
+y AS (SELECT id, sum(y) AS y FROM (SELECT * FROM y0 UNION ALL SELECT * FROM y1 UNION ALL SELECT * FROM y2) GROUP BY id)
+SELECT id, round(y / (SELECT sum(y) FROM y), 9) AS rank FROM y""")
+def grf_pagerank_push(spark, sf_dir):
+    """Converged: no path is longer than two edges, so SQL can follow all of them."""
+    return graph.pagerank_push(A.geo_nodes(spark, sf_dir), A.geo_edges(spark, sf_dir)).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query(f"WITH {_TRADE} SELECT * FROM e")
 def grf_named_edges(spark, sf_dir):
     """The edges, kept by names and expanded again."""

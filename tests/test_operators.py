@@ -74,6 +74,43 @@ def test_pagerank_converges_and_sums_to_one(spark):
     assert rows(graph.pagerank(nodes.limit(0), edges(spark).limit(0))) == []
 
 
+def test_pushed_residuals(spark, monkeypatch):
+    r = random.Random(3)
+    some = [(f"n{r.randrange(200)}", f"n{int(200 * r.random() ** 3)}", "CALLS", r.choice([0.5, 1.0])) for _ in range(500)]
+    edges_ = spark.createDataFrame(some, "src string, dst string, type string, weight double").dropDuplicates(["src", "dst"])
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(210)], "id string")
+    want = dict(rows(graph.pagerank(nodes, edges_, iterations=150, tolerance=None)))
+    sizes = []
+
+    def counting(df, name, keep=False, real=graph.materialize):
+        out = real(df, name, keep)
+        if name == "flow":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counting)
+    found = dict(rows(graph.pagerank_push(nodes, edges_, tolerance=1e-5)))
+    assert sum(found.values()) == pytest.approx(1) and found == pytest.approx(want, abs=1e-4)
+    assert len(sizes) > 5 and sizes[-1] < sizes[0] / 2  # what moves gets less
+    monkeypatch.setattr(graph, "BROADCAST_FLOWS", 0)
+    assert dict(rows(graph.pagerank_push(nodes, edges_, tolerance=1e-5))) == pytest.approx(found, abs=1e-12)
+    assert rows(graph.pagerank_push(nodes.limit(0), edges_)) == []
+
+
+def test_packing_looks_at_few_pages(spark, monkeypatch):
+    page = "query_id string, rank int, file_path string, line_start int, line_end int, signature string, docstring string, language string, source_code string, calls array<string>"
+    ranked = [("a", i, f"f{i}", 1, 2, None, "d" * (i % 30), "python", "x" * (i * 7 % 90), []) for i in range(300)]
+    ranked += [("b", i, None if i % 3 else "g", 1, 2, None, None, None, None if i % 2 else "y", []) for i in range(300)] + [("c", 0, "h", 1, 2, None, None, None, "z" * 5000, ["k"])]
+    df = spark.createDataFrame(ranked, page).repartition(4)
+    cut = context.pack(df, 150).orderBy("query_id").collect()
+    monkeypatch.setattr(context, "LEAST", 0.001)  # nothing is left out before
+    assert cut == context.pack(df, 150).orderBy("query_id").collect()
+    assert all(x.n_tokens <= 150 for x in cut)
+    monkeypatch.undo()
+    plan = context.pack(df)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_nodes_out_of_reach_stay_ranked_with_zero(spark):
     near = spark.createDataFrame([("q", "x", 0, 0), ("q", "y", 2, 1)], "query_id string, id string, dist int, rank int")
     dist = spark.createDataFrame([("x", "x", 0)], "seed string, id string, dist int")
