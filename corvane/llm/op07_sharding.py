@@ -149,5 +149,15 @@ SELECT doc_id, n_bytes,
 FROM f WHERE r = 1
 """
 
-QUERIES = {"op7_sharding": op7_sharding}
-ORACLE_SQL = {"op7_sharding": OP7_SQL}
+#: A limit that splits the small tables too.
+SMALL_LIMIT_BYTES = 64 * 1024
+
+
+def shard_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards of 64 KiB: buckets split at every size of the input."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    return shard(docs, "doc_id", F.col("n_bytes"), limit_bytes=SMALL_LIMIT_BYTES)
+
+
+QUERIES = {"op7_sharding": op7_sharding, "shard_64k": shard_64k}
+ORACLE_SQL = {"op7_sharding": OP7_SQL, "shard_64k": OP7_SQL.replace(f"<= {LIMIT_BYTES}", f"<= {SMALL_LIMIT_BYTES}")}
