@@ -131,7 +131,7 @@ def _work(threshold: float, blocks: int):
                 out.append(pd.DataFrame({"node": None, "n": None, "a": a, "b": b}))
         out = [o for o in out if len(o)]
         found = pd.concat(out) if out else pd.DataFrame({"node": [], "n": [], "a": [], "b": []})
-        return found.astype({c: "Int64" for c in found.columns})
+        return found.astype({"n": "Int64"})
 
     return work
 
@@ -151,8 +151,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     keyed = rows.withColumn("key", F.when(F.col("usable"), F.md5(F.concat_ws("|", "label", F.array_join(F.transform("v", lambda c: (c + F.lit(0.0)).cast("string")), ",")))))
     keyed = materialize(keyed.select("vec_id", "usable", "key", "label", F.when(F.col("usable"), F.col("v")).alias("v")), "vectors")
     classes = keyed.filter("usable").groupBy("key").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
-    # node numbers: 63 bits of the key would do, but the key's exact text joins them back
-    classes = materialize(classes.withColumn("node", F.conv(F.substring("key", 1, 15), 16, 10).cast("long")), "classes")
+    classes = materialize(classes.withColumn("node", F.col("key")), "classes")
     counts = classes.groupBy("label").agg(F.count("*").alias("in_label"))
     slices = F.least(F.ceil(F.col("in_label") / SLICE), F.greatest(F.lit(MANY), F.ceil(F.col("in_label") / LARGE)))
     tasks = classes.join(counts, "label").withColumn("slices", slices.cast("int"))
@@ -173,7 +172,7 @@ def near_duplicates(vectors: DataFrame, vec: str = "vec_id", embedding: str = "e
     tasks = tasks.select(F.concat_ws(":", "bucket", "p.i").alias("left"), F.col("p.j").cast("string").alias("right"), "label", "dims", "node", "size", "v", F.col("p.side").alias("side"))
     # few bytes make much work: the number of partitions is set, or they would be joined for their small size
     tasks = tasks.repartition(min(MOST_PARTS, max(1, total // PART_VECTORS)), "left", "right")
-    found = tasks.groupBy("left", "right").applyInPandas(_work(threshold, blocks), "node long, n long, a long, b long")
+    found = tasks.groupBy("left", "right").applyInPandas(_work(threshold, blocks), "node string, n long, a string, b string")
     found = materialize(found, "embedding-links")
     links = found.filter("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.filter("a IS NOT NULL").select("a", "b"))
