@@ -9,8 +9,9 @@ from corvane.functions import text as T
 
 BUDGET = 4000
 SEPARATOR = "\n\n"
-#: Tokens of a page's head at least: its marks, a place, a colon and two lines are twelve characters.
-LEAST = 12 // T.CHARS_PER_TOKEN
+#: Tokens of a page with a head and a source at least: the head's marks, a place, a colon and two lines are twelve
+#: characters, the source's fences, language and line ends ten more.
+LEAST = 22 // T.CHARS_PER_TOKEN
 
 
 def _some(column: str) -> Column:
@@ -50,14 +51,14 @@ def pack(ranked: DataFrame, budget: int | None = None, with_calls: bool = False)
     form, and nothing follows it. The blank lines between pages don't count.
     A budget of 0 or None means the usual one.
 
-    A page with a head has ``LEAST`` tokens or more, so a context can't reach beyond the first ``limit // LEAST`` of
-    them and one more. All later ones are left out before a text is made or a row is moved: each task passes on that many
-    rows a query at most, and the running sum of a query of any length is over so many. (Pages without a file or
-    lines have no head and may have no tokens; they stay.)
+    A page with a head and a source has ``LEAST`` tokens or more, so a context can't reach beyond the first
+    ``limit // LEAST`` of them and one more. All later ones are left out before a text is made or a row is moved: each task passes on that many
+    rows a query at most, and the running sum of a query of any length is over so many. (Pages without a file,
+    lines or source may have no tokens; they stay.)
     """
     limit = budget or BUDGET
     place = F.col("rank") + 1
-    headed = F.col("file_path").isNotNull() & F.col("line_start").isNotNull() & F.col("line_end").isNotNull()
+    headed = F.col("file_path").isNotNull() & F.col("line_start").isNotNull() & F.col("line_end").isNotNull() & F.col("source_code").isNotNull()
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     ranked = ranked.filter(headed).withColumn("__at", first).filter(F.col("__at") <= limit // LEAST + 1).drop("__at").unionByName(ranked.filter(~headed))
     rows = ranked.select("query_id", "rank", full_page(place, with_calls).alias("full"), short_page(place).alias("short"))

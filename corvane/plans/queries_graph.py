@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import communities, graph, names
+from corvane.operators import communities, graph, labels, names
 from corvane.sources import adapters as A
 
 QUERIES: dict = {}
@@ -114,6 +114,12 @@ def grf_distances(spark, sf_dir):
     return graph.shortest(seeds, A.geo_edges(spark, sf_dir), 3)
 
 
+@query(f"""WITH RECURSIVE {_GEO.replace("'C' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0", "'N' || n_nationkey AS id FROM nation").replace("c_custkey // 50 % 10", "n_nationkey")}, {_DIST} SELECT * FROM dd""")
+def grf_distance_labels(spark, sf_dir):
+    seeds = A.table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("seed"))
+    return labels.shortest(labels.build(A.geo_edges(spark, sf_dir), 3), seeds)
+
+
 _RANK = """
 ow AS (SELECT src, sum(weight) AS o FROM e GROUP BY src),
 l AS (SELECT e.src, dst, weight / o AS p FROM e JOIN ow USING (src)),
