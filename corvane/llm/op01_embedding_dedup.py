@@ -131,7 +131,7 @@ def _work(threshold: float, blocks: int):
                 out.append(pd.DataFrame({"node": None, "n": None, "a": a, "b": b}))
         out = [o for o in out if len(o)]
         found = pd.concat(out) if out else pd.DataFrame({"node": [], "n": [], "a": [], "b": []})
-        return found.astype({"n": "Int64"})
+        return found.astype({"n": "Int64", "node": object, "a": object, "b": object})
 
     return work
 
