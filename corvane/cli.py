@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--llm", action="store_true")
     a.add_argument("--llm-url", help="a service that answers; the first lines of the prompt without one")
     a.add_argument("--llm-model", default="")
+    a.add_argument("--answer-cache", help="a folder of answers that later runs take instead of asking again")
     a = sub.add_parser("stats")
     a.add_argument("--repo")
     a = sub.add_parser("tree")
@@ -83,7 +84,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             packed = context.pack(hits, with_calls=True).join(queries, "query_id")
             prompts = packed.select("query_id", providers.prompt(F.col("context"), F.col("query")).alias("prompt"))
             provider = providers.HttpChat(args.llm_url, args.llm_model) if args.llm_url else providers.Offline()
-            providers.ask(prompts, provider).select("content").show(1, False)
+            if args.answer_cache:
+                answers = providers.ask_cached(prompts, provider, args.answer_cache, f"{args.llm_url} {args.llm_model}")
+            else:
+                answers = providers.ask(prompts, provider)
+            answers.select("content").show(1, False)
     else:
         runs = evaluate.Ablation(index.pages)
         for name in ("vector", "hybrid"):

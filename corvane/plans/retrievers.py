@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import fusion, graph, lexical, symbols, vector
+from corvane.operators import ann, fusion, graph, lexical, symbols, vector
 from corvane.sources.store import Index
 from corvane.storage import materialize
 
@@ -38,16 +38,21 @@ def _symbol_ids(index: Index) -> DataFrame:
 
 
 class VectorRetriever:
+    """Nearest vectors: exact ones, or by an approximate index (``ann.build`` of the index's embeddings) where one is given."""
+
     name = "vector"
 
-    def __init__(self, index: Index, embedder: vector.Embedder, clamp: bool = True) -> None:
-        self.index, self.embedder, self.clamp = index, embedder, clamp
+    def __init__(self, index: Index, embedder: vector.Embedder, clamp: bool = True, approximate: ann.Index | None = None) -> None:
+        self.index, self.embedder, self.clamp, self.approximate = index, embedder, clamp, approximate
 
     def embed_queries(self, queries: DataFrame) -> DataFrame:
         return vector.embed(queries, self.embedder, "query_id", "query")
 
     def retrieve(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        return vector.knn(self.index.embeddings, self.embed_queries(queries), k, self.clamp)
+        if self.approximate is None:
+            return vector.knn(self.index.embeddings, self.embed_queries(queries), k, self.clamp)
+        hits = ann.search(self.approximate, self.embed_queries(queries), k)
+        return hits.withColumn("score", F.greatest(F.lit(0.0), "score")) if self.clamp else hits
 
 
 class VectorlessRetriever:
