@@ -38,8 +38,11 @@ Defined results
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +58,8 @@ from . import common
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 #: Ids of a block at most; ids of a file, about, at every size (files are read whole: some 12 MB).
 BLOCK_IDS, FILE_IDS = 64 * 1024, 8_000_000
-#: Texts of an Arrow batch, and words that a task remembers (about 150 bytes each); beyond, it begins anew.
-BATCH_ROWS, CACHE_WORDS = 256, 600_000
+#: Texts of an Arrow batch, and words (some thirty bytes each) that a process remembers at most.
+BATCH_ROWS, CACHE_WORDS = 1024, 1_500_000
 #: Starts of files (16 bytes each) are broadcast up to this number, counted first.
 BROADCAST_FILES = 1_000_000
 MAGIC, HEADER, RUN, BREAK = b"CVT1", struct.Struct("<4sIIII"), np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "u1")]), b"\n"
@@ -77,53 +80,89 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words in small letters without their last mark, and those marks: many words are one so. The tokenizer does both to
+    ASCII texts itself; a word that may hold a special token, which it looks for first, stays as it is."""
+    plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+    low = pc.if_else(plain, pc.ascii_lower(words), words)
+    marked = pc.and_(plain, pc.match_substring_regex(low, "[a-z][.,;:!?]$"))
+    none = pa.scalar("", words.type)
+    return pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low), pc.if_else(marked, pc.utf8_slice_codeunits(low, -1), none)
+
+
+def _spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``flat``, one behind the other; where each ends, from 0."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
 class Encoder:
-    """Ids of texts. ``path`` None: the default vocabulary, where this machine has it."""
+    """Ids of texts. ``path`` None: the default vocabulary, where this machine has it.
+
+    Words met before are kept as one Arrow array and their ids as one numpy array, some thirty bytes a word;
+    beyond ``CACHE_WORDS`` the first half stays, which has the frequent ones.
+    """
 
     def __init__(self, path: str | None = None, words_apart: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words_apart = Tokenizer.from_file(path or tokenizer_path()), words_apart
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held, self.ends, self.size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64), 0
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for begin in range(0, len(words), 4096):
-            part = words[begin : begin + 4096]
-            for word, ids in zip(part, self._library(part), strict=True):
-                n = len(self.known)
-                while self.size + len(ids) > len(self.held):
-                    self.held = np.concatenate([self.held, np.zeros_like(self.held)])
-                if n + 1 >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.held[self.size : self.size + len(ids)] = ids
-                self.size += len(ids)
-                self.known[word], self.ends[n + 1] = n, self.size
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        ids, n = array("I"), []
+        for begin in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[begin : begin + 4096], add_special_tokens=False):
+                n.append(len(e))
+                ids.extend(e.ids)
+        return np.array(ids, dtype=np.uint32), np.array(n, dtype=np.int64)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words stand among those that are kept; new ones are added."""
+        if len(self.words) + len(words) > CACHE_WORDS:
+            half = min(len(self.words), CACHE_WORDS // 2)
+            self.words, self.ends = pa.concat_arrays([self.words.slice(0, half)]), self.ends[: half + 1].copy()
+            self.ids = self.ids[: self.ends[-1]].copy()
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            ids, n = self._library(new.to_pylist())
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            self.ids, self.words = np.concatenate([self.ids, ids]), pa.concat_arrays([self.words, new])
+        return place
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("").cast(pa.large_string())
         if not self.words_apart:
-            return [np.array(ids, dtype=np.uint32) for ids in self._library([t or "" for t in texts])]
+            flat, n = self._library(texts.to_pylist())
+            return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
         # U+001C to U+001F are no white space to the tokenizer's pattern, nor to this split
-        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
-        found = split.flatten().dictionary_encode()
-        words = found.dictionary.to_pylist()
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self._forget()
-        self._learn([w for w in words if w not in self.known])
-        place = np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))[found.indices.to_numpy()] if words else np.zeros(0, dtype=np.int64)
-        first, n = self.ends[place], self.ends[place + 1] - self.ends[place]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = self.held[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        stems, marks = (part.dictionary_encode() for part in _parts(words.dictionary))
+        both = pa.concat_arrays([stems.dictionary, marks.dictionary]).unique()
+        place = self._places(both)
+        which = [place[pc.index_in(x.dictionary, value_set=both).to_numpy()][x.indices.to_numpy()] if len(x) else np.zeros(0, dtype=np.int64) for x in (stems, marks)]
+        # stems and marks by turns, then the words' occurrences
+        turns = np.stack(which, axis=1).reshape(-1)
+        ids, ends = _spread(self.ids, self.ends[turns], self.ends[turns + 1] - self.ends[turns])
+        begin, chosen = ends[::2], words.indices.to_numpy()
+        flat, ends = _spread(ids, begin[:-1][chosen], np.diff(begin)[chosen])
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str | None, words_apart: bool) -> Encoder:
+    """This process's encoder: the words that it knows outlive a task."""
+    return Encoder(path, words_apart)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Ids between two jobs: 16 bits each where all fit, and 32 where not, told apart by a byte, compressed."""
     import zstandard
@@ -143,10 +182,10 @@ def _encode(path: str | None, words_apart: bool, end_id: int | None):
     names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = Encoder(path, words_apart), np.zeros(1 << 16, dtype=np.int64)
+        encoder, counts = _encoder(path, words_apart), np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             end = [] if end_id is None else [end_id]
-            found = [np.concatenate([ids, np.array(end, dtype=np.uint32)]) for ids in encoder.encode(batch.column("text").to_pylist())]
+            found = [np.concatenate([ids, np.array(end, dtype=np.uint32)]) for ids in encoder.encode(batch.column("text"))]
             seen = np.bincount(np.concatenate(found).astype(np.int64)) if found else counts[:0]
             if len(seen) > len(counts):
                 counts = np.concatenate([counts, np.zeros(len(seen) - len(counts), dtype=np.int64)])
