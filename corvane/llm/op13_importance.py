@@ -49,7 +49,7 @@ from . import common
 
 BUCKETS, MAX_N, MIN_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Bytes of text in one DuckDB statement, about; rows of an Arrow batch; DuckDB's memory.
-SLICE_BYTES, BATCH_ROWS, DUCKDB_MEMORY = 2 * 1024 * 1024, 256, "600MB"
+SLICE_BYTES, BATCH_ROWS, DUCKDB_MEMORY = 1024 * 1024, 128, "400MB"
 #: All that is no word, as a class of a regular expression.
 OUTSIDE = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: The same before A-Z are lower-cased.
