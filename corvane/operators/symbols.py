@@ -6,6 +6,8 @@ names to look up: query_id, ident.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,52 +32,81 @@ def lookup(idents: DataFrame, symbols: DataFrame) -> DataFrame:
     return idents.select("query_id", "ident").distinct().join(keys, "ident").select("query_id", "ident", "symbol_id")
 
 
+def _lower(c: Column | str) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _grams(text: Column) -> Column:
-    """Distinct runs of three letters, none of a shorter text."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, 3))
-    return F.array_distinct(F.filter(every, lambda g: F.length(g) == 3))
+    """Distinct runs of one to three letters."""
+
+    def runs(size: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, size))
+        return F.filter(every, lambda g: F.length(g) == size)
 
+    return F.array_distinct(F.flatten(F.array(runs(1), runs(2), runs(3))))
 
-def named(symbols: DataFrame, idents: DataFrame) -> DataFrame:
+
+@dataclass
+class NameIndex:
+    """Distinct names by the runs of one to three letters that they hold.
+
+    grams: gram, name, qualified_name. counts: gram, n (names under it). It
+    is saved with the other tables of a repository; lookups read it and build
+    nothing.
+    """
+
+    grams: DataFrame
+    counts: DataFrame
+
+
+def name_index(symbols: DataFrame) -> NameIndex:
+    """The index of all names. A symbol without a name is left out; a null qualified name holds nothing."""
+    pairs = symbols.select("name", "qualified_name").distinct().filter("name IS NOT NULL OR qualified_name IS NOT NULL")
+    grams = pairs.select(F.explode(_grams(_lower(F.concat_ws("\n", "name", "qualified_name")))).alias("gram"), "name", "qualified_name")
+    return NameIndex(grams, grams.groupBy("gram").agg(F.count("*").alias("n")))
+
+
+def named(symbols: DataFrame, idents: DataFrame, index: NameIndex | None = None) -> DataFrame:
     """(ident, name, qualified_name) of the distinct names that hold an ident (column ident, distinct).
 
-    A trigram index: an ident is looked up under the rarest trigram of its
-    literal parts, and what stands there is tested. Idents without three
-    letters in a row are tested with all names.
+    An ident is looked up under the rarest gram of its literal parts (a run
+    of three letters where it has one, down to a single letter), and what
+    stands there is tested. An ident of wildcards alone asks for a length:
+    such idents are one for each length when they meet the names.
     """
-    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    pairs = symbols.select("name", "qualified_name").distinct()
+    index = index or name_index(symbols)
     holds = like(F.col("name"), F.col("ident")) | like(F.col("qualified_name"), F.col("ident"))
-    index = pairs.select("name", "qualified_name", F.explode(_grams(lower(F.concat_ws("\n", "name", "qualified_name")))).alias("gram"))
-    literal = F.split(lower(F.col("ident")), r"[_%\\]")
+    literal = F.split(_lower(F.col("ident")), "[_%]")
     asked = idents.select("ident", F.array_distinct(F.flatten(F.transform(literal, _grams))).alias("grams"))
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
-    under = asked.select("ident", F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    under = asked.select("ident", F.explode("grams").alias("gram")).join(index.counts, "gram", "left")
     under = under.groupBy("ident").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
-    found = index.join(under, "gram").filter(holds)
-    rest = pairs.join(asked.filter(F.size("grams") == 0), holds)  # no equality: the smaller side goes to all, where it is small
+    found = index.grams.join(under, "gram").filter(holds)
+    wild = asked.filter(F.size("grams") == 0).select("ident", (F.length("ident") - F.length(F.replace("ident", F.lit("_"), F.lit("")))).alias("least"))
+    longest = F.greatest(F.coalesce(F.length("name"), F.lit(-1)), F.coalesce(F.length("qualified_name"), F.lit(-1)))
+    pairs = symbols.select("name", "qualified_name").distinct().withColumn("longest", longest)
+    rest = pairs.join(wild.select("least").distinct(), F.col("longest") >= F.col("least")).join(wild, "least")
     return found.select("ident", "name", "qualified_name").unionByName(rest.select("ident", "name", "qualified_name"))
 
 
-def lookup_fuzzy(idents: DataFrame, symbols: DataFrame, limit: int = FUZZY_LIMIT) -> DataFrame:
+def lookup_fuzzy(idents: DataFrame, symbols: DataFrame, limit: int = FUZZY_LIMIT, index: NameIndex | None = None) -> DataFrame:
     """(query_id, ident, symbol_id, place): names that hold the ident, shorter ones first, ties by id.
 
     Idents are looked up once each, whatever number of queries ask for them.
     Names are looked at once each, too: a name that thousands of symbols share
     is matched once and its symbols are joined back by equality.
     """
-    hits = named(symbols, idents.select("ident").distinct())
+    hits = named(symbols, idents.select("ident").distinct(), index)
     ids = hits.join(symbols.select("name", "qualified_name", "symbol_id"), ["name", "qualified_name"])
     order = Window.partitionBy("ident").orderBy(F.length("name"), "symbol_id")
     best = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("ident", "symbol_id", "place")
     return idents.select("query_id", "ident").distinct().join(best, "ident").select("query_id", "ident", "symbol_id", "place")
 
 
-def exact_else_fuzzy(idents: DataFrame, symbols: DataFrame, used: int = FUZZY_USED) -> DataFrame:
+def exact_else_fuzzy(idents: DataFrame, symbols: DataFrame, used: int = FUZZY_USED, index: NameIndex | None = None) -> DataFrame:
     """(query_id, ident, symbol_id, weight): exact hits, and the first fuzzy ones of idents without any exact hit."""
     exact = lookup(idents, symbols)
     missing = idents.join(exact, ["query_id", "ident"], "left_anti")
-    fuzzy = lookup_fuzzy(missing, symbols).filter(F.col("place") <= used)
+    fuzzy = lookup_fuzzy(missing, symbols, index=index).filter(F.col("place") <= used)
     return exact.withColumn("weight", F.lit(EXACT_WEIGHT)).unionByName(fuzzy.drop("place").withColumn("weight", F.lit(FUZZY_WEIGHT)))
 
 
@@ -85,10 +116,10 @@ def page_scores(hits: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "page_id").agg(F.first("symbol_id").alias("symbol_id"), F.sum("weight").alias("score"))
 
 
-def search(queries: DataFrame, symbols: DataFrame, k: int = 10) -> DataFrame:
+def search(queries: DataFrame, symbols: DataFrame, k: int = 10, index: NameIndex | None = None) -> DataFrame:
     """(query_id, symbol_id, match_count, rank) of symbols whose names hold a word (three letters or more) of the query."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split("query", r"\s+"), lambda w: F.length(w) > 2))).alias("ident"))
-    hits = named(symbols, words.select("ident").distinct())
+    hits = named(symbols, words.select("ident").distinct(), index)
     ids = hits.join(words, "ident").select("query_id", "name", "qualified_name").distinct().join(symbols.select("name", "qualified_name", "symbol_id"), ["name", "qualified_name"])
     order = Window.partitionBy("query_id").orderBy(F.length("name"), "symbol_id")
     ranked = ids.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)

@@ -34,7 +34,10 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Deterministic vectors without a model: signed hashes of words."""
+    """Deterministic vectors without a model: each word adds one, or takes one, at the place that its MD5 names.
+
+    The first 15 hex digits name the place, the sixteenth the sign (8 and above: plus).
+    """
 
     def __init__(self, dimension: int = DIMENSION) -> None:
         self.dimension = dimension
@@ -43,8 +46,8 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dimension))
         for i, text in enumerate(texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-                out[i, h % self.dimension] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
+                out[i, int(h[:15], 16) % self.dimension] += 1.0 if h[15] >= "8" else -1.0
         return out.tolist()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, lexical, pages, vector
+from corvane.operators.symbols import name_index
 from corvane.sources import extract, repository
 from corvane.sources.store import Index
 from corvane.storage import materialize
@@ -19,7 +20,7 @@ def index_of(symbols: DataFrame, files: DataFrame | None = None, embedder: vecto
     text = page_table.select("page_id", pages.searchable_text().alias("text"))
     return Index(
         symbols, page_table, nodes, edges, graph.pagerank(nodes, edges), lexical.build(text, method=method),
-        vector.embed(text, embedder) if embedder is not None else None,
+        vector.embed(text, embedder) if embedder is not None else None, name_index(symbols),
     )
 
 

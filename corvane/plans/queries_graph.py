@@ -125,6 +125,16 @@ ow AS (SELECT src, sum(weight) AS o FROM e GROUP BY src),
 l AS (SELECT e.src, dst, weight / o AS p FROM e JOIN ow USING (src)),
 nn AS (SELECT count(*)::DOUBLE AS n FROM nd)
 """
+#: The same iterations to convergence, as the operator tests it: rk(id, r).
+CONVERGED = """
+pr AS (SELECT 0 AS i, id, 1 / n AS r, NULL::DOUBLE AS change, n FROM nd CROSS JOIN nn UNION ALL
+  SELECT i + 1, id, nr, sum(abs(nr - r)) OVER (), n FROM (
+    SELECT b.i, b.id, b.r, 0.85::DOUBLE * (coalesce(f, 0) + m / b.n) + 0.15::DOUBLE / b.n AS nr, b.change, b.n FROM pr b
+    CROSS JOIN (SELECT coalesce(sum(r), 0) AS m FROM pr ANTI JOIN ow ON src = id)
+    LEFT JOIN (SELECT dst, sum(p * r) AS f FROM l JOIN pr ON id = src GROUP BY dst) ON dst = b.id)
+  WHERE i < 100 AND (change IS NULL OR change >= n * 1e-6)),
+rk AS (SELECT id, CASE WHEN change < n * 1e-6 THEN r ELSE 1 / n END AS r FROM pr WHERE i = (SELECT max(i) FROM pr))
+"""
 
 
 def _rank_sql(iterations: int) -> str:
@@ -144,21 +154,21 @@ def grf_pagerank_fixed(spark, sf_dir):
     return found.select("id", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_GEO}, {_RANK}, {CONVERGED} SELECT id, round(r, 9) AS rank FROM rk")
 def grf_pagerank(spark, sf_dir):
     """To convergence: the number of iterations depends on the data."""
     found = graph.pagerank(A.geo_nodes(spark, sf_dir), A.geo_edges(spark, sf_dir))
     return found.select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"""WITH RECURSIVE {_GEO}, {_BFS}, {_DIST.replace('d < 3', 'd < 2')}, {_RANK}, {_rank_sql(2)},
+@query(f"""WITH RECURSIVE {_GEO}, {_BFS}, {_DIST.replace('d < 3', 'd < 2')}, {_RANK}, {CONVERGED},
 nr AS (SELECT x.query_id, x.id, coalesce(max(1.0::DOUBLE / (dd.dist + 1)), 0) AS near FROM x JOIN seed ON seed.query_id = x.query_id LEFT JOIN dd ON dd.seed = seed.id AND dd.id = x.id GROUP BY ALL)
-SELECT query_id, id AS page_id, round(near * (1 + 100 * r), 6) AS score FROM nr JOIN r2 USING (id)""")
+SELECT query_id, id AS page_id, round(near * (1 + 100 * r), 6) AS score FROM nr JOIN rk USING (id)""")
 def grf_proximity(spark, sf_dir):
     nodes, edges, seeds = A.geo_nodes(spark, sf_dir), A.geo_edges(spark, sf_dir), _seeds(spark, sf_dir)
     near = graph.expand(seeds, edges, nodes.filter("type <> 'file'").select("id"))
     dist = graph.shortest(seeds.select(F.col("id").alias("seed")).distinct(), edges, 2)
-    ranks = graph.pagerank(nodes, edges, iterations=2, tolerance=None)
+    ranks = graph.pagerank(nodes, edges)
     found = graph.proximity(near, seeds, dist, ranks, nodes.select(F.col("id").alias("page_id"), F.col("id").alias("symbol_id")))
     return found.select("query_id", "page_id", F.round("score", 6).alias("score"))
 

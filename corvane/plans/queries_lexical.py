@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators import blockmax, lexical, pages, symbols
 from corvane.sources import adapters as A
+from corvane.sources import store
+from corvane.storage import new_path, stamp
 
 from .queries_text import _PARTS, _STOP, _WORDS
 
@@ -119,6 +121,20 @@ fz AS (SELECT query_id, ident, symbol_id, row_number() OVER (PARTITION BY query_
 """
 
 
+#: Roots of the indexes of names that this driver has written, by application and state of the table.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _names(spark, sf_dir) -> symbols.NameIndex:
+    """The index of the parts' names: written once an application, and read by each look-up."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/part.parquet"))
+    if key not in _WRITTEN:
+        root = new_path(spark, "names")
+        store.save_names(symbols.name_index(A.symbols(spark, sf_dir)), root)
+        _WRITTEN[key] = root
+    return store.load_names(spark, _WRITTEN[key])
+
+
 @query(f"WITH {SYMBOLS}, {IDENTS}, {EXACT} SELECT * FROM ex")
 def sym_lookup_exact(spark, sf_dir):
     return symbols.lookup(A.idents(spark, sf_dir), A.symbols(spark, sf_dir))
@@ -126,7 +142,7 @@ def sym_lookup_exact(spark, sf_dir):
 
 @query(f"WITH {SYMBOLS}, {IDENTS}, {FUZZY} SELECT * FROM fz WHERE place <= 20")
 def sym_lookup_fuzzy(spark, sf_dir):
-    return symbols.lookup_fuzzy(A.idents(spark, sf_dir), A.symbols(spark, sf_dir))
+    return symbols.lookup_fuzzy(A.idents(spark, sf_dir), A.symbols(spark, sf_dir), index=_names(spark, sf_dir))
 
 
 EITHER = f"""{SYMBOLS}, {IDENTS}, {EXACT}, {FUZZY},
@@ -136,13 +152,13 @@ ef AS (SELECT query_id, ident, symbol_id, 1.0::DOUBLE AS weight FROM ex UNION AL
 
 @query(f"WITH {EITHER} SELECT * FROM ef")
 def sym_exact_else_fuzzy(spark, sf_dir):
-    return symbols.exact_else_fuzzy(A.idents(spark, sf_dir), A.symbols(spark, sf_dir))
+    return symbols.exact_else_fuzzy(A.idents(spark, sf_dir), A.symbols(spark, sf_dir), index=_names(spark, sf_dir))
 
 
 @query(f"WITH {EITHER} SELECT query_id, symbol_id AS page_id, sum(weight) AS score FROM ef JOIN sym USING (symbol_id) WHERE type IN ('function', 'class') OR (type = 'variable' AND length(source_code) > 20) GROUP BY ALL")
 def sym_page_scores(spark, sf_dir):
     s = A.symbols(spark, sf_dir)
-    hits = symbols.exact_else_fuzzy(A.idents(spark, sf_dir), s)
+    hits = symbols.exact_else_fuzzy(A.idents(spark, sf_dir), s, index=_names(spark, sf_dir))
     return symbols.page_scores(hits, pages.from_symbols(s)).select("query_id", "page_id", "score")
 
 
@@ -151,7 +167,7 @@ h AS (SELECT DISTINCT query_id, symbol_id, length(name) AS l FROM w JOIN sym ON
 SELECT query_id, symbol_id, 1::INT AS match_count, (row_number() OVER (PARTITION BY query_id ORDER BY l, symbol_id) - 1)::INT AS rank FROM h QUALIFY rank < 10""")
 def sym_search_words(spark, sf_dir):
     q = A.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_name", F.lit("of")).alias("query_id")).distinct()
-    return symbols.search(q.withColumn("query", F.col("query_id")), A.symbols(spark, sf_dir))
+    return symbols.search(q.withColumn("query", F.col("query_id")), A.symbols(spark, sf_dir), index=_names(spark, sf_dir))
 
 
 @query(f"WITH {SYMBOLS} SELECT symbol_id, name, type FROM sym WHERE type = 'class'")

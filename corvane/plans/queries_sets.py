@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import fusion, graph, lexical, pages, vector
+from corvane.operators import fusion, graph, lexical, pages
 from corvane.sources import adapters as A
 from corvane.sources import repository, store
 from corvane.storage import materialize, new_path
 
 from .queries_lexical import WORDS
-from .queries_retrieval import _INDEX, _index
+from .queries_retrieval import _INDEX, DIMENSION, saved_index
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -65,32 +65,22 @@ def snk_round_trip(spark, sf_dir):
     return materialize(A.pages(spark, sf_dir), "pages").select("file_path", "symbol_name", F.length("source_code").alias("n"))
 
 
-# --- an index over the parts' names, saved and loaded again
-
-
-def _loaded(spark, sf_dir) -> store.Index:
-    index, root = _index(spark, sf_dir, 2, None), new_path(spark, "store")
-    text = index.pages.select("page_id", pages.searchable_text().alias("text"))
-    index.embeddings = vector.embed(text, vector.HashingEmbedder(8))
-    store.save(index, root, "parts")
-    if store.repositories(spark, root) != ["parts"]:
-        raise RuntimeError("the saved index is not listed")
-    return store.load(spark, root, "parts")
+# --- an index over the parts' names, saved once and loaded by each query
 
 
 @query(f"WITH {_INDEX} SELECT id::VARCHAR AS symbol_id, name, qn AS qualified_name, type, file_path, code AS source_code, doc AS docstring, sig AS signature FROM sym")
 def snk_symbols(spark, sf_dir):
-    return _loaded(spark, sf_dir).symbols.select("symbol_id", "name", "qualified_name", "type", "file_path", "source_code", "docstring", "signature")
+    return saved_index(spark, sf_dir).symbols.select("symbol_id", "name", "qualified_name", "type", "file_path", "source_code", "docstring", "signature")
 
 
 @query(f"WITH {_INDEX} SELECT doc_id::VARCHAR AS page_id, md5(text) AS digest FROM documents2")
 def snk_pages(spark, sf_dir):
-    return _loaded(spark, sf_dir).pages.select("page_id", F.md5(pages.searchable_text()).alias("digest"))
+    return saved_index(spark, sf_dir).pages.select("page_id", F.md5(pages.searchable_text()).alias("digest"))
 
 
 @query(f"WITH {_INDEX} SELECT 'node' AS kind, id AS a, '' AS b, 0.0::DOUBLE AS weight FROM nd UNION ALL SELECT 'edge', src, dst, weight FROM e")
 def snk_graph(spark, sf_dir):
-    index: store.Index = _loaded(spark, sf_dir)
+    index: store.Index = saved_index(spark, sf_dir)
     nodes = index.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("weight"))
     return nodes.unionByName(index.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight"))
 
@@ -98,13 +88,13 @@ def snk_graph(spark, sf_dir):
 @query(f"""WITH {_INDEX}, t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS t FROM documents2), p AS (SELECT t, doc_id, count(*) AS tf FROM t GROUP BY 1, 2)
 SELECT t AS term, doc_id::VARCHAR AS page_id, tf::INT AS tf, (count(*) OVER (PARTITION BY t))::BIGINT AS df FROM p""")
 def snk_postings(spark, sf_dir):
-    return _loaded(spark, sf_dir).lexical.postings.select("term", "page_id", "tf", "df")
+    return saved_index(spark, sf_dir).lexical.postings.select("term", "page_id", "tf", "df")
 
 
-@query(f"WITH {_INDEX} SELECT doc_id::VARCHAR AS page_id, 8::INT AS dimension, false AS zero FROM documents2")
+@query(f"WITH {_INDEX} SELECT doc_id::VARCHAR AS page_id, {DIMENSION}::INT AS dimension, false AS zero FROM documents2")
 def snk_vectors(spark, sf_dir):
     """Every page has its vector; the hashed words in it are compared in a test."""
-    found = _loaded(spark, sf_dir).embeddings
+    found = saved_index(spark, sf_dir).embeddings
     return found.select("page_id", F.size("embedding").alias("dimension"), (~F.exists("embedding", lambda x: x != 0)).alias("zero"))
 
 
@@ -140,3 +130,12 @@ def src_language(spark, sf_dir):
     ending = F.element_at(endings, (F.col("page_id") % 12 + 1).cast("int"))
     path = F.concat(F.lit("src/a.b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, F.upper(ending)).otherwise(ending))
     return A.table(spark, sf_dir, "pages").select("page_id", repository.language(path).alias("language"))
+
+
+@query(f"""WITH {_INDEX}, t AS (SELECT DISTINCT name, qn, lower(concat_ws(chr(10), name, qn)) AS t FROM sym),
+g AS (SELECT DISTINCT name, qn, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, greatest(length(t) - k, 0) + 2), lambda i: t[i:i + k - 1])))) AS gram, t FROM t)
+SELECT gram, name, qn AS qualified_name, (count(*) OVER (PARTITION BY gram))::BIGINT AS n FROM g WHERE gram <> ''""")
+def snk_names(spark, sf_dir):
+    """The saved index of names, with the number of names under each run of letters."""
+    names = saved_index(spark, sf_dir).names
+    return names.grams.join(names.counts, "gram")

@@ -68,7 +68,7 @@ class VectorlessRetriever:
         s, x = self.settings, self.index
         expanded = materialize(providers.expand(queries, self.provider), "expanded")
         idents = expanded.select("query_id", F.explode(F.array_distinct("idents")).alias("ident"))
-        hits = symbols.exact_else_fuzzy(idents, x.symbols)
+        hits = symbols.exact_else_fuzzy(idents, x.symbols, index=x.names)
         by_page = materialize(symbols.page_scores(hits, x.pages), "symbol-hits")
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "page_id")
         by_page = by_page.withColumn("rank", F.row_number().over(order) - 1)

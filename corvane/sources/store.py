@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from corvane.operators import pages as page_ops
 from corvane.operators.lexical import LexicalIndex
+from corvane.operators.symbols import NameIndex
 
 
 @dataclass
 class Index:
-    """All tables of one repository; embeddings may be missing."""
+    """All tables of one repository; embeddings and the index of names may be missing."""
 
     symbols: DataFrame
     pages: DataFrame
@@ -25,6 +26,7 @@ class Index:
     pagerank: DataFrame
     lexical: LexicalIndex
     embeddings: DataFrame | None = None
+    names: NameIndex | None = None
 
 
 _PLAIN = ("symbols", "pages", "nodes", "edges", "pagerank", "embeddings")
@@ -61,7 +63,7 @@ def save(index: Index, root: str, name: str) -> int:
     All tables go to a folder of their own. Then a manifest is written beside the others and
     renamed to the version's number: until that one step readers see the version before, whole, and a save that
     is broken off leaves a folder that nothing refers to (``vacuum`` removes it). Of two saves at a time one fails.
-    Postings are clustered by term, so that a query reads few row groups.
+    Postings are clustered by term and names by gram, so that a query reads few row groups.
     """
     base, spark = f"{root.rstrip('/')}/{name}", index.symbols.sparkSession
     number, folder = max(versions(spark, root, name), default=0) + 1, f"data-{uuid.uuid4().hex}"
@@ -73,7 +75,9 @@ def save(index: Index, root: str, name: str) -> int:
         df = getattr(index.lexical, table)
         df = df.repartitionByRange("term").sortWithinPartitions("term") if table == "postings" else df
         df.write.parquet(f"{base}/{folder}/lexical_{table}")
-    manifest = {"folder": folder, "tables": [t for t in _PLAIN if getattr(index, t) is not None], "method": index.lexical.method, "tokenizer": index.lexical.tokenizer}
+    if index.names is not None:
+        save_names(index.names, f"{base}/{folder}/names")
+    manifest = {"folder": folder, "tables": [t for t in _PLAIN if getattr(index, t) is not None], "names": index.names is not None, "method": index.lexical.method, "tokenizer": index.lexical.tokenizer}
     draft, fs = _hadoop(spark, f"{base}/{VERSIONS}/.draft-{uuid.uuid4().hex}")
     out = fs.create(draft)
     out.write(json.dumps(manifest).encode("utf-8"))
@@ -85,6 +89,16 @@ def save(index: Index, root: str, name: str) -> int:
     return number
 
 
+def save_names(names: NameIndex, path: str) -> None:
+    """The tables of an index of names, clustered by gram; one row a run of letters in ``counts``."""
+    names.grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
+    names.counts.write.parquet(f"{path}/counts")
+
+
+def load_names(spark: SparkSession, path: str) -> NameIndex:
+    return NameIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("grams", "counts")])
+
+
 def _manifest(spark: SparkSession, base: str, number: int) -> dict:
     return json.loads(spark.read.option("wholetext", True).text(f"{base}/{VERSIONS}/{number:020d}.json").first()[0])
 
@@ -103,7 +117,8 @@ def load(spark: SparkSession, root: str, name: str, version: int | None = None)
     if read["pages"] is None:
         read["pages"] = page_ops.build(read["symbols"])
     lexical = LexicalIndex(*[spark.read.parquet(f"{folder}/lexical_{t}") for t in _LEXICAL], method=manifest["method"], tokenizer=manifest["tokenizer"])
-    return Index(lexical=lexical, **read)
+    names = load_names(spark, f"{folder}/names") if manifest.get("names") else None
+    return Index(lexical=lexical, names=names, **read)
 
 
 def vacuum(spark: SparkSession, root: str, name: str, keep: int = 1) -> list[str]:

@@ -66,6 +66,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a table's state: the names, lengths and times of its files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _remove(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

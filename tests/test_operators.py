@@ -242,3 +242,17 @@ def test_hybrid_fuses_its_three_lists(spark):
             want[p] += 1 / (61 + r)
     best = sorted(want.items(), key=lambda x: (-round(x[1], 9), x[0]))[:2]
     assert [(r.page_id, r.score) for r in found.collect()] == [(p, round(v, 9)) for p, v in best]
+
+
+def test_names_by_an_index(spark):
+    names = ["Route", "ro", "R", "é_1", "a\\b", "xaby", "x%y", "", None, "add_route", "Zed"]
+    s = spark.createDataFrame([(str(i), n, None if i % 3 == 0 else f"pkg.{n}" if n is not None else None, "class") for i, n in enumerate(names)], "symbol_id string, name string, qualified_name string, type string")
+    asked = ["r", "RO", "o_t", "_", "__", "%", "", "é", "\\", "a\\", "x%y", "_%_", "zzz", "_____", "k.R", None]
+    ids = spark.createDataFrame([(a,) for a in asked], "ident string")
+    index = symbols.name_index(s)
+    found = sorted(map(tuple, symbols.named(s, ids, index).collect()), key=str)
+    every = s.select("name", "qualified_name").distinct().join(ids, symbols.like(F.col("name"), F.col("ident")) | symbols.like(F.col("qualified_name"), F.col("ident")))
+    assert found == sorted(map(tuple, every.select("ident", "name", "qualified_name").collect()), key=str) and len(found) > 60
+    plan = symbols.named(s, ids.filter("ident LIKE '%r%'"), index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan
+    assert symbols.named(s.limit(0), ids).count() == 0 and symbols.named(s, ids.limit(0), index).count() == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import cli
-from corvane.operators import graph, pages
+from corvane.operators import graph, pages, symbols
 from corvane.operators.vector import HashingEmbedder
 from corvane.plans import ingest
 from corvane.sources import extract, javascript, repository, store
@@ -155,3 +155,15 @@ def test_two_saves_at_a_time(spark, ingested, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "versions", lambda *_: [])  # the other one hadn't committed when this one began
     with pytest.raises(store.SaveConflict):
         store.save(index, str(tmp_path), "app")
+
+
+def test_saved_names_are_what_look_ups_read(spark, ingested, tmp_path):
+    index, _ = ingested
+    store.save(index, str(tmp_path), "r")
+    back = store.load(spark, str(tmp_path), "r")
+    assert sorted(map(tuple, back.names.grams.collect())) == sorted(map(tuple, index.names.grams.select(back.names.grams.columns).collect()))
+    ids = spark.createDataFrame([("q", "mod"), ("q", "siz_"), ("q", "s")], "query_id string, ident string")
+    want = sorted(map(tuple, symbols.lookup_fuzzy(ids, index.symbols).collect()))
+    assert want and sorted(map(tuple, symbols.lookup_fuzzy(ids, back.symbols, index=back.names).collect())) == want
+    store.save(dataclasses.replace(index, names=None), str(tmp_path), "r")
+    assert store.load(spark, str(tmp_path), "r").names is None
