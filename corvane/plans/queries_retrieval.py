@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import ann, context, evaluate, fusion, graph, lexical, pages, symbols, vector
@@ -322,13 +322,20 @@ def evl_interleaved(spark, sf_dir):
 
 
 
+def _steps(name) -> Column:
+    """None to three further functions, by the part's size."""
+    number = F.col("p_size") % 4
+    step = lambda i: F.format_string("\n\ndef step_%1$d(x: Kind_%1$d = %1$d):\n    return make_%2$s(x).go_%1$d()\n", i, name)
+    return F.when(number > 0, F.array_join(F.transform(F.sequence(F.lit(1), number), step), "")).otherwise("")
+
+
 def _files(spark, sf_dir, language: str) -> DataFrame:
     p = A.table(spark, sf_dir, "part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     if language == "python":
         code = F.concat(
             F.lit("import os, sys\nfrom base import Root\n\n\nclass "), F.initcap(name), F.lit('(Root):\n    """The '), "p_name", F.lit('."""\n\n    def size(self, by: Unit = None) -> int:\n        return make('),
-            F.col("p_size").cast("string"), F.lit(").of(by)\n\n\ndef make_"), name, F.lit("(kind: Kind, *rest):\n    return "), F.initcap(name), F.lit("(kind)\n\n\nLIMIT_"), F.upper(name), F.lit(" = "), F.col("p_size").cast("string"), F.lit("\n"),
+            F.col("p_size").cast("string"), F.lit(").of(by)\n\n\ndef make_"), name, F.lit("(kind: Kind, *rest):\n    return "), F.initcap(name), F.lit("(kind)\n\n\nLIMIT_"), F.upper(name), F.lit(" = "), F.col("p_size").cast("string"), F.lit("\n"), _steps(name),
         )
     else:
         code = F.concat(F.lit("import { a } from './a';\n\nclass "), F.initcap(name), F.lit(" extends Root {\n  size(x) { return make(x); }\n}\n\nconst make"), F.initcap(name), F.lit(" = (x) => {\n  return build(x).of(x);\n};\n\nfunction use_"), name, F.lit("(y) {\n  return other(y);\n}\n"))
@@ -342,12 +349,12 @@ def _extracted(spark, sf_dir, language):
     return s.select("symbol_id", "file_path", "name", "qualified_name", "type", "line_start", "line_end", F.coalesce("signature", F.lit("")).alias("signature"), F.array_join("calls", ",").alias("calls"))
 
 
-def _ext_sql(rows: list[tuple], suffix: str) -> str:
+def _ext_sql(rows: list[tuple], suffix: str, more: str = "") -> str:
     parts = " UNION ALL ".join(
         f"SELECT 'src/' || p_partkey || '.{suffix}' AS file_path, {name} AS name, {qualified} AS qualified_name, '{kind}' AS type, {a}::INT AS line_start, {b}::INT AS line_end, {signature} AS signature, {calls} AS calls FROM n"
         for name, qualified, kind, a, b, signature, calls in rows
     )
-    return f"""WITH n AS (SELECT *, replace(p_name, ' ', '_') AS s, upper(p_name[1]) || replace(p_name, ' ', '_')[2:] AS c FROM part), r AS ({parts})
+    return f"""WITH n AS (SELECT *, replace(p_name, ' ', '_') AS s, upper(p_name[1]) || replace(p_name, ' ', '_')[2:] AS c FROM part), r AS ({parts}{more})
 SELECT substr(sha256(file_path || '::' || qualified_name || '::' || line_start), 1, 16) AS symbol_id, * FROM r"""
 
 
@@ -357,7 +364,7 @@ SELECT substr(sha256(file_path || '::' || qualified_name || '::' || line_start),
     ("'size'", "c || '.size'", "method", 8, 9, "'def size(self, by: Unit = None) -> int'", "'of,make'"),
     ("'os'", "'os'", "import", 1, 1, "''", "''"), ("'base'", "'base'", "import", 2, 2, "''", "''"),
     ("'LIMIT_' || upper(s)", "'LIMIT_' || upper(s)", "variable", 16, 16, "''", "''"),
-], "py"))
+], "py", " UNION ALL SELECT 'src/' || p_partkey || '.py', 'step_' || i, 'step_' || i, 'function', (15 + 4 * i)::INT, (16 + 4 * i)::INT, 'def step_' || i || '(x: Kind_' || i || ' = ' || i || ')', 'go_' || i || ',make_' || s FROM (SELECT *, unnest(range(1, p_size % 4 + 1)) AS i FROM n)"))
 def ext_python_symbols(spark, sf_dir):
     return _extracted(spark, sf_dir, "python")
 

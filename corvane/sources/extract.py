@@ -1,4 +1,8 @@
-"""Files to symbols: Python by its own syntax tree, JavaScript by a small scanner.
+"""Files to symbols: Python by the flat nodes of its syntax tree, JavaScript by a small scanner.
+
+A task only reads a Python file into rows (definitions, their parts, calls);
+which node belongs to which symbol, and what a symbol holds, is worked out by
+a window and an aggregate over these rows.
 
 One row a symbol, in the order functions, classes with their methods, imports,
 variables. Only what stands directly in a module counts; calls within nested
@@ -9,11 +13,10 @@ the others, and one row in ``errors()`` for the first fault.
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -53,67 +56,6 @@ def _callee(node: ast.expr) -> str | None:
     return node.id if isinstance(node, ast.Name) else None
 
 
-def _calls(node: ast.AST) -> list[str]:
-    """Names called within a definition, first occurrences, outer calls before inner ones; decorators don't count."""
-    found: list[str] = []
-
-    def walk(n: ast.AST) -> None:
-        if isinstance(n, ast.Call) and (name := _callee(n.func)):
-            found.append(name)
-        for child in ast.iter_child_nodes(n):
-            walk(child)
-
-    own = set(map(id, node.decorator_list))
-    if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-        walk(node.args)
-        if node.returns:
-            walk(node.returns)
-    for child in ast.iter_child_nodes(node):
-        if id(child) not in own and not isinstance(child, ast.arguments) and child is not getattr(node, "returns", None):
-            walk(child)
-    return list(dict.fromkeys(found))
-
-
-def _docstring(source: _Source, node: ast.AST) -> str | None:
-    first = node.body[0] if node.body else None
-    if not (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)):
-        return None
-    raw = source.of(first.value)
-    for quotes in ('"""', "'''"):
-        if raw.startswith(quotes) and raw.endswith(quotes):
-            return raw[3:-3].strip()
-    return raw.strip("\"'").strip()
-
-
-def _parameters(source: _Source, args: ast.arguments) -> tuple[list[str], list[str]]:
-    """Parameters as they are written, and the words of their annotations."""
-    written, hints = [], []
-    plain = args.posonlyargs + args.args
-    defaults = [None] * (len(plain) - len(args.defaults)) + list(args.defaults)
-    every = [(a, d, "") for a, d in zip(plain, defaults, strict=True)]
-    every += [(args.vararg, None, "*")] if args.vararg else []
-    every += [(a, d, "") for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True)]
-    every += [(args.kwarg, None, "**")] if args.kwarg else []
-    for arg, default, stars in every:
-        last = default or arg
-        written.append(stars + source.cut(arg.lineno, arg.col_offset, last.end_lineno, last.end_col_offset))
-        if arg.annotation is not None:
-            hints += [w for w in re.findall(r"[a-zA-Z_]\w*", source.of(arg.annotation)) if w not in PLAIN_TYPES]
-    return written, hints
-
-
-def _row(kind: str, name: str, node: ast.AST, source: _Source, **more) -> dict:
-    return {"kind": kind, "name": name, "line_start": node.lineno, "line_end": node.end_lineno, "source_code": source.of(node)} | more
-
-
-def _function(node, source: _Source, parent: str | None = None) -> dict:
-    parameters, hints = _parameters(source, node.args)
-    return _row(
-        "function", node.name, node, source, parent=parent, docstring=_docstring(source, node), parameters=parameters, type_hints=hints, calls=_calls(node),
-        returns=source.of(node.returns) if node.returns else None, decorators=[source.of(d).strip() for d in node.decorator_list],
-    )
-
-
 #: Faulty lines of one file that are set aside at most; with more, the file has no symbols.
 MAX_FAULTS = 200
 
@@ -140,45 +82,173 @@ def parse(text: str) -> tuple[ast.Module, list[SyntaxError]]:
             lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + "pass"
 
 
-def python_symbols(text: str) -> list[dict]:
-    tree, faults = parse(text)
-    source = _Source(text)
-    errors = [_error(faults[0])] if faults else []
-    functions, classes, imports, variables = [], [], [], []
-    for node in tree.body:
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            functions.append(_function(node, source))
-        elif isinstance(node, ast.ClassDef):
-            bases = [source.of(b) for b in node.bases if isinstance(b, ast.Name | ast.Attribute)]
-            classes.append(_row("class", node.name, node, source, docstring=_docstring(source, node), base_classes=bases, decorators=[source.of(d).strip() for d in node.decorator_list]))
-            classes += [_function(n, source, node.name) for n in node.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+class _Nodes:
+    """The nodes of a file that symbols are made of, in the order of the tree: a row holds the rows up to ``last``."""
+
+    def __init__(self, text: str) -> None:
+        self.rows: list[tuple] = []
+        tree, faults = parse(text)
+        self.source = _Source(text)
+        for node in tree.body:
+            self.statement(node)
+        if faults:
+            self.rows.append(_fault(faults[0], len(self.rows)))
+
+    def add(self, kind: str, name: str | None = None, node: ast.AST | None = None, text: str | None = None) -> None:
+        n = len(self.rows)
+        self.rows.append((n, n, kind, name, node and node.lineno, node and node.end_lineno, text))
+
+    def written(self, kind: str, node: ast.AST | None) -> None:
+        if node is not None:
+            self.add(kind, text=self.source.of(node))
+
+    def statement(self, node: ast.stmt) -> None:
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            self.definition(node)
         elif isinstance(node, ast.Import):
-            first = node.names[0]
-            imports.append(_row("import", first.name + (f" as {first.asname}" if first.asname else ""), node, source, names=[]))
-        elif isinstance(node, ast.ImportFrom) and not (node.module == "__future__" and not node.level):
-            imports.append(_row("import", "." * node.level + (node.module or ""), node, source, names=[n.name for n in node.names]))
+            self.add("import", node.names[0].name, node)
+            if node.names[0].asname:
+                self.add("as", node.names[0].asname)
+        elif isinstance(node, ast.ImportFrom):
+            self.add("from", "." * node.level + (node.module or ""), node)
+            for name in node.names:
+                self.add("member", name.name)
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             target = node.targets[0] if isinstance(node, ast.Assign) else node.target
-            if isinstance(target, ast.Name) and not (target.id.startswith("_") and not target.id.startswith("__")):
-                value = source.of(node.value)[:PREVIEW] if node.value is not None else None
-                variables.append(_row("variable", target.id, node, source) | {"source_code": value})
-    return functions + classes + imports + variables + errors
+            if isinstance(target, ast.Name):
+                self.add("variable", target.id, node)
+                self.written("value", node.value)
+
+    def definition(self, node) -> None:
+        at = len(self.rows)
+        self.add("class" if isinstance(node, ast.ClassDef) else "function", node.name, node, self.source.of(node))
+        for d in node.decorator_list:
+            self.written("decorator", d)
+        first = node.body[0]
+        if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+            self.written("docstring", first.value)
+        if isinstance(node, ast.ClassDef):
+            for b in node.bases:
+                if isinstance(b, ast.Name | ast.Attribute):
+                    self.written("base", b)
+            for child in node.body:
+                if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+                    self.definition(child)
+        else:
+            self.parameters(node.args)
+            self.written("returns", node.returns)
+            for part in (node.args, node.returns, *node.body, *getattr(node, "type_params", ())):
+                self.calls(part)
+        self.rows[at] = (at, len(self.rows) - 1, *self.rows[at][2:])
+
+    def parameters(self, args: ast.arguments) -> None:
+        plain = args.posonlyargs + args.args
+        every = [(a, d, "") for a, d in zip(plain, [None] * (len(plain) - len(args.defaults)) + list(args.defaults), strict=True)]
+        every += [(args.vararg, None, "*")] if args.vararg else []
+        every += [(a, d, "") for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True)]
+        every += [(args.kwarg, None, "**")] if args.kwarg else []
+        for arg, default, stars in every:
+            last = default or arg
+            self.add("parameter", text=stars + self.source.cut(arg.lineno, arg.col_offset, last.end_lineno, last.end_col_offset))
+            self.written("annotation", arg.annotation)
+
+    def calls(self, node: ast.AST | None) -> None:
+        if isinstance(node, ast.Call) and (name := _callee(node.func)):
+            self.add("call", name)
+        for child in ast.iter_child_nodes(node) if node is not None else ():
+            self.calls(child)
+
+
+NODE = "file_path string, language string, n int, last int, kind string, name string, line_start int, line_end int, text string"
+
+
+def _fault(fault: Exception, n: int = 0) -> tuple:
+    line = getattr(fault, "lineno", None) or 1
+    return (n, n, "error", type(fault).__name__, line, line, str(fault))
 
 
-def _error(fault: Exception) -> dict:
-    line = getattr(fault, "lineno", None) or 1
-    return {"kind": "error", "name": type(fault).__name__, "source_code": str(fault), "line_start": line, "line_end": line}
+def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in NODE.split(", ")]
+    for batch in batches:
+        rows = []
+        for path, language, text in zip(batch["file_path"], batch["language"], batch["source_code"], strict=True):
+            try:
+                found = _Nodes(text).rows
+            except (SyntaxError, ValueError, RecursionError, MemoryError) as fault:  # the last two: too deeply nested
+                found = [_fault(fault)]
+            rows += [(path, language, *row) for row in found]
+        if rows:
+            yield pd.DataFrame(rows, columns=columns).astype({"line_start": "Int32", "line_end": "Int32"})
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def nodes(files: DataFrame) -> DataFrame:
+    """The flat nodes of Python files; a path stands for one file."""
+    return files.select("file_path", "language", "source_code").mapInPandas(_flat, NODE)
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _unquoted(raw: Column) -> Column:
+    """A docstring without its quotes."""
+    body = F.regexp_replace(raw, "^[\"']+|[\"']+$", "")
+    for quotes in ('"""', "'''"):
+        body = F.when(raw.startswith(quotes) & raw.endswith(quotes), raw.substr(F.lit(4), F.length(raw) - 6)).otherwise(body)
+    return _strip(body)
+
+
+def python_symbols(flat: DataFrame) -> DataFrame:
+    """Raw symbols of flat nodes: one shuffle by file, then each node goes to the definition around it.
+
+    A window gives every node the last symbol and the last class that began
+    before it; it belongs to these where it lies within them. What a symbol
+    holds is then one aggregate of its nodes, in their order.
+    """
+    c = F.col
+    place = F.struct("n", "last", "name", "kind")
+    before = Window.partitionBy("file_path").orderBy("n")
+    symbol = c("kind").isin("function", "class", "import", "from", "variable", "error")
+    near = flat.withColumn("owner", F.last(F.when(symbol, place), ignorenulls=True).over(before)).withColumn("class", F.last(F.when(c("kind") == "class", place), ignorenulls=True).over(before))
+    inside = symbol | (c("n") <= c("owner.last")) | c("owner.kind").isin("import", "from", "variable")
+
+    def one(kind: str, column: str) -> Column:
+        return F.max(F.when(c("kind") == kind, c(column)))
+
+    def every(kind: str, column: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(c("kind") == kind, F.struct("n", c(column).alias("x")))))
+        return F.transform(listed, lambda x: x["x"])
+
+    def own(column: str) -> Column:
+        return F.max(F.when(symbol, c(column)))
+
+    held = near.filter(inside).withColumn("of", c("owner.n")).groupBy("file_path", "language", "of").agg(
+        own("kind").alias("kind"), own("name").alias("name"), own("line_start").alias("line_start"), own("line_end").alias("line_end"), own("text").alias("text"),
+        F.max(F.when((c("kind") == "function") & (c("n") <= c("class.last")), c("class.name"))).alias("parent"), one("docstring", "text").alias("docstring"), one("value", "text").alias("value"),
+        one("as", "name").alias("as"), every("parameter", "text").alias("parameters"), one("returns", "text").alias("returns"), every("call", "name").alias("calls"), every("base", "text").alias("base_classes"),
+        every("decorator", "text").alias("decorators"), every("annotation", "text").alias("annotations"), every("member", "name").alias("names"),
+    )
+    private = (c("kind") == "variable") & c("name").startswith("_") & ~c("name").startswith("__")
+    future = (c("kind") == "from") & (c("name") == "__future__")
+    words = F.flatten(F.transform("annotations", lambda t: F.regexp_extract_all(t, F.lit(r"(?U)[a-zA-Z_]\w*"), F.lit(0))))
+    block = F.when(c("kind") == "error", 4).when(c("kind") == "variable", 3).when(c("kind").isin("import", "from"), 2).when((c("kind") == "class") | c("parent").isNotNull(), 1).otherwise(0)
+    return held.filter(~private & ~future).select(
+        "file_path", "language", (block * F.lit(100_000_000) + c("of")).cast("int").alias("seq"), F.when(c("kind") == "from", F.lit("import")).otherwise(c("kind")).alias("kind"),
+        F.when(c("as").isNotNull(), F.concat("name", F.lit(" as "), "as")).otherwise(c("name")).alias("name"), "parent", "line_start", "line_end",
+        F.when(c("kind") == "variable", F.substring("value", 1, PREVIEW)).otherwise(c("text")).alias("source_code"), _unquoted(c("docstring")).alias("docstring"), "parameters", "returns",
+        F.array_distinct("calls").alias("calls"), "base_classes", "decorators", F.filter(words, lambda w: ~w.isin(*sorted(PLAIN_TYPES))).alias("type_hints"), "names",
+    )
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in RAW.split(", ")]
     for batch in batches:
         rows = []
         for path, language, text in zip(batch["file_path"], batch["language"], batch["source_code"], strict=True):
             try:
-                found = python_symbols(text) if language == "python" else javascript.symbols(text)
-            except (SyntaxError, ValueError, RecursionError, MemoryError) as fault:  # the last two: too deeply nested
-                found = [_error(fault)]
+                found = javascript.symbols(text)
+            except (ValueError, RecursionError) as fault:
+                found = [dict(zip(("kind", "name", "line_start", "line_end", "source_code"), _fault(fault)[2:], strict=True))]
             rows += [{"file_path": path, "language": language, "seq": i} | f for i, f in enumerate(found)]
         if rows:
             table = pd.DataFrame(rows, columns=columns)
@@ -188,7 +258,10 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def raw_symbols(files: DataFrame) -> DataFrame:
-    return files.select("file_path", "language", "source_code").mapInPandas(_extract, RAW)
+    """Raw rows of all files: Python's by their nodes, the others' by the scanner. A path stands for one file."""
+    python = F.coalesce(F.col("language") == "python", F.lit(False))
+    others = files.filter(~python).select("file_path", "language", "source_code").mapInPandas(_scan, RAW)
+    return python_symbols(nodes(files.filter(python))).unionByName(others)
 
 
 def errors(raw: DataFrame) -> DataFrame:

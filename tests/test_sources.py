@@ -34,8 +34,14 @@ def test_scan_prunes_and_filters(spark, tmp_path):
         repository.scan(spark, str(tmp_path / "missing"))
 
 
-def test_python_symbols():
-    found = extract.python_symbols(open(f"{ROOT}/app/models.py").read())
+def python_symbols(spark, text):
+    """The raw rows of one file in their order."""
+    files = spark.createDataFrame([("f.py", "python", text)], "file_path string, language string, source_code string")
+    return rows(extract.raw_symbols(files).orderBy("seq"))
+
+
+def test_python_symbols(spark):
+    found = python_symbols(spark, open(f"{ROOT}/app/models.py").read())
     by = {(r["kind"], r.get("parent"), r["name"]): r for r in found}
     model = by[("class", None, "Model")]
     assert model["base_classes"] == ["Base"] and model["docstring"] == "A model." and (model["line_start"], model["line_end"]) == (7, 15)
@@ -49,13 +55,13 @@ def test_python_symbols():
     assert not any(r["name"] == "Inner" for r in found)
 
 
-def test_python_functions():
-    found = {r["name"]: r for r in extract.python_symbols(open(f"{ROOT}/app/service.py").read())}
+def test_python_functions(spark):
+    found = {r["name"]: r for r in python_symbols(spark, open(f"{ROOT}/app/service.py").read())}
     serve = found["serve"]
     assert serve["parameters"] == ["model: Optional[Model]", "*args", "limit: int = 5", "**kw: Dict[str, Limit]"]
     assert serve["type_hints"] == ["Model", "Limit"] and serve["calls"] == ["nested_call", "Model", "stop", "run", "inner"] and serve["returns"] == "Model"
     assert serve["source_code"].startswith("async def serve") and "inner" not in found and found["app.models"]["names"] == ["*"]
-    assert [r["name"] for r in extract.python_symbols(open(f"{ROOT}/app/guarded.py").read())] == []
+    assert [r["name"] for r in python_symbols(spark, open(f"{ROOT}/app/guarded.py").read())] == []
 
 
 def test_javascript_symbols():
@@ -108,9 +114,9 @@ def test_pages_rebuilt_from_symbols_lack_files(ingested):
     assert pages.build(index.symbols).filter("symbol_type = 'file'").count() == 0
 
 
-def test_faulty_lines_are_set_aside():
+def test_faulty_lines_are_set_aside(spark):
     text = "def a():\n    print 'old'\n    return b()\n\nclass C(\n\ndef d(x: T): pass\n"
-    found = {r["name"]: r for r in extract.python_symbols(text)}
+    found = {r["name"]: r for r in python_symbols(spark, text)}
     assert found["a"]["calls"] == ["b"] and found["a"]["source_code"] == "def a():\n    print 'old'\n    return b()"
     assert found["d"]["type_hints"] == ["T"] and found["SyntaxError"]["kind"] == "error" and found["SyntaxError"]["line_start"] == 2
     with pytest.raises(SyntaxError):
