@@ -173,3 +173,32 @@ def test_saved_names_are_what_look_ups_read(spark, ingested, tmp_path):
     assert want and sorted(map(tuple, symbols.lookup_fuzzy(ids, back.symbols, index=back.names).collect())) == want
     store.save(dataclasses.replace(index, names=None), str(tmp_path), "r")
     assert store.load(spark, str(tmp_path), "r").names is None
+
+
+def test_symbols_of_whole_modules(spark):
+    """Definitions, their lines, parents, bases, and the calls within them, against a walk of each module's tree."""
+    import argparse
+    import ast
+    import dataclasses as dc
+    import json.decoder
+    import textwrap
+
+    texts = {m.__name__: open(m.__file__, encoding="utf-8").read() for m in (argparse, dc, json.decoder, textwrap)}
+    files = spark.createDataFrame([(k, "python", v) for k, v in texts.items()] + [("empty.py", "python", ""), ("none.txt", None, "x")], "file_path string, language string, source_code string")
+    found = rows(extract.raw_symbols(files))
+    defs = (ast.FunctionDef, ast.AsyncFunctionDef)
+    want = {}
+    for path, text in texts.items():
+        for node in ast.parse(text).body:
+            for n, parent in [(node, None)] + [(m, node.name) for m in (node.body if isinstance(node, ast.ClassDef) else []) if isinstance(m, defs)]:
+                if isinstance(n, (*defs, ast.ClassDef)):
+                    inner = [] if isinstance(n, ast.ClassDef) else [x.func for part in (n.args, n.returns, *n.body) if part for x in ast.walk(part) if isinstance(x, ast.Call)]
+                    calls = {f.attr if isinstance(f, ast.Attribute) else f.id for f in inner if isinstance(f, ast.Attribute | ast.Name)}
+                    want[(path, n.name, parent, n.lineno)] = (n.end_lineno, frozenset(calls), len(n.decorator_list), ast.get_source_segment(text, n))
+    got = {(r["file_path"], r["name"], r["parent"], r["line_start"]): (r["line_end"], frozenset(r["calls"]), len(r["decorators"]), r["source_code"]) for r in found if r["kind"] in ("function", "class")}
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    assert len(want) > 200 and all(len(r["calls"]) == len(set(r["calls"])) for r in found)
+    seqs = [(r["file_path"], r["seq"]) for r in found]
+    assert len(seqs) == len(set(seqs)) and not any(r["file_path"] in ("empty.py", "none.txt") for r in found)
+    by = {(r["file_path"], r["name"], r["parent"]): r for r in found}
+    assert by[("argparse", "HelpFormatter", None)]["docstring"].startswith("Formatter for generating usage messages") and by[("textwrap", "fill", None)]["parameters"] == ["text", "width=70", "**kwargs"]
