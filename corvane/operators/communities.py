@@ -144,8 +144,8 @@ def _moved(links: DataFrame, loops: DataFrame, nodes: DataFrame, total: float, l
 
 
 def communities(edges: DataFrame, final_edges: int = FINAL_EDGES) -> DataFrame:
-    """(id, community): the community's smallest id; the edges are taken without direction and weight."""
-    plain = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    """(id, community): the community's smallest id; the edges are taken without direction and weight, those with a null end are left out."""
+    plain = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     plain = materialize(plain.withColumn("w", F.lit(1.0)), "plain")
     total = 2.0 * plain.count()
     labels = materialize(plain.select(F.col("a").alias("id")).union(plain.select("b")).distinct().withColumn("community", F.col("id")), "labels")
