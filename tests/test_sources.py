@@ -202,3 +202,13 @@ def test_symbols_of_whole_modules(spark):
     assert len(seqs) == len(set(seqs)) and not any(r["file_path"] in ("empty.py", "none.txt") for r in found)
     by = {(r["file_path"], r["name"], r["parent"]): r for r in found}
     assert by[("argparse", "HelpFormatter", None)]["docstring"].startswith("Formatter for generating usage messages") and by[("textwrap", "fill", None)]["parameters"] == ["text", "width=70", "**kwargs"]
+
+
+@pytest.mark.parametrize("language", ["python", "typescript"])
+def test_files_of_one_partition_are_read_by_many_tasks(spark, language):
+    text = "def f():\n    return g()\n" if language == "python" else "function f() {\n  return g();\n}\n"
+    files = spark.range(0, 400, numPartitions=1).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_path"), F.lit(language).alias("language"), F.lit(text).alias("source_code"))
+    flat = extract.nodes(extract.dealt(files)) if language == "python" else extract.raw_symbols(files)
+    tasks = flat.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in tasks) < 400
+    assert extract.raw_symbols(files).filter("name = 'f'").count() == 400
