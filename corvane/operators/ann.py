@@ -187,7 +187,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int | None = N
                     for g in range(groups):
                         scores += (parts[g][who] @ model.codebooks[g].T)[:, codes[:, g]]
                     best.offer(who, scores, members.field("id").to_pylist())
-            yield best.rows(names, kinds)
+            yield from best.rows(names, kinds)
 
         rows = index.lists.filter(F.col("cell").isin(list(asking))).mapInArrow(work, schema)
         rows = top_k(rows, most).select("query_id", "page_id")

@@ -109,3 +109,29 @@ def test_index_of_awkward_vectors(spark):
     assert ann.search(index, q.limit(0)).collect() == []
     empty = ann.build(df.limit(0))
     assert ann.search(empty, q).collect() == [] and empty.lists.collect() == []
+
+
+def test_neighbours_within_a_label(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(6).tolist(), None if i % 7 == 0 else i % 3) for i in range(200)] + [(300, None, 1), (301, [1.0] * 4, 1), (302, [0.0] * 6, 2)]
+    df = spark.createDataFrame(rows, "page_id long, embedding array<float>, label int").repartition(4)
+    q = df.filter("page_id % 10 = 0 AND page_id < 200").select(F.col("page_id").alias("query_id"), "embedding", "label")
+    found = vector.knn(df, q, 5, by="label")
+    want = {}
+    for i, v, label in rows[:200:10]:
+        if label is not None:
+            want |= {(i, n): x for n, (_, x) in enumerate(brute([(a, b) for a, b, c in rows if c == label], [(i, v)], 5)[i])}
+    assert {(x.query_id, x["rank"]): x.page_id for x in found.collect()} == want
+    assert not re.search("Cartesian|NestedLoop|BroadcastHashJoin|SortMergeJoin", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_products_have_a_bounded_size(monkeypatch):
+    sizes, offer = [], vector.Best.offer
+    monkeypatch.setattr(vector.Best, "offer", lambda self, who, scores, ids: (sizes.append(scores.size), offer(self, who, scores, ids))[1])
+    r = np.random.default_rng(6)
+    q, x = r.standard_normal((1500, 4)), r.standard_normal((5000, 4))
+    best = vector.Best(1500, 3)
+    vector._compare(best, q, np.arange(1500), x, list(range(5000)), False, 9)
+    assert max(sizes) <= vector.TILE_QUERIES * vector.TILE_VECTORS and sum(sizes) == 1500 * 5000
+    want = np.argsort(-np.round(q @ x.T, 9), axis=1, kind="stable")[:, :3]
+    assert [[i for _, _, i in held] for held in best.held] == want.tolist()
