@@ -38,9 +38,10 @@ def nearest_rank(df: DataFrame, value: str, by: list[str], share: float = 0.95)
 
 
 def summarize(results: DataFrame) -> DataFrame:
-    """(method, queries, recall_5, recall_10, mrr, mean_ms, p95_ms). results: method, found, relevant, latency_ms."""
+    """(method, queries, recall_5, recall_10, mrr, mean_ms, p95_ms). results: method, found, relevant, latency_ms; total where relevant has only what was found."""
+    total = F.col("total") if "total" in results.columns else None
     rows = results.select(
-        "method", "latency_ms", M.recall_at_k(F.col("found"), F.col("relevant"), 5).alias("r5"), M.recall_at_k(F.col("found"), F.col("relevant"), 10).alias("r10"), M.mrr(F.col("found"), F.col("relevant")).alias("m")
+        "method", "latency_ms", M.recall_at_k(F.col("found"), F.col("relevant"), 5, total).alias("r5"), M.recall_at_k(F.col("found"), F.col("relevant"), 10, total).alias("r10"), M.mrr(F.col("found"), F.col("relevant")).alias("m")
     )
     means = rows.groupBy("method").agg(
         F.count("*").alias("queries"), F.round(F.avg("r5"), 4).alias("recall_5"), F.round(F.avg("r10"), 4).alias("recall_10"), F.round(F.avg("m"), 4).alias("mrr"), F.round(F.avg("latency_ms"), 2).alias("mean_ms")

@@ -256,3 +256,15 @@ def test_names_by_an_index(spark):
     plan = symbols.named(s, ids.filter("ident LIKE '%r%'"), index)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
     assert symbols.named(s.limit(0), ids).count() == 0 and symbols.named(s, ids.limit(0), index).count() == 0
+
+
+def test_relevant_items_are_listed_as_far_as_they_were_found(spark):
+    """The plan of the metrics joins labels to what was found: no row or list grows with a label."""
+    import os
+
+    from corvane.plans import queries_text
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    assert queries_text._found(spark, folder).agg(F.max(F.size("relevant"))).first()[0] <= 21
