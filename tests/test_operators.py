@@ -268,3 +268,26 @@ def test_relevant_items_are_listed_as_far_as_they_were_found(spark):
     if not os.path.isdir(folder):
         pytest.skip("the driver's tables are not here")
     assert queries_text._found(spark, folder).agg(F.max(F.size("relevant"))).first()[0] <= 21
+
+
+@pytest.mark.parametrize("method", ["lucene", "okapi"])
+def test_neither_postings_nor_pairs_are_sent_by_a_search(spark, monkeypatch, method):
+    """Blocks of queries, tiles and batches give the rows of a plain sum over all postings."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randrange(1, 30)))) for i in range(300)] + [(900, None), (901, "")], "page_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(i, " ".join(r.choices([*words, "unknown"], k=5))) for i in range(30)] + [(90, ""), (91, "unknown")], "query_id long, query string")
+    index = lexical.build(docs, method=method)
+    terms = lexical.query_terms(queries, index.tokenizer)
+    every = index.postings.join(terms, "term").crossJoin(index.corpus).groupBy("query_id", "page_id").agg(F.round(F.sum(lexical.contribution(method) * F.col("times")), 9).alias("score"))
+    want = {(x.query_id, x["rank"]): (x.page_id, pytest.approx(x.score, abs=1e-8)) for x in lexical.top_k(every.filter("score > 0"), 7).collect()}
+    for block, tile in ((100_000, 1_000_000), (25, 40)):
+        monkeypatch.setattr(lexical, "BLOCK_TERMS", block)
+        monkeypatch.setattr(lexical, "TILE_SCORES", tile)
+        found = lexical.search(index, queries, 7)
+        assert {(x.query_id, x["rank"]): (x.page_id, x.score) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Generate" not in plan
+    if method == "okapi":
+        scores = {(x.query_id, x.page_id): x.score for x in lexical.get_scores(index, queries).collect()}
+        assert len(scores) == 32 * 302 and all(scores[x.query_id, x.page_id] == pytest.approx(x.score, abs=1e-8) for x in every.collect())
