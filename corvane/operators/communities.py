@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.storage import discard, materialize
+from corvane.storage import beside, discard, materialize
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -103,10 +103,11 @@ def _moved(links: DataFrame, loops: DataFrame, nodes: DataFrame, total: float, l
     state = materialize(nodes.select("id", "k", F.col("id").alias("c")), "communities")
     n, best, best_q, still = state.count(), None, None, 0
     for turn in range(ROUNDS):
-        near = links.join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
+        near = links.join(beside(state.select(F.col("id").alias("dst"), "c"), n), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
         near = materialize(near, "near")
         sums = materialize(state.groupBy("c").agg(F.sum("k").alias("tot")), "sums")
-        own = near.join(state.select("id", F.col("c")), ["id", "c"]).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()["w"]
+        few = beside(sums)  # once most nodes share a few communities, these are hot keys and few rows
+        own = near.join(beside(state.select("id", F.col("c")), n), ["id", "c"]).agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()["w"]
         loop = loops.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()["w"]
         q = (own + loop) / total - sums.agg(F.sum((F.col("tot") / total) * (F.col("tot") / total)).alias("s")).first()["s"]
         if best_q is None or q > best_q + 1e-12:
@@ -120,12 +121,12 @@ def _moved(links: DataFrame, loops: DataFrame, nodes: DataFrame, total: float, l
                 discard(state)
             break
         # the gain of being in c and not alone; a node's own community counts without it
-        scored = near.join(sums, "c").join(state.select("id", "k", F.col("c").alias("old")), "id")
+        scored = near.join(few, "c").join(beside(state.select("id", "k", F.col("c").alias("old")), n), "id")
         gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / total
         scored = scored.select("id", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("old")).alias("mine"))
         top = scored.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("m"), F.max(F.when(F.col("mine"), F.col("gain"))).alias("stay"))
         # where no neighbour is in its own community, staying has the gain of what else is in there
-        alone = state.join(sums, "c").select("id", "k", "c", "tot").join(top, "id", "left")
+        alone = state.join(few, "c").select("id", "k", "c", "tot").join(beside(top, n), "id", "left")
         stay = F.coalesce("stay", F.round(-F.col("k") * (F.col("tot") - F.col("k")) / total, 9))
         awake = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(level)), F.lit(2)) == 0
         goes = awake & F.col("m").isNotNull() & (-F.col("m.g") > stay + 1e-9) & (F.col("m.c") != F.col("c"))
@@ -154,9 +155,10 @@ def communities(edges: DataFrame, final_edges: int = FINAL_EDGES) -> DataFrame:
 
     def renamed(found: DataFrame) -> DataFrame:
         """The labels of all nodes, from those of the level's: a community is named by its smallest id."""
-        joined = labels.join(found.select(F.col("id").alias("community"), F.col("community").alias("next")), "community")
-        least = joined.groupBy("next").agg(F.min("id").alias("least"))
-        return materialize(joined.join(least, "next").select("id", F.col("least").alias("community"), F.col("community").alias("before")), "labels")
+        found = materialize(found, "found")
+        joined = labels.join(beside(found.select(F.col("id").alias("community"), F.col("community").alias("next"))), "community")
+        least = materialize(joined.groupBy("next").agg(F.min("id").alias("least")), "least")
+        return materialize(joined.join(beside(least), "next").select("id", F.col("least").alias("community"), F.col("community").alias("before")), "labels")
 
     current, size = plain, plain.count()  # a, b, w: each pair once
     for level in range(LEVELS):
@@ -168,8 +170,9 @@ def communities(edges: DataFrame, final_edges: int = FINAL_EDGES) -> DataFrame:
         ends = links.select(F.col("src").alias("id"), "w").union(loops)
         nodes = materialize(ends.groupBy("id").agg(F.sum("w").alias("k")), "nodes")
         further = renamed(_moved(materialize(links, "links"), loops, nodes, total, level))
-        names = further.select(F.col("before").alias("id"), "community").distinct()
-        merged = current.join(names.select(F.col("id").alias("a"), F.col("community").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("community").alias("y")), "b")
+        names = materialize(further.select(F.col("before").alias("id"), "community").distinct(), "names")
+        known = names.count()
+        merged = current.join(beside(names.select(F.col("id").alias("a"), F.col("community").alias("x")), known), "a").join(beside(names.select(F.col("id").alias("b"), F.col("community").alias("y")), known), "b")
         merged = merged.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
         merged = materialize(merged, "contracted")
         before, size = size, merged.count()
