@@ -3,7 +3,7 @@
 import pytest
 
 from corvane import storage
-from corvane.operators import communities
+from corvane.operators import communities, graph
 
 
 @pytest.fixture
@@ -12,7 +12,7 @@ def planned(monkeypatch):
     plans = []
 
     def watch(*modules):
-        monkeypatch.setattr(storage, "BROADCAST_ROWS", 0, raising=False)
+        monkeypatch.setattr(storage, "BROADCAST_ROWS", -1, raising=False)  # an empty side too
         for module in modules:
 
             def written(df, name, *args, f=module.materialize, **kwargs):
@@ -36,3 +36,24 @@ def test_communities_broadcast_nothing_that_grows(spark, planned):
     plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
     assert found.count() == 63
     assert broadcasting(plans) == []
+
+
+def planned_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graph_steps_broadcast_nothing_that_grows(spark, planned):
+    """Ranks, the steps of an expansion, and distances from many seeds."""
+    plans = planned(graph)
+    nodes = spark.createDataFrame([(f"s{i:02d}",) for i in range(40)] + [("file::a",), ("file::b",)], "id string")
+    edges = spark.createDataFrame([(f"s{i:02d}", f"file::{'ab'[i % 2]}", 0.5) for i in range(40)], "src string, dst string, weight double")
+    ids = nodes.filter("id LIKE 's%'")
+    ranks = {r["id"]: r["rank"] for r in graph.pagerank(nodes, edges).collect()}
+    assert len(ranks) == 42 and sum(ranks.values()) == pytest.approx(1.0)
+    seeds = ids.selectExpr("id AS seed")
+    found = graph.shortest(seeds, edges, 2, nodes)
+    plans.append(("shortest", planned_of(found)))
+    assert found.count() == 80
+    near = graph.expand(ids.selectExpr("'q' AS query_id", "id").limit(1), edges, ids, 2, 5)
+    assert near.count() == 5
+    assert broadcasting([p for p in plans if p[0] in ("links", "ranks", "bfs", "steps", "shortest")]) == []
