@@ -3,7 +3,7 @@
 import pytest
 
 from corvane import storage
-from corvane.operators import communities, graph
+from corvane.operators import communities, graph, symbols
 
 
 @pytest.fixture
@@ -57,3 +57,25 @@ def test_graph_steps_broadcast_nothing_that_grows(spark, planned):
     near = graph.expand(ids.selectExpr("'q' AS query_id", "id").limit(1), edges, ids, 2, 5)
     assert near.count() == 5
     assert broadcasting([p for p in plans if p[0] in ("links", "ranks", "bfs", "steps", "shortest")]) == []
+
+
+def test_names_broadcast_nothing_that_grows(spark, planned, tmp_path):
+    """Symbols of the names that an ident meets; and of a name that many share, the first by id."""
+    plans = planned(symbols) if hasattr(symbols, "materialize") else []
+    table = spark.createDataFrame([(f"{i:03d}", f"name{i % 3}", f"m.name{i % 3}") for i in range(90)] + [("x", "rename1", "m.rename1")], "symbol_id string, name string, qualified_name string")
+    table.write.parquet(str(tmp_path / "symbols"))
+    table = spark.read.parquet(str(tmp_path / "symbols"))  # small files
+    idents = spark.createDataFrame([("q", "name1"), ("q", "ame"), ("r", "NAME1"), ("r", "x1")], "query_id string, ident string")
+    exact = symbols.lookup(idents, table)
+    plans.append(("exact", planned_of(exact)))
+    assert {tuple(r) for r in exact.collect()} == {("q", "name1", f"{i:03d}") for i in range(1, 90, 3)}
+    found = symbols.lookup_fuzzy(idents, table, limit=31)
+    plans.append(("fuzzy", planned_of(found)))
+    shared = [f"{i:03d}" for i in range(1, 90, 3)] + ["x"]
+    assert {tuple(r) for r in found.filter("ident IN ('name1', 'NAME1')").collect()} == {(q, i, s, n) for q, i in (("q", "name1"), ("r", "NAME1")) for n, s in enumerate(shared, 1)}
+    assert {tuple(r) for r in found.filter("ident = 'ame'").collect()} == {("q", "ame", f"{i:03d}", i + 1) for i in range(31)}
+    pages = table.selectExpr("concat('p', symbol_id) AS page_id", "symbol_id")
+    scores = symbols.page_scores(symbols.exact_else_fuzzy(idents, table), pages)
+    plans.append(("scores", planned_of(scores)))
+    assert scores.filter("query_id = 'q' AND score >= 1").count() == 30
+    assert broadcasting([p for p in plans if p[0] in ("exact", "scores")]) == []
