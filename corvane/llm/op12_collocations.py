@@ -4,18 +4,24 @@ All windows of words are rows of a DataFrame and are counted by a hash
 aggregate on (language, phrase). Windows of one and two words are exploded
 everywhere. A longer window can only be frequent where the two windows of one
 word less that it holds are frequent (every window of a frequent phrase is), so
-those of 3 to ``max_n`` words are exploded at the places that the level before
-leaves, and nothing that reaches ``min_count`` is lost. The counts of prefixes
-and suffixes, frequent for the same reason, are joined to every cut of a
-phrase; the score is worked out in Decimal and cut by an integral division; a
-phrase whose occurrences are (up to ``absorb`` percent) those of a phrase one
-word longer goes by an anti-join, which suffices for all longer ones, since
-counts never grow with a phrase; a window ranks the rest, first within salts of
-a language, then within the language.
-
-Frequent phrases are broadcast up to ``BROADCAST_PHRASES``, counted first;
-beyond, places and phrases meet by a shuffle, whose hot phrases the adaptive
-join splits.
+those of 3 to ``max_n`` words are counted at such places only, and nothing that
+reaches ``min_count`` is lost. The counts of prefixes and suffixes, frequent for
+the same reason, are joined to every cut of a phrase; the score is worked out in
+Decimal and cut by an integral division; a phrase whose occurrences are (up to
+``absorb`` percent) those of a phrase one word longer goes by an anti-join,
+which suffices for all longer ones, since counts never grow with a phrase; a
+window ranks the rest, first within salts of a language, then within the
+language.
+
+Places are never shuffled. Each level's frequent phrases set their bits in a
+table of at most ``FILTER_BITS`` bits, which is broadcast however many they
+are, and a place is kept if its two bits are set. Phrases that share a
+frequent one's bit are kept at all their places or at none, so they cost rows
+and alter no count; their own count decides. What is left after the pairs is
+written once, as a text of up to ``max_n`` words a place, and is removed after
+the last level; shuffle files go with the query that wrote them. Frequent
+phrases themselves are broadcast to their cuts up to ``BROADCAST_PHRASES``,
+counted first; beyond, they meet by a shuffle.
 
 Defined results
 * A-Z are lower-cased and nothing else; texts are cut into pieces at
@@ -33,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.storage import materialize
+from corvane.storage import discard, materialize, shuffles_removed
 
 from . import common
 
@@ -43,6 +49,8 @@ NO_LANGUAGE = "und"
 ENDS, SPACE, END = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+", "."
 #: Frequent phrases (about 60 bytes each) and languages are broadcast up to this number.
 BROADCAST_PHRASES = 500_000
+#: A filter by which places are kept has so many bits a phrase or more, and at most so many (18 MB to broadcast) for any number of phrases.
+BITS_A_PHRASE, FILTER_BITS = 32, 1 << 27
 SALTS = 64
 
 
@@ -72,11 +80,44 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_PHRASES else df
 
 
-def _kept(places: DataFrame, frequent: DataFrame, rows: int, first: int, last: int) -> DataFrame:
-    """The places whose words ``first`` to ``last`` are a frequent phrase."""
-    known = frequent.select(F.col("lang").alias("__lang"), F.col("phrase").alias("__phrase"))
-    here = _lower(_phrase(first, last))
-    return places.join(_bounded(known, rows), (F.col("lang") == F.col("__lang")) & (here == F.col("__phrase")), "left_semi")
+def bits_for(phrases: int) -> int:
+    """The size of a filter: a power of two, so that a small one stays in a core's cache."""
+    return min(FILTER_BITS, 1 << (BITS_A_PHRASE * phrases).bit_length())
+
+
+def _bit(phrase: Column, bits: int) -> Column:
+    return F.xxhash64(F.col("lang"), phrase).bitwiseAND(F.lit(bits - 1))
+
+
+def _word_of(bit: Column) -> tuple[Column, Column, Column]:
+    """Where a bit of a filter stands: the row, the long in its list, and the bit in the long."""
+    return F.shiftright(bit, 12), F.shiftright(bit, 6).bitwiseAND(F.lit(63)).cast("int"), bit.bitwiseAND(F.lit(63)).cast("int")
+
+
+def filter_of(frequent: DataFrame, bits: int) -> DataFrame:
+    """(part, longs): ``bits`` bits, of which those of the frequent phrases are set; parts without any are left out."""
+    part, word, bit = _word_of(_bit(F.col("phrase"), bits))
+    set_ = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    longs = frequent.groupBy(part.alias("part"), word.alias("word")).agg(F.bit_or(set_).alias("long"))
+    at = F.map_from_entries(F.collect_list(F.struct("word", "long")))
+    parts = longs.groupBy("part").agg(at.alias("at"))
+    return parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0).cast("long"))).alias("longs"))
+
+
+def _kept(places: DataFrame, frequent: DataFrame, *phrases: Column) -> DataFrame:
+    """The places whose phrases all have the bit of a frequent one: every place of frequent phrases, and a few others."""
+    columns, bits = places.columns, bits_for(frequent.count())
+    known = filter_of(frequent, bits)
+    for phrase in phrases:
+        part, word, bit = _word_of(F.col("__bit"))
+        there = (part == F.col("part")) & (F.getbit(F.get("longs", word), bit) == 1)
+        places = places.select(*columns, _bit(phrase, bits).alias("__bit")).join(F.broadcast(known), there, "left_semi")
+    return places.select(*columns)
+
+
+def _words(run: Column, first: int, last: int) -> Column:
+    """The words ``first`` to ``last`` of a run that has so many."""
+    return F.substring_index(F.substring_index(run, " ", last), " ", first - last - 1)
 
 
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_n: int = MAX_N, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -90,21 +131,24 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_n: int =
     total = counted.filter("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     found = [counted.filter("phrase IS NOT NULL")]
     last = found[0].filter("size = 2")
-    places = _places(docs, lang, text, max_n).filter(_is_word("w2")) if max_n > 2 else None
     for size in range(3, max_n + 1):
-        rows = last.count()
-        places = places.filter(F.col(f"w{size}").isNotNull() if size > 3 else _is_word("w3"))
-        places = _kept(_kept(places, last, rows, 1, size - 1), last, rows, 2, size)
-        if size == 3:  # from here on null stands where a piece is over
-            words, open_ = [F.col("lang")], F.lit(True)
+        if size == 3:
+            places = _places(docs, lang, text, max_n).filter(_is_word("w2") & _is_word("w3"))
+            places = _kept(places, last, _lower(_phrase(1, 2)), _lower(_phrase(2, 3)))
+            open_, words, n_words = F.lit(True), [], F.lit(0)
             for k in range(1, max_n + 1):
                 open_ = open_ & _is_word(f"w{k}")
-                words.append(F.when(open_, _lower(F.col(f"w{k}"))).alias(f"w{k}"))
-            places = places.select(*words)
-        places = materialize(places, "places")
-        last = places.select("lang", _phrase(1, size).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
+                words.append(F.when(open_, F.col(f"w{k}")))
+                n_words = n_words + open_.cast("int")
+            runs = materialize(places.select("lang", n_words.alias("n_words"), _lower(F.concat_ws(" ", *words)).alias("run")), "runs")
+            here = runs
+        else:
+            here = _kept(runs.filter(F.col("n_words") >= size), last, _words(F.col("run"), 1, size - 1), _words(F.col("run"), 2, size))
+        last = here.select("lang", F.substring_index("run", " ", size).alias("phrase")).groupBy("lang", "phrase").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
         last = materialize(last.select("lang", F.lit(size).alias("size"), "phrase", "f"), "counts")
         found.append(last)
+    if max_n > 2:
+        discard(runs)
     return reduce(DataFrame.union, found), total
 
 
@@ -120,17 +164,17 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", max_n:
     common.check_columns(docs, lang, text)
     if max_n < 2 or min_count < 1 or not 0 <= absorb <= 100:
         raise ValueError("max_n must be 2 or more, min_count positive, absorb from 0 to 100")
-    found, total = counts(docs, lang, text, max_n, min_count)
-    found = materialize(found, "phrases")
-    rows = found.count()
+    with shuffles_removed(docs.sparkSession):
+        found, total = counts(docs, lang, text, max_n, min_count)
+        found, total = materialize(found, "phrases"), materialize(total, "words")
+        rows, languages = found.count(), total.count()
     words = F.split("phrase", " ")
     cuts = found.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), words.alias("ws"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     part = lambda begin, length: F.array_join(F.slice("ws", begin, length), " ")
     cuts = cuts.select("lang", "size", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(_bounded(found.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), rows), ["lang", side])
-    total = materialize(total, "words")
-    cuts = cuts.join(_bounded(total, total.count()), "lang")
+    cuts = cuts.join(_bounded(total, languages), "lang")
     cuts = cuts.withColumn("score", score_of(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     scored = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("size").alias("size"))
     # what a phrase one word longer takes over

@@ -1,11 +1,14 @@
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import op12_collocations as op12
+from corvane.storage import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -64,6 +67,47 @@ def test_beyond_the_bound_of_a_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, found)) == brute(rows, least=3)
 
 
+def test_phrases_that_share_a_bit_of_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(op12, "FILTER_BITS", 16)
+    rows = corpus(60, 3)
+    found = op12.collocations(spark.createDataFrame(rows, SCHEMA), min_count=3, max_n=6).collect()
+    assert sorted(map(tuple, found)) == brute(rows, max_n=6, least=3)
+
+
+def test_a_filter_sets_the_bits_of_its_phrases_and_no_others(spark):
+    rows = [("en", f"word{i} and{i % 7}") for i in range(3000)] + [("de", "word1 and1")]
+    frequent = spark.createDataFrame(rows, "lang string, phrase string")
+    kept = lambda df: op12._kept(df, frequent, F.col("phrase"))
+    assert sorted(map(tuple, kept(frequent).collect())) == sorted(rows)
+    others = spark.createDataFrame([("fr", p) for _, p in rows[:3000]], "lang string, phrase string")
+    assert kept(others).count() < 3000 / 8
+    assert op12._kept(frequent, frequent.limit(0), F.col("phrase")).count() == 0
+    assert op12.bits_for(10**9) == op12.FILTER_BITS
+
+
+def test_places_are_not_shuffled_and_files_do_not_stay(spark, monkeypatch):
+    plans = {}
+    write = op12.materialize
+    monkeypatch.setattr(op12, "materialize", lambda df, name, **kw: (plans.setdefault(name, []).append(df._jdf.queryExecution().toString()), write(df, name, **kw))[1])
+    monkeypatch.setattr(op12, "BROADCAST_PHRASES", 0)
+    stored = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, threshold = stored(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(corpus(60, 4), SCHEMA)
+        op12.collocations(docs, min_count=3)  # all but the last query has run
+        for _ in range(50):
+            if not (left := stored() - before):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(plans) >= 4 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for of_name in plans.values() for p in of_name)
+    assert not left
+    where = shared_dir(spark).removeprefix("file:")
+    assert not [d for d in os.listdir(where) if d.startswith(("runs-", "places-"))]
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     cases = [(10**13 + 7, 10**15 + 1, 10**13 + 9, 10**14 + 3), (100, 99_999_999_999_999_999, 100, 100), (3 * 10**12, 10**16, 10**16 - 1, 3 * 10**12), (100, 200, 100, 100)]
     rows = spark.createDataFrame(cases, "a long, n long, l long, r long")
